@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids, in independent checksummed blocks.
 
-A block holds whole documents. Its ids are cut into up to 2,048 equal lanes that are coded in step, so that each
+A block holds whole documents. Its ids are cut into up to 4,096 equal lanes that are coded in step, so that each
 NumPy operation codes one id of every lane; all lanes share one model, which starts empty in each block:
 
 * order 2: a hashed table gives, for the two ids before, the id that followed last and how reliable it has been;
@@ -24,7 +24,7 @@ import numpy as np
 
 HEAD = struct.Struct("<4sHHIIIQI")
 MAGIC, VERSION = b"LWRC", 1
-LANES, STEPS_LEAST = 2048, 128
+LANES, STEPS_LEAST = 4096, 128
 SHARE_BITS, ZERO_BITS, HASH_BITS, IDS = 12, 20, 18, 65536
 TOP, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
 S16, S32, SSHARE, SZERO = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS), np.uint64(ZERO_BITS)
