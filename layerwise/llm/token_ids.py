@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +21,25 @@ from .range_coder import read_block, write_block
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20  # a block closes when it holds so many ids; no document is split
-MEMO = 700_000  # pieces in each of the two generations whose ids a worker remembers
-MARKS = ".,;:!?"
-TEXTS = 128  # documents that are tokenized at once
+SLOTS = 1 << 22  # pieces that a worker's table has room for; it starts afresh at half of them
+BYTES = 1 << 20  # of text that are tokenized at once
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two hashes; odd
+TEXTS = 512  # documents that are handed over at once
+MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 BLOCKS = "part int, block int, documents int, ids long, frame binary"
 READ = "doc_id long, part int, block int, in_part long, n_tokens long, ids_crc32 long"
 
 
 class _Encoder:
-    """Texts to little-endian 16-bit ids by way of the tokenizer, each distinct piece once.
-
-    The tokenizer's own rules break at all white space, so the ids of the pieces between ASCII spaces and newlines,
-    in a row, are the text's ids. A piece of Latin-1 letters, with one mark after it or none, is a word and a mark to
-    the tokenizer, which lower-cases it; such words are encoded many at a time, parted by spaces, and told apart by the ids that end a word.
-    Any other piece is encoded by itself. Pieces are remembered in two generations of MEMO each: those that are used
-    again move to the younger one.
+    """Texts to 16-bit ids by way of the tokenizer, each distinct piece once for as long as it is remembered.
+
+    The tokenizer's own rules break at all white space and lower-case, so a text's ids are those of its lower-cased
+    pieces between ASCII spaces and newlines, in a row. So is a mark at a piece's end, after an ASCII letter, a piece. Texts are
+    cut in NumPy, and pieces of up to 64 bytes are looked up by two 64-bit polynomial hashes in an open-addressing
+    table of fixed size, which starts afresh when it is half full. Only new pieces reach the tokenizer: words of
+    Latin-1 letters many at a time, parted by spaces and told apart by the ids that end a word; others one by one.
+    Texts with a special token's opening are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,64 +52,141 @@ class _Encoder:
         if model.get("end_of_word_suffix"):
             self.ends = np.zeros(1 << 16, bool)
             self.ends[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"]) and i < 1 << 16]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def one(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").astype("<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4").astype("<u2")
-        cuts = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        if len(cuts) != len(words) + 1 or cuts[-1] != 2 * len(ids):
-            return self.one(words)
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that aren't in the younger memory."""
-        if len(self.young) + len(pieces) > MEMO:
-            self.young, self.old = {"": b""}, self.young
-        young, old = self.young, self.old
-        rest, derived, words = [], [], set()
-        for p in pieces:
-            if (known := old.get(p)) is not None:
-                young[p] = known
+        self.powers: list[list[np.ndarray]] = []
+        for base in BASES:
+            inverse = pow(base, -1, 1 << 64)
+            self.powers.append([np.cumprod(np.concatenate([[np.uint64(1)], np.full(BYTES, x, np.uint64)])) for x in (base, inverse)])
+        self.reset()
+
+    def reset(self) -> None:
+        self.key = np.zeros((SLOTS, 2), np.uint64)
+        self.span = np.zeros((SLOTS, 2), np.int32)
+        self.pool, self.used, self.held = np.zeros(1 << 20, np.uint16), 0, 0
+
+    def one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many of each) of pieces encoded one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint16)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) and cuts[-1] == len(ids) else self.one(words)
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Places (start, length) in the pool of the ids of new pieces."""
+        plain = np.array([self.ends is not None and p.isalpha() and (p.isascii() or max(p) < "\u0100") for p in pieces], bool)
+        spans = np.empty((len(pieces), 2), np.int32)
+        for kind, encode in ((plain, self.words), (~plain, self.one)):
+            if not kind.any():
                 continue
-            word = p[:-1] if p[-1] in MARKS else p
-            if self.ends is None or not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
-                rest.append(p)
+            flat, n = encode(list(compress(pieces, kind)))
+            if self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint16)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            spans[kind] = np.stack([self.used + np.cumsum(n) - n, n], 1)
+            self.used += len(flat)
+        return spans
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, known) of each key: where it is, or the first free slot of its chain."""
+        slot = (keys[:, 0] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        known, left = np.zeros(len(keys), bool), np.arange(len(keys))
+        while len(left):
+            there = self.key[slot[left]]
+            same = (there[:, 0] == keys[left, 0]) & (there[:, 1] == keys[left, 1])
+            known[left[same]] = True
+            left = left[~same & ((there[:, 0] != 0) | (there[:, 1] != 0))]
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+        return slot, known
+
+    def insert(self, keys: np.ndarray, spans: np.ndarray) -> None:
+        """Distinct new keys; those that meet in a free slot take turns."""
+        left = np.arange(len(keys))
+        while len(left):
+            slot, _ = self.slots(keys[left])
+            _, first = np.unique(slot, return_index=True)
+            self.key[slot[first]], self.span[slot[first]] = keys[left[first]], spans[left[first]]
+            left = np.delete(left, first)
+        self.held += len(keys)
+
+    def cut(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, stop) of the pieces of lower-cased bytes."""
+        gap = np.concatenate([[True], (raw == 32) | (raw == 10), [True]])
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        start, stop = edges[::2], edges[1::2]
+        before = raw[np.maximum(stop - 2, 0)]
+        marked = MARK[raw[stop - 1]] & (stop - start > 1) & (before >= 97) & (before <= 122)
+        n = 1 + marked
+        at = np.cumsum(n) - n
+        starts, stops = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
+        starts[at], stops[at] = start, stop - marked
+        starts[at[marked] + 1], stops[at[marked] + 1] = stop[marked] - 1, stop[marked]
+        return starts, stops
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8)."""
+        out: list = [None] * len(texts)
+        some, size = [], 0
+        for i, text in enumerate(texts):
+            if b"<|" in text or len(text) >= BYTES:
+                out[i] = self.one([text.decode("utf-8", "replace")])[0] if b"<|" in text else self.long(text)
                 continue
-            low = word.lower()
-            if low != p:
-                derived.append((p, low))
-            if low not in young:
-                if (known := old.get(low)) is not None:
-                    young[low] = known
-                else:
-                    words.add(low)
-        if words:
-            listed = list(words)
-            young.update(zip(listed, self.words(listed), strict=True))
-        if rest:
-            young.update(zip(rest, self.one(rest), strict=True))
-        for p, low in derived:
-            young[p] = young[low] + self.marks()[p[-1]] if p[-1] in MARKS else young[low]
-
-    @lru_cache  # noqa: B019  one encoder for each worker
-    def marks(self) -> dict[str, bytes]:
-        return dict(zip(MARKS, self.one(list(MARKS)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        got = [list(map(self.young.get, pieces)) for pieces in cut]
-        holes = [[i for i, x in enumerate(row) if x is None] for row in got]
-        if new := {pieces[i] for pieces, hole in zip(cut, holes, strict=True) for i in hole}:
-            self.learn(new)
-        for pieces, row, hole in zip(cut, got, holes, strict=True):
-            for i in hole:
-                row[i] = self.young[pieces[i]]
-        return [b"".join(row) for row in got]
+            if size + len(text) + 1 > BYTES:
+                self.batch(texts, some, out)
+                some, size = [], 0
+            some.append(i)
+            size += len(text) + 1
+        self.batch(texts, some, out)
+        return out
+
+    def long(self, text: bytes) -> np.ndarray:
+        """A text of more than BYTES, cut at spaces or newlines; one without such is left to the tokenizer."""
+        parts, at = [], 0
+        while len(text) - at >= BYTES:
+            stop = max(text.rfind(b" ", at, at + BYTES - 1), text.rfind(b"\n", at, at + BYTES - 1))
+            if stop <= at:
+                return self.one([text.decode("utf-8", "replace")])[0]
+            parts.append(text[at:stop])
+            at = stop
+        return np.concatenate(self.encode([*parts, text[at:]]))
+
+    def batch(self, texts: list[bytes], some: list[int], out: list) -> None:
+        joined = b"\n".join([texts[i] for i in some]).lower()  # bytes.lower changes A-Z only
+        raw = np.frombuffer(joined, np.uint8)
+        start, stop = self.cut(raw)
+        if self.held + len(start) > SLOTS // 2:
+            self.reset()
+        keys = np.empty((len(start), 2), np.uint64)
+        for k, (up, down) in enumerate(self.powers):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * up[: len(raw)])])
+            keys[:, k] = (sums[stop] - sums[start]) * down[start]
+        keys[:, 0] ^= keys[:, 0] >> np.uint64(32)
+        keys[:, 0] *= np.uint64(0xD6E8FEB86659FD93)
+        slot, known = self.slots(keys)
+        spans = self.span[slot]
+        long = stop - start > 64
+        if (~known & ~long).any():
+            new = np.flatnonzero(~known & ~long)
+            _, first, back = np.unique(keys[new, 0] ^ (keys[new, 1] >> np.uint64(1)), return_index=True, return_inverse=True)
+            at = new[first]
+            if not (keys[at][back] == keys[new]).all():  # two pieces of one folded key: too rare to be clever about
+                at, back = new, np.arange(len(new))
+            found = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            spans[new] = found[back]
+            if len(at) == len(first):
+                self.insert(keys[at], found)
+        if long.any():
+            at = np.flatnonzero(long)
+            spans[at] = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+        n = spans[:, 1].astype(np.int64)
+        total = np.cumsum(n)
+        flat = self.pool[np.repeat(spans[:, 0] - (total - n), n) + np.arange(int(n.sum()))]
+        ends = np.cumsum([len(texts[i]) + 1 for i in some])
+        upto = np.concatenate([[0], total])[np.searchsorted(start, ends)]
+        for i, a, b in zip(some, [0, *upto[:-1].tolist()], upto.tolist(), strict=True):
+            out[i] = flat[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -128,26 +209,25 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     which Spark writes will do; column ``frame`` is the format of range_coder.py. Only 16-bit vocabularies are taken.
     """
     tokenizer = tokenizer or tokenizer_path()
-    end = np.array([end_id], "<u2").tobytes()
+    end = np.array([end_id], "<u2")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, first, encoder = TaskContext.get().partitionId(), 0, 0, _encoder(tokenizer)
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            lengths = [len(x) // 2 for x in ids]
-            frame = write_block(names, lengths, np.frombuffer(b"".join(ids), "<u2"), first)
+            frame = write_block(names, [len(x) for x in ids], np.concatenate(ids), first)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "documents": pa.array([len(ids)], pa.int32()), "ids": pa.array([held], pa.int64()), "frame": pa.array([frame], pa.binary())})
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(at, TEXTS)
-                for name, raw in zip(some.column("doc_id").to_pylist(), encoder.encode([x or "" for x in some.column("text").to_pylist()]), strict=True):
-                    ids.append(raw + end)
+                for name, raw in zip(some.column("doc_id").to_pylist(), encoder.encode([x or b"" for x in some.column("text").cast(pa.binary()).to_pylist()]), strict=True):
+                    ids.append(np.append(raw, end))
                     names.append(name)
-                    held += len(ids[-1]) // 2
+                    held += len(ids[-1])
                     if held >= BLOCK_IDS:
                         yield close()
                         block, first, held, ids, names = block + 1, first + held, 0, [], []
