@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 Q = 7
 EDIT_SHARE = 0.1  # edits allowed, as a share of a passage's characters
 LEAST_SHARED = 8  # q-grams that a region must share at least; where the budget leaves fewer, the budget is lowered
@@ -184,6 +186,7 @@ def _checked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 edits = [[*(a or []), *(h[i] for i in sorted(h))] for a, h in zip(edits, hits, strict=True)]
                 new = {"__items": pa.array(items, pa.list_(pa.int64())), "__edits": pa.array(edits, pa.list_(pa.int32()))}
                 yield pa.RecordBatch.from_arrays([new.get(n, b.column(k)) for k, n in enumerate(b.schema.names)], names=b.schema.names)
+            common.trim()
 
         out = out.mapInArrow(check, out.schema)
     return out

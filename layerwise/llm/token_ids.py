@@ -21,8 +21,8 @@ from .range_coder import read_block, write_block
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 20  # a block closes when it holds so many ids; no document is split
-SLOTS = 1 << 22  # pieces that a worker's table has room for; it starts afresh at half of them
-BYTES = 1 << 20  # of text that are tokenized at once
+SLOTS = 1 << 21  # pieces that a worker's table has room for; it starts afresh at half of them
+BYTES = 1 << 19  # of text that are tokenized at once
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two hashes; odd
 TEXTS = 512  # documents that are handed over at once
 MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
@@ -233,6 +233,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                         block, first, held, ids, names = block + 1, first + held, 0, [], []
         if ids:
             yield close()
+        common.trim()
 
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.xxhash64("text"))
     dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(encode, BLOCKS).write.parquet(path)
@@ -256,6 +257,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(names)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "part": pa.array([row[0]] * n, pa.int32()), "block": pa.array([row[1]] * n, pa.int32()), "in_part": pa.array(first + starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        common.trim()
 
     blocks = spark.read.schema(BLOCKS).parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("ids").alias("n"))

@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         for b in batches:
             found = [terms(x.as_py()).view(np.int32) for x in b.column("text")]
             yield pa.RecordBatch.from_pydict({"id": b.column("__id"), "y": b.column("__y"), "terms": pa.array(found, pa.list_(pa.int32()))})
+        common.trim()
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text").mapInArrow(read, "id long, y int, terms array<int>")
