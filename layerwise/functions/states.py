@@ -130,19 +130,19 @@ def multiset_unrank(rank: int, counts) -> list[int]:
     return out
 
 
-def _mixed(column: Column) -> Column:
-    # The two multipliers of the SplitMix64 finaliser, signed
-    for shift, factor in ((30, -4658895280553007687), (27, -7723592293110705685)):
-        column = column.bitwiseXOR(F.shiftrightunsigned(column, shift)) * F.lit(factor)
-    return column.bitwiseXOR(F.shiftrightunsigned(column, 31))
+#: Shifts and (signed) multipliers of the SplitMix64 finaliser.
+FINALISER = ((30, -4658895280553007687), (27, -7723592293110705685), (31, 1))
+
+
+def _mixed(h: str) -> str:
+    """SQL of the finaliser; lambda variables bind each step's value, so that it isn't written out twice."""
+    steps = ", ".join(f"named_struct('s', {s}, 'f', {f}L)" for s, f in FINALISER)
+    return f"aggregate(array({steps}), {h}, (a, x) -> (a ^ shiftrightunsigned(a, x.s)) * x.f)"
 
 
 def state_hash(state: str, n: int, seed: int = 0) -> Column:
     """h = mix(h ^ element ^ place) over the elements, mixed once more; needs ANSI mode off."""
-    h = F.lit(seed).cast("long")
-    for i in range(n):
-        h = _mixed(h.bitwiseXOR(F.col(state)[i]).bitwiseXOR(F.lit(i).cast("long")))
-    return _mixed(h)
+    return F.expr(_mixed(f"aggregate(sequence(0, {n - 1}), {seed}L, (h, i) -> {_mixed(f'(h ^ {state}[i] ^ bigint(i))')})"))
 
 
 def modular_hash(state: str, n: int, seed: bytes = b"") -> list[Column]:
