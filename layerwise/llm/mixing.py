@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 9
-BITS = 12  # a source's order is cut into 4,096 buckets, and the bucket at the cut into 4,096 again
+BITS, LEVELS = 8, 3  # a source's order is cut into 256 buckets, the bucket at the cut into 256 again, and so on
 
 
 def words(text: Column) -> Column:
@@ -39,7 +39,7 @@ def _ranked(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     q = F.when(F.col("part") > 0, odds)
     joined = joined.withColumn("q", q)
-    return joined.withColumn("place", F.floor(F.col("q") / (1 + F.col("q")) * (1 << 2 * BITS)).cast("long"))
+    return joined.withColumn("place", F.floor(F.col("q") / (1 + F.col("q")) * (1 << LEVELS * BITS)).cast("long"))
 
 
 def cut(sized: DataFrame, **options) -> DataFrame:
@@ -47,7 +47,7 @@ def cut(sized: DataFrame, **options) -> DataFrame:
     more), and where the sample ends: ``place`` of the last bucket and ``q`` of the last document in it.
 
     The sample takes documents in the order of q until its words come nearest to what is left of the target. Sums of
-    two levels of buckets find the last bucket, so that only about one row in 16 million of a source is ordered.
+    three levels of buckets find the last bucket, so that only about one row in 16 million of a source is ordered.
     """
     aims = targets(sized, **options)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -57,17 +57,15 @@ def cut(sized: DataFrame, **options) -> DataFrame:
     goal = aims.withColumn("left", F.col("part") * F.col("source_size"))
     ranked = _ranked(sized, goal.select("source", "part", "left")).where("part > 0")
     done = F.lit(0.0)
-    for level in (1, 2):
-        bucket = F.shiftright("place", BITS) if level == 1 else F.col("place")
+    for level in range(1, LEVELS + 1):
+        bucket = F.shiftright("place", (LEVELS - level) * BITS)
         sums = ranked.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"), *([] if level == 1 else [F.first("done").alias("done")]))
-        w = Window.partitionBy("source").orderBy("bucket")
-        upto = F.sum("n").over(w)
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))  # 256 rows at most
         sums = sums.select("source", "bucket", "n", "left", (upto - F.col("n") + done).alias("before"))
         # the first bucket that reaches what is left; buckets before it are whole
         ends = sums.where(F.col("before") + F.col("n") >= F.col("left")).groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("x"))
         ends = common.stored(ends.select(F.col("source").alias("__s"), F.col("x.bucket").alias("end"), F.col("x.before").cast("double").alias("done")), "ends")
-        inside = F.shiftright("place", BITS) == F.col("end") if level == 1 else F.col("place") == F.col("end")
-        ranked = ranked.drop("done", "end").join(ends, F.col("source").eqNullSafe(F.col("__s")) & inside).drop("__s")
+        ranked = ranked.drop("done", "end").join(ends, F.col("source").eqNullSafe(F.col("__s")) & (bucket == F.col("end"))).drop("__s")
         done = F.col("done")
     group = ranked.groupBy("source", "q").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("done").alias("done"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("q")) - F.col("n")
