@@ -10,7 +10,7 @@ no pattern names but that look drawn at random from an encoding's alphabet:
    written in that alphabet. The p-value is the lower tail: it gets small only when n is large enough to tell.
 4. The token must also look random to three two-sided tests: chi-squared against uniformity, runs of character classes
    (Wald-Wolfowitz) and lag-1 serial correlation; the least of the three p-values, times three, must reach 0.001.
-5. The p-values of a document's candidates go through a Benjamini-Hochberg step at 1 %, weighted by length.
+5. The p-values of a document's candidates go through a Benjamini-Hochberg step at 0.1 %, weighted by length.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more: no part of a faili
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more, likewise
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
-FALSE_DISCOVERIES, CONSISTENT = 0.01, 0.001
+FALSE_DISCOVERIES, CONSISTENT = 0.001, 0.001
 #: Excess of repeated symbols under the language null, by alphabet size (sum of squared shares * k - 1).
 EXCESS = {16: 0.6, 36: 1.4, 64: 3.3}
 
