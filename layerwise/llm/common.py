@@ -32,7 +32,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._stored)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def trim() -> None:
@@ -63,7 +72,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"
     )
-    spark = e.sparkSession
     while True:
         # large-star: each node's neighbours above it go to the smallest node around it
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,6 +90,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # done when no node is both a child and a parent, and each child has one parent
         roots = nxt.select(F.col("v").alias("u")).distinct()
         left = nxt.join(roots, "u", "left_semi").limit(1).count() + nxt.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(e)
+        discard(small)
         e = nxt
         if not left:
             break
