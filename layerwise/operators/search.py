@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states as S
 from ..functions.bounds import orbit_bound
-from ..plans.session import materialized, numbered, sized, wrapping
+from ..plans.session import discard, materialized, numbered, sized, wrapping
 from ..plans.spec import GraphError, GraphSpec
 
 DRIVER_STATES = 65_536  # orbits that are proved to be no larger may be searched on the driver
@@ -131,7 +131,9 @@ def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int
         out.sizes.append(n)
         out.frames[out.completed_depth] = cur
         if retain is not None and len(out.frames) > retain:
-            out.frames.pop(min(out.frames))
+            gone = out.frames.pop(min(out.frames))
+            if all(gone is not h for h in history):
+                discard(gone)
         if stop := limit(out):
             out.status, out.reason = "INCOMPLETE", stop
             break
@@ -142,7 +144,11 @@ def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int
             fresh = kids.unionByName(past).groupBy("state").agg(F.min("new").alias("new")).where("new = 1").select("state")
             cur, n = materialized(fresh, "layer")
         out.seconds.append(time.monotonic() - t)
+        old = history[:-1] if rolling else []
         history = [history[-1], cur] if rolling else [*history, cur]
+        for h in old:
+            if all(h is not f for f in out.frames.values()):
+                discard(h)
     return out
 
 

@@ -30,7 +30,17 @@ def materialized(df: DataFrame, what: str) -> tuple[DataFrame, int]:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out, int(seen.get["n"])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialized`` that nothing reads any more; other frames are left alone."""
+    if stored := getattr(df, "_stored", None) if "_stored" in df.__dict__ else None:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(stored)
+        path.getFileSystem(conf).delete(path, True)
 
 
 @contextlib.contextmanager
