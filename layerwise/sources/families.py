@@ -255,3 +255,26 @@ def geometric(points: DataFrame, radius: float) -> DataFrame:
 
 
 FAMILIES: dict[str, Callable[..., GraphSpec]] = {"coxeter": coxeter, "lrx": lrx, "pancake": pancake, "star": star, "transpositions": transpositions, "unitriangular": unitriangular, "cube": cube}
+
+
+def configuration(degrees: DataFrame, seed: int) -> DataFrame:
+    """The erased configuration model of (vertex, degree): half-edges in the order of a hash are paired, loops and
+    repeated edges dropped. A regular graph is the case of equal degrees. No task sees all half-edges."""
+    from ..plans.session import numbered
+
+    halves = degrees.where("degree > 0").select("vertex", F.explode(F.expr("sequence(1, int(degree))")).alias("i"))
+    placed, n = numbered(halves.select("vertex", "i", F.xxhash64(F.lit(seed), "vertex", "i").alias("h")), ["h", "vertex", "i"], "place", "halves")
+    pairs = placed.where(F.col("place") < n - n % 2).groupBy(F.floor(F.col("place") / 2).alias("k")).agg(F.min("vertex").alias("src"), F.max("vertex").alias("dst"))
+    return both_ways(pairs.where("src <> dst").select("src", "dst")).distinct()
+
+
+def from_puzzle(text: str, inverse_pairs: bool = True) -> GraphSpec:
+    """A puzzle's JSON {name, central_state, generators: {move: permutation}}: every move a bijection and, if asked, with its
+    inverse among the moves. Moves keep the document's order."""
+    import json
+
+    data = json.loads(text)
+    spec = permutation(data.get("name", "puzzle"), data["generators"].values(), data["central_state"], list(data["generators"]))
+    if inverse_pairs and any(inverse(g) not in spec.generators for g in spec.generators):
+        raise GraphError("GRAPH_PERMUTATION_GENERATOR")
+    return spec

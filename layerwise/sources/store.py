@@ -173,3 +173,18 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def sweep_timing(cases: DataFrame) -> DataFrame:
     return cases.groupBy("backend").agg(F.count("*").alias("cases"), F.count_if("attempted").alias("attempted"), F.sum(F.when(F.col("attempted"), F.col("seconds")).otherwise(0.0)).alias("seconds"))
+
+
+def cohorts(cases: list[tuple[str, int, int]], most: int = 20, most_bytes: int = 2_000_000_000) -> list[list[str]]:
+    """Cases (key, width, bytes) in order, grouped for shared files: equal widths, ``most`` cases, ``most_bytes`` (a larger
+    case stands alone)."""
+    out: list[list[str]] = []
+    held, width_now = 0, None
+    for key, width, size in cases:
+        if out and width == width_now and len(out[-1]) < most and held + size <= most_bytes:
+            out[-1].append(key)
+            held += size
+        else:
+            out.append([key])
+            held, width_now = size, width
+    return out

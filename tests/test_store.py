@@ -76,3 +76,21 @@ def test_feed(spark, tmp_path):
     assert {x.depth: x.states for x in feed.consume(spark, folder, target, mark).collect()} == {0: 1, 1: 2}
     feed.publish(r.layer(2), folder, 2, r.sizes[2])
     assert {x.depth: x.states for x in feed.consume(spark, folder, target, mark).collect()} == {0: 1, 1: 2, 2: 2}
+
+
+def test_cohorts():
+    assert store.cohorts([("a", 8, 5), ("b", 8, 5), ("c", 8, 1), ("d", 16, 1), ("e", 16, 99)], 20, 10) == [["a", "b"], ["c"], ["d"], ["e"]]
+    assert store.cohorts([(str(i), 8, 0) for i in range(5)], 2) == [["0", "1"], ["2", "3"], ["4"]] and store.cohorts([]) == []
+
+
+def test_configuration_model_and_puzzles(spark):
+    degrees = spark.range(60).selectExpr("id AS vertex", "3 AS degree")
+    edges = Fam.configuration(degrees, 4)
+    rows = {(r.src, r.dst) for r in edges.collect()}
+    assert rows == {(r.src, r.dst) for r in Fam.configuration(degrees.repartition(3), 4).collect()} and all((b, a) in rows and a != b for a, b in rows)
+    per = [sum(a == v for a, _ in rows) for v in range(60)]
+    assert max(per) <= 3 and sum(per) >= 150
+    g = Fam.from_puzzle('{"name": "p", "central_state": [0, 1, 2], "generators": {"r": [1, 2, 0], "l": [2, 0, 1]}}')
+    assert g.names == ("r", "l") and list(map(len, g.exact_layers(9))) == [1, 2]
+    with pytest.raises(P.GraphError):
+        Fam.from_puzzle('{"central_state": [0, 1, 2], "generators": {"r": [1, 2, 0]}}')
