@@ -1,7 +1,7 @@
 """Column expressions on states: successors, packing, ranks, hashes, owners and closed-form metrics.
 
 States are array<bigint>, or one bigint of ``bits`` per element where that fits (lane L1). Everything stays inside
-Catalyst expressions. Covers PR1-PR4, PR6-PR8, PR12-PR19, PR20-PR27.
+Catalyst expressions. Covers PR1-PR4, PR6-PR8, PR12-PR27.
 """
 
 from __future__ import annotations
@@ -130,6 +130,60 @@ def multiset_unrank(rank: int, counts) -> list[int]:
     return out
 
 
+def position_orbits(spec: GraphSpec) -> list[tuple[list[int], list[int], list[int]]]:
+    """(places, symbols, counts) of each class of places that the moves connect, by least place. The words over all
+    classes are closed under the moves; not each of them need be reachable."""
+    root = list(range(len(spec.start)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for g in spec.generators:
+        for to, source in enumerate(g):
+            root[max(top(to), top(source))] = min(top(to), top(source))
+    out, size = [], 1
+    for least in sorted({top(i) for i in root}):
+        places = [i for i in range(len(root)) if top(i) == least]
+        held = [spec.start[i] for i in places]
+        symbols = sorted(set(held))
+        out.append((places, symbols, [held.count(v) for v in symbols]))
+        size *= words_of(out[-1][2])
+    if size >= 1 << 63:
+        raise GraphError("BITMAP_DOMAIN_OVERFLOW")
+    return out
+
+
+def words_of(counts) -> int:
+    out = factorial(sum(counts))
+    for c in counts:
+        out //= factorial(c)
+    return out
+
+
+def orbit_rank(state: str, spec: GraphSpec) -> Column:
+    """Mixed-radix place of a state: one digit for each class of places, the first the most significant."""
+    out = F.lit(0).cast("long")
+    for places, symbols, counts in position_orbits(spec):
+        known = f"array({', '.join(f'{v}L' for v in symbols)})"
+        word = "array(" + ", ".join(f"array_position({known}, {state}[{i}]) - 1" for i in places) + ")"
+        out = out * words_of(counts) + multiset_rank(word, counts)
+    return out
+
+
+def orbit_unrank(rank: int, spec: GraphSpec) -> list[int]:
+    domains = position_orbits(spec)
+    state = [0] * len(spec.start)
+    for places, symbols, counts in reversed(domains):
+        rank, digit = divmod(rank, words_of(counts))
+        for i, v in zip(places, multiset_unrank(digit, counts), strict=True):
+            state[i] = symbols[v]
+    if rank:
+        raise GraphError("BITMAP_RANK_RANGE")
+    return state
+
+
 #: Shifts and (signed) multipliers of the SplitMix64 finaliser.
 FINALISER = ((30, -4658895280553007687), (27, -7723592293110705685), (31, 1))
 
@@ -189,6 +243,74 @@ def rank_owner(rank: Column, world: int) -> tuple[Column, Column]:
     return F.pmod(rank, F.lit(world)), F.floor(rank / world)
 
 
+def _stripe_turn(stripe: str, world: int) -> str:
+    """SQL: the finaliser of a stripe's number, as an unsigned value modulo ``world``."""
+    m = _mixed(stripe)
+    return f"pmod(pmod(shiftrightunsigned({m}, 1), {world}L) * 2 + ({m} & 1L), {world}L)"
+
+
+def page_map(rank: str, total: int, world: int, page: int) -> Column:
+    """A bijection of 0..total-1: in each whole stripe of ``world`` pages the pages' owners turn by a hash of the stripe,
+    and what is beyond the last whole stripe stays. Page 0 turns nothing. Needs ANSI mode off."""
+    edge = _turned(total, world, page)
+    if not edge:
+        return F.expr(rank)
+    stripe, slot = f"({rank} div {page * world}L)", f"({rank} div {page}L % {world}L)"
+    turned = f"({stripe} * {page}L + {rank} % {page}L) * {world}L + ({slot} + {_stripe_turn(stripe, world)}) % {world}L"
+    return F.expr(f"IF({rank} >= {edge}L, {rank}, {turned})")
+
+
+def page_unmap(mapped: str, total: int, world: int, page: int) -> Column:
+    edge = _turned(total, world, page)
+    if not edge:
+        return F.expr(mapped)
+    own, local = f"({mapped} % {world}L)", f"({mapped} div {world}L)"
+    stripe = f"({local} div {page}L)"
+    back = f"(({stripe} * {world}L + pmod({own} - {_stripe_turn(stripe, world)}, {world}L)) * {page}L + {local} % {page}L)"
+    return F.expr(f"IF({mapped} >= {edge}L, {mapped}, {back})")
+
+
+def _turned(total: int, world: int, page: int) -> int:
+    """Ranks below it turn."""
+    if total < 1 or not 1 <= world <= 128 or not 0 <= page <= 1 << 20 or page & (page - 1):
+        raise GraphError("BITMAP_PAGE_MAP_RANGE")
+    return total - total % (page * world) if page else 0
+
+
+def _signed(v: int) -> int:
+    return (v + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+#: What the two words of a lossless key are combined with before they are mixed.
+KEY_SALTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+
+
+def lossless_key(state: str, n: int, bits: int) -> list[Column]:
+    """(low, high) words of a state of up to 128 bits, mixed by a reversible network. Needs ANSI mode off."""
+    if not n or not 1 <= bits <= 8 or n * bits > 128:
+        raise GraphError("LOSSLESS_KEY_DOMAIN")
+    low = [f"shiftleft({state}[{i}], {bits * i})" for i in range(n) if bits * i < 64]
+    high = [f"shiftleft({state}[{i}], {bits * i - 64})" if bits * i >= 64 else f"shiftrightunsigned({state}[{i}], {64 - bits * i})" for i in range(n) if bits * (i + 1) > 64]
+    mix = lambda v, salt: _mixed(f"({v} ^ {_signed(salt)}L)")
+    words = f"named_struct('lo', {' | '.join(low)}, 'hi', {' | '.join(high) or '0L'})"
+    first = f"transform(array({words}), w -> named_struct('lo', w.lo ^ {mix('w.hi', KEY_SALTS[0])}, 'hi', w.hi))"
+    both = F.expr(f"transform({first}, w -> named_struct('lo', w.lo, 'hi', w.hi ^ {mix('w.lo', KEY_SALTS[1])}))[0]")
+    return [both["lo"], both["hi"]]
+
+
+def lossless_words(low: str, high: str) -> list[Column]:
+    """The packed words that ``lossless_key`` mixed."""
+    hi = f"({high} ^ {_mixed(f'({low} ^ {_signed(KEY_SALTS[1])}L)')})"
+    return [F.expr(f"{low} ^ {_mixed(f'({hi} ^ {_signed(KEY_SALTS[0])}L)')}"), F.expr(hi)]
+
+
+def affine_key(key: str, seed: bytes) -> Column:
+    """(key ^ a) * b modulo 2^64 of a packed state, b odd. Needs ANSI mode off."""
+    v = int.from_bytes(seed, "big")
+    odd, flip = (v ^ v >> 64) | 1, v ^ v << 32
+    return F.expr(f"({key} ^ {_signed(flip % (1 << 64))}L) * {_signed(odd % (1 << 64))}L")
+
+
 def inversions(state: str, n: int) -> Column:
     return F.expr(" + ".join(f"int({state}[{i}] > {state}[{j}])" for i in range(n) for j in range(i + 1, n)) or "0")
 

@@ -1,8 +1,8 @@
-"""Checks of results, as queries whose rows are errors. Covers FL3, FL4, FL9-FL11, FL13-FL15."""
+"""Checks of results, as queries whose rows are errors. Covers FL3, FL4, FL9-FL11, FL13-FL15, BF25."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,13 @@ def pruned(cases: DataFrame) -> DataFrame:
     c = classify(cases)
     first = c.where("resource_stop").groupBy("r").agg(F.min("n").alias("first"))
     return c.join(first, "r", "left").select(*c.columns, F.coalesce(F.col("n") > F.col("first"), F.lit(False)).alias("skip"))
+
+
+def publication_schedules(spark: SparkSession) -> DataFrame:
+    """What becomes of a claimed state in each order of three events (its claimant stops, the claimant publishes, a helper
+    recovers) under three protocols; only the first leaves a helper nothing to publish."""
+    return spark.sql("""
+        WITH p AS (SELECT explode(array('blind_drop', 'helpable_descriptor', 'logged_intent')) AS protocol),
+        s AS (SELECT explode(array('stop,publish,recover', 'stop,recover,publish', 'publish,stop,recover', 'publish,recover,stop', 'recover,stop,publish', 'recover,publish,stop')) AS schedule),
+        o AS (SELECT protocol, schedule, int(instr(schedule, 'publish') < instr(schedule, 'stop')) + int(protocol <> 'blind_drop') AS attempts FROM p, s)
+        SELECT protocol, schedule, attempts > 0 AS published, attempts, least(attempts, 1) AS unique_publications FROM o""")

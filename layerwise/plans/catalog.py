@@ -14,7 +14,7 @@ from ..operators import macro as M
 from ..operators import search as Q
 from ..operators import verify as V
 from ..sources import families as Fam
-from ..sources import store
+from ..sources import samples, store
 from .session import wrapping
 from .spec import GraphSpec
 
@@ -159,6 +159,14 @@ def _root(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0,)], "vertex long")
 
 
+def _paged(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys through the page map and back."""
+    with wrapping(spark):
+        k = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("rank")).where(f"rank BETWEEN 0 AND {10**12 - 1}")
+        k = k.withColumn("mapped", S.page_map("rank", 10**12, 6, 64))
+        return k.select("rank", S.page_unmap("mapped", 10**12, 6, 64).alias("back"))
+
+
 def _tables() -> dict[str, tuple[Query, str]]:
     keyed, zero = _with(_key_sql(), "CAST(0 AS BIGINT)"), lambda n: _with(_key_sql(n), "CAST(0 AS BIGINT)")
     out: dict[str, tuple[Query, str]] = {
@@ -205,6 +213,21 @@ SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(ma
             lambda s, d: A.cut_fraction(key_graph(s, d), lambda c: F.pmod(c, F.lit(4))).select("edges", "remote"),
             f"SELECT count(*) AS edges, CAST(count_if(src % 4 <> dst % 4) AS BIGINT) AS remote FROM ({_key_sql()})",
         ),
+        "src31_footer_rows": (
+            lambda s, d: store.footers(s.createDataFrame([("orders.parquet",), ("events.parquet",)], "path string"), d, 2).select("path", "footer_rows"),
+            "SELECT 'orders.parquet' AS path, count(*) AS footer_rows FROM orders UNION ALL SELECT 'events.parquet', count(*) FROM events",
+        ),
+        "ag19_layer_digests": (
+            lambda s, d: store.layer_digests(_t(s, d, "nation").select(F.col("n_regionkey").cast("int").alias("depth"), F.lit(0).alias("rank"), F.col("n_nationkey").alias("rank_ordinal"), F.col("n_name").cast("binary").alias("state"))),
+            "SELECT CAST(n_regionkey AS INTEGER) AS depth, sha256(string_agg(chr(0) || chr(0) || chr(0) || chr(0) || n_name, '' ORDER BY n_nationkey)) AS content_sha256 FROM nation GROUP BY 1",
+        ),
+        "pr17_order_pages": (_paged, f"WITH t AS (SELECT o_orderkey r FROM orders WHERE o_orderkey BETWEEN 0 AND {10**12 - 1}) SELECT r AS rank, r AS back FROM t"),
+        "bf25_publication_schedules": (
+            lambda s, d: V.publication_schedules(s),
+            """SELECT p AS protocol, x AS schedule, n > 0 AS published, CAST(n AS INTEGER) AS attempts, CAST(least(n, 1) AS INTEGER) AS unique_publications FROM (
+SELECT p, x, CAST(position('publish' IN x) < position('stop' IN x) AS INTEGER) + CAST(p <> 'blind_drop' AS INTEGER) n FROM unnest(['blind_drop', 'helpable_descriptor', 'logged_intent']) a(p), (
+SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recover']) a(e), unnest(['stop', 'publish', 'recover']) b(e), unnest(['stop', 'publish', 'recover']) c(e) WHERE a.e <> b.e AND b.e <> c.e AND a.e <> c.e))""",
+        ),
         "ag13_conservation": (lambda s, d: A.conservation(A.level_breakdown(g := key_graph(s, d, 3), Q.distances(g, _root(s)))).select("depth"), "SELECT CAST(0 AS INTEGER) AS depth WHERE false"),
         "bf16_covering_radius": (
             lambda s, d: Q.eccentricity(g := key_graph(s, d, 3), g.select(F.col("src").alias("vertex")), s.createDataFrame([(i,) for i in range(5)], "vertex long")),
@@ -287,6 +310,17 @@ def _others() -> dict[str, Query]:
             h = s.select("depth", S.state_hash("state", 5, 20_260_828).alias("h"), *[c.alias(f"lane{i}") for i, c in enumerate(S.modular_hash("state", 5))])
             return h.select("depth", F.hex("h").alias("hash"), S.owner(F.col("h"), 4).alias("owner"), S.shard(F.col("h"), 8).alias("shard"), "lane0", "lane1", "lane2", "lane3")
 
+    def keys(spark: SparkSession, d: str) -> DataFrame:
+        spec = Fam.lrx(6, 3)
+        s = Q.layers(spark, spec, lane="array").states()
+        with wrapping(spark):
+            low, high = S.lossless_key("state", 6, 8)
+            return s.select("depth", S.orbit_rank("state", spec).alias("rank"), low.alias("low"), high.alias("high"), S.affine_key("low", b"0123456789abcdef").alias("key"))
+
+    def sampled(spark: SparkSession, d: str) -> DataFrame:
+        g = samples.random_graph(spark, 2000, 4.0, 0x9E3779B97F4A7C15 ^ 0x100000001B3)
+        return A.layer_sizes(Q.distances(g, _root(spark)))
+
     def strong(spark: SparkSession, d: str) -> DataFrame:
         g = event_graph(spark, d)
         return A.strong_components(g, g.select(F.col("src").alias("vertex")).union(g.select("dst"))).groupBy("component").agg(F.count("*").alias("vertices"))
@@ -297,7 +331,7 @@ def _others() -> dict[str, Query]:
     def ordinals(spark: SparkSession, d: str) -> DataFrame:
         return store.with_ordinals(Q.layers(spark, Fam.coxeter(5), lane="array").states()).select("depth", "ordinal", F.array_join("state", ",").alias("state"))
 
-    return {"bf2_labeled_s4": labeled, "bf5_target_search": target, "bf6_bidirectional": both, "bf7_owner_rounds": rounds, "bf9_macro_u3m3": macro, "ag20_word_audit": words, "pr18_pr26_hash_owner": hashes, "bf19_strong_components": strong, "so5_ordinals": ordinals}
+    return {"bf2_labeled_s4": labeled, "bf5_target_search": target, "bf6_bidirectional": both, "bf7_owner_rounds": rounds, "bf9_macro_u3m3": macro, "ag20_word_audit": words, "pr15_pr22_pr23_state_keys": keys, "pr18_pr26_hash_owner": hashes, "src23_sampled_graph": sampled, "bf19_strong_components": strong, "so5_ordinals": ordinals}
 
 
 def _pairs() -> dict[str, tuple[Query, str]]:

@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import GraphError, GraphSpec, catalogued, from_cycles, inverse, matrix, permutation
@@ -247,11 +247,20 @@ def small_world(spark: SparkSession, n: int, shortcuts: int, seed: int) -> DataF
     return both_ways(ring.unionByName(extra)).distinct()
 
 
-def geometric(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs of points (id, x, y) at most ``radius`` apart: a join on grid cells of that width and their neighbours."""
-    cell = points.select("id", "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    near = cell.select("id", "x", "y", F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")).select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "c.cx", "c.cy")
-    return cell.join(near, ["cx", "cy"]).where(f"id <> dst AND pow(x - x2, 2) + pow(y - y2, 2) <= {radius**2!r}").select(F.col("id").alias("src"), "dst")
+def geometric(points: DataFrame, radius: float, torus: bool = False) -> DataFrame:
+    """Pairs of points (id, x, y) at most ``radius`` apart, in the plane or on the unit torus: a join on grid cells at least
+    that wide and their neighbours."""
+    most = max(1, int(1 / radius))
+    wide, wrap = (1 / most, lambda c: F.pmod(c, F.lit(most))) if torus else (radius, lambda c: c)
+    cell = points.select("id", "x", "y", wrap(F.floor(F.col("x") / wide)).alias("cx"), wrap(F.floor(F.col("y") / wide)).alias("cy"))
+    around = F.array_distinct(F.array(*[F.struct(wrap(F.col("cx") + a).alias("cx"), wrap(F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    near = cell.select("id", "x", "y", F.explode(around).alias("c")).select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "c.cx", "c.cy")
+
+    def gap(a: str, b: str) -> Column:
+        d = F.abs(F.col(a) - F.col(b))
+        return F.least(d, 1 - d) if torus else d
+
+    return cell.join(near, ["cx", "cy"]).where("id <> dst").where(F.pow(gap("x", "x2"), 2) + F.pow(gap("y", "y2"), 2) <= radius**2).select(F.col("id").alias("src"), "dst")
 
 
 FAMILIES: dict[str, Callable[..., GraphSpec]] = {"coxeter": coxeter, "lrx": lrx, "pancake": pancake, "star": star, "transpositions": transpositions, "unitriangular": unitriangular, "cube": cube}

@@ -1,6 +1,6 @@
 """Result stores: states by layer, retention, ordinals, dataset tables, receipts, ledgers.
 
-Covers SRC29, SRC30, SRC32, SNK1, SNK3-SNK8, SNK10-SNK12, SO3, SO4, SO9, SO10, D11, D13-D16, AG17.
+Covers SRC29-SRC32, SNK1, SNK3-SNK8, SNK10-SNK12, SO3, SO4, SO9, SO10, D11, D13-D16, AG17, AG19.
 """
 
 from __future__ import annotations
@@ -8,12 +8,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.search import Layers
-from ..plans.session import numbered
+from ..plans.session import materialized, numbered
 
 SAMPLE = 1_000
 TAIL = "n smallint, r smallint, depth int, ordinal bigint, state binary"
@@ -117,6 +119,81 @@ def verify_dataset(spark: SparkSession, path: str) -> DataFrame:
     return twice.unionByName(off).unionByName(wrong)
 
 
+def layer_digests(states: DataFrame, hashes: str | None = None) -> DataFrame:
+    """(depth, content_sha256): SHA-256 of each layer's records by rank and ordinal, a record being its rank (u32,
+    little-endian), its state and, if a column of that name is given, its hash. A chain of hashing has no parallel form:
+    one task reads a layer, from a sort that spills, a batch at a time."""
+    le = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex("rank"), 8, "0"), F.lit("(..)"), F.lit(1))), ""))
+    record = F.concat(le, F.col("state"), *([F.col(hashes)] if hashes else []))
+    # rows without a state or rank have no record; a layer of nothing else has no digest
+    rows = states.select("depth", "rank", "rank_ordinal", record.alias("record")).where("record IS NOT NULL").repartition("depth").sortWithinPartitions("depth", "rank", "rank_ordinal").select("depth", "record")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, h = None, None
+        done: list[tuple[int, str]] = []
+        for b in batches:
+            for depth, record in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if depth != at or h is None:
+                    if h is not None:
+                        done.append((at, h.hexdigest()))
+                    at, h = depth, hashlib.sha256()
+                h.update(record.as_buffer())
+        if h is not None:
+            done.append((at, h.hexdigest()))
+        yield pa.RecordBatch.from_pydict({"depth": pa.array([d for d, _ in done], pa.int32()), "content_sha256": pa.array([x for _, x in done], pa.string())})
+
+    return rows.select(F.col("depth").cast("int").alias("depth"), "record").mapInArrow(run, "depth int, content_sha256 string")
+
+
+#: Fixed value: names of state files, with their rank and part.
+PART = r"^states/.+-rank-(\d{5})-part-(\d{8})\.parquet$"
+
+
+def footers(files: DataFrame, folder: str, tasks: int = 64) -> DataFrame:
+    """(path, footer_rows, fields) of the Parquet files ``path`` below ``folder`` (a path or URI that every executor
+    reaches); only footers are read. A file that can't be read has null in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for b in batches:
+            out: dict[str, list] = {"path": [], "footer_rows": [], "fields": []}
+            for path in b.column(0).to_pylist():
+                try:
+                    with fs.open_input_file(f"{root}/{path}") as f:
+                        m = pq.read_metadata(f)
+                    rows, fields = m.num_rows, json.dumps([[x.name, str(x.type), x.nullable] for x in m.schema.to_arrow_schema()])
+                except (OSError, pa.ArrowException):
+                    rows = fields = None
+                for name, v in zip(out, (path, rows, fields), strict=True):
+                    out[name].append(v)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(out["path"], pa.string()), "footer_rows": pa.array(out["footer_rows"], pa.int64()), "fields": pa.array(out["fields"], pa.string())})
+
+    return files.select("path").repartition(tasks).mapInArrow(run, "path string, footer_rows long, fields string")
+
+
+def audit_footers(files: DataFrame, folder: str, world: int, layer_counts: list[int], most_rows: int = 1_000_000) -> DataFrame:
+    """(error, detail) of a manifest's files (path, rows or null) against their footers: names, ranks below ``world``, rows,
+    one schema, parts of a rank numbered from 0 without a gap, and the sum of the layers."""
+    read, _ = materialized(footers(files.select("path").distinct(), folder), "footers")
+    named = F.regexp_extract("path", PART, 1)
+    f = files.select("path", F.col("rows").cast("long").alias("rows")).join(read, "path").withColumn("rank", F.when(named != "", named.cast("int"))).withColumn("part", F.when(named != "", F.regexp_extract("path", PART, 2).cast("int")))
+    say = lambda df, code, detail: df.select(F.lit(code).alias("error"), detail.cast("string").alias("detail"))
+    path, none = F.col("path"), F.lit(None)
+    out = say(f.where("rank IS NULL"), "FOOTER_PATH", path)
+    out = out.unionByName(say(f.where(F.col("rank") >= world), "FOOTER_RANK", path))
+    out = out.unionByName(say(f.where("footer_rows IS NULL"), "FOOTER_UNREADABLE", path))
+    out = out.unionByName(say(f.where("rows <> footer_rows"), "FOOTER_FILE_ROWS", path))
+    out = out.unionByName(say(f.agg(F.count("rows").alias("given"), F.count("*").alias("n")).where("given NOT IN (0, n)"), "FOOTER_FILE_ROWS_PARTIAL", none))
+    out = out.unionByName(say(f.where(f"footer_rows NOT BETWEEN 1 AND {most_rows}"), "FOOTER_ROWS_PER_PART", path))
+    out = out.unionByName(say(f.where("rank IS NOT NULL").groupBy("rank", "part").count().where("count > 1"), "FOOTER_DUPLICATE_PART", F.concat_ws("/", "rank", "part")))
+    out = out.unionByName(say(f.agg(F.countDistinct("fields").alias("k")).where("k > 1"), "FOOTER_SCHEMA", none))
+    out = out.unionByName(say(f.where("rank IS NOT NULL").groupBy("rank").agg(F.max("part").alias("last"), F.countDistinct("part").alias("k")).where("k <> last + 1"), "FOOTER_PART_SEQUENCE", F.col("rank")))
+    return out.unionByName(say(f.agg(F.coalesce(F.sum("footer_rows"), F.lit(0)).alias("n")).where(F.col("n") != sum(layer_counts)), "FOOTER_ROW_TOTAL", F.col("n")))
+
+
 def combine_ranks(receipts: DataFrame) -> DataFrame:
     """Rank receipts (rank, config_digest, layer_counts) of one run as (depth, states); RANK_SET or CONFIG if they disagree."""
     a = receipts.agg(F.count("*").alias("n"), F.countDistinct("rank").alias("k"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("config_digest").alias("c")).first()

@@ -94,3 +94,35 @@ def test_configuration_model_and_puzzles(spark):
     assert g.names == ("r", "l") and list(map(len, g.exact_layers(9))) == [1, 2]
     with pytest.raises(P.GraphError):
         Fam.from_puzzle('{"central_state": [0, 1, 2], "generators": {"r": [1, 2, 0]}}')
+
+
+def test_footers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "states").mkdir()
+    name = lambda rank, part: f"states/x-rank-{rank:05d}-part-{part:08d}.parquet"
+    for rank, part, n in ((0, 0, 3), (0, 1, 2), (1, 0, 4)):
+        pq.write_table(pa.table({"depth": pa.array(range(n), pa.int32())}), tmp_path / name(rank, part))
+    pq.write_table(pa.table({"depth": pa.array([1], pa.int64())}), tmp_path / name(1, 2))
+    files = lambda *f: spark.createDataFrame(f, "path string, rows long")
+    audit = lambda df, world=2, counts=(1, 8): {r.error for r in store.audit_footers(df, str(tmp_path), world, list(counts)).collect()}
+    good = [(name(0, 0), 3), (name(0, 1), 2), (name(1, 0), 4)]
+    assert audit(files(*good)) == set() == audit(files(*[(p, None) for p, _ in good]))
+    assert audit(files(*good), 1, (9, 1)) == {"FOOTER_RANK", "FOOTER_ROW_TOTAL"}
+    assert audit(files((name(0, 0), 4), *good[1:])) == {"FOOTER_FILE_ROWS"}
+    assert audit(files(*good, (name(1, 2), None)), counts=(10,)) == {"FOOTER_FILE_ROWS_PARTIAL", "FOOTER_SCHEMA", "FOOTER_PART_SEQUENCE"}
+    assert audit(files(*good, (name(0, 0), 3)), counts=(12,)) == {"FOOTER_DUPLICATE_PART"}
+    assert audit(files(*good, ("states/none.parquet", 1))) == {"FOOTER_PATH", "FOOTER_UNREADABLE"}
+    assert audit(files(), counts=()) == set()
+
+
+def test_layer_digests(spark):
+    import hashlib
+
+    rows = [(d, r, o, f"{d}{r}{o}".encode(), bytes([o]) * 16) for d in range(3) for r in (0, 258) for o in range(40)]
+    df = spark.createDataFrame(rows, "depth int, rank int, rank_ordinal long, state binary, hash128_le binary")
+    for hashes in (None, "hash128_le"):
+        want = {d: hashlib.sha256(b"".join(r.to_bytes(4, "little") + s + (h if hashes else b"") for e, r, _, s, h in sorted(rows) if e == d)).hexdigest() for d in range(3)}
+        assert {x.depth: x.content_sha256 for x in store.layer_digests(df, hashes).collect()} == want
+    assert store.layer_digests(df.where("false")).count() == 0 == store.layer_digests(df.withColumn("state", df.state.substr(1, 0)).where("rank IS NULL")).count()
