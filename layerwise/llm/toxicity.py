@@ -19,7 +19,7 @@ from . import common
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on at most
 LEAST_DOCS = 8  # of the sample, that a term must be in
-FACTORS, EPOCHS, BATCH, RATE, L1, L2 = 8, 18, 256, 0.15, 8e-3, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, L1, L2 = 8, 18, 256, 0.15, 8e-3, 1e-3
 LEAST_WEIGHT = 0.15  # of a term after the linear epochs, to stay
 THRESHOLD = 0.7
 STEPS = 800  # batches at least; small samples take more epochs
@@ -69,7 +69,8 @@ def _raw(bias, weight, factor, at, row, n):
 
 def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Log loss, AdaGrad. The first third of the epochs fits linear weights under an L1 penalty, which keeps few terms;
-    the rest fits those terms' weights and factors, so that pairs can weigh more or less than their sum."""
+    the rest fits those terms' weights, without that penalty and in larger steps, and factors, so that pairs can weigh
+    more or less than their sum. A penalty there would leave a term's evidence to its pairs, and miss it alone."""
     y = labels.astype(float)
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
@@ -108,10 +109,11 @@ def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
             g = np.bincount(at, e[row], len(known))
             seen = g != 0
             gw[seen] += g[seen] ** 2
-            rate = RATE / np.sqrt(gw)
+            rate = (RATE if epoch < epochs // 3 else 2 * RATE) / np.sqrt(gw)
             weight -= rate * g
-            weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * (L1 if epoch < epochs // 3 else L1 / 10), 0)
-            if epoch >= epochs // 3:
+            if epoch < epochs // 3:
+                weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * L1, 0)
+            else:
                 h = np.stack([np.bincount(at, e[row] * (sums[row, f] - factor[at, f]), len(known)) for f in range(FACTORS)], 1) + L2 * factor * seen[:, None]
                 gf += h**2
                 factor -= RATE / 3 * h / np.sqrt(gf)
