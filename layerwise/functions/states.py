@@ -38,13 +38,17 @@ def unpack(key: str, n: int, bits: int) -> Column:
     return F.expr("array(" + ", ".join(f"shiftrightunsigned({key}, {bits * i}) & {(1 << bits) - 1}L" for i in range(n)) + ")")
 
 
-def packed_child(key: str, g, bits: int) -> Column:
-    """The child of a packed state: fields that move by the same distance move together under one mask."""
+def packed_moves(g, bits: int) -> list[tuple[int, int]]:
+    """(distance, mask): fields that move by the same distance move together under one mask."""
     by: dict[int, int] = {}
     for to, source in enumerate(g):
         by[to - source] = by.get(to - source, 0) | ((1 << bits) - 1) << bits * source
+    return sorted(by.items())
+
+
+def packed_child(key: str, g, bits: int) -> Column:
     parts = []
-    for d, mask in sorted(by.items()):
+    for d, mask in packed_moves(g, bits):
         field = f"({key} & {mask}L)"
         parts.append(f"shiftleft({field}, {bits * d})" if d > 0 else f"shiftrightunsigned({field}, {-bits * d})" if d < 0 else field)
     return F.expr(" | ".join(parts))

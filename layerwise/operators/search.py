@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from ..plans.session import discard, materialized, numbered, sized, wrapping
 from ..plans.spec import GraphError, GraphSpec
 
 DRIVER_STATES = 65_536  # orbits that are proved to be no larger may be searched on the driver
+DRIVER_CHILDREN = 1 << 20  # of a layer in the hybrid lane that the driver steps itself: 8 MB
+DRIVER_HELD = 1 << 23  # retained states of the hybrid lane that stay on the driver: 64 MB
 
 
 @dataclass
@@ -38,7 +41,7 @@ class Layers:
     spark: SparkSession
     bits: int | None
     sizes: list[int] = field(default_factory=list)
-    frames: dict[int, DataFrame] = field(default_factory=dict)
+    frames: dict[int, DataFrame | np.ndarray] = field(default_factory=dict)
     status: str = "COMPLETE"
     reason: str = "FRONTIER_EXHAUSTED"
     seconds: list[float] = field(default_factory=list)
@@ -62,7 +65,7 @@ class Layers:
     def layer(self, depth: int) -> DataFrame:
         if depth not in self.frames:
             raise KeyError(depth)
-        f = self.frames[depth]
+        f = _frame(self.spark, self.frames[depth])
         return f.select(S.unpack("state", len(self.spec.start), self.bits).alias("state")) if self.bits else f
 
     def states(self) -> DataFrame:
@@ -71,6 +74,30 @@ class Layers:
         return reduce(DataFrame.unionByName, parts)
 
 
+def _frame(spark: SparkSession, layer: DataFrame | np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"state": layer})) if isinstance(layer, np.ndarray) else layer
+
+
+def _local(layer: DataFrame | np.ndarray) -> np.ndarray:
+    """Sorted packed states of a layer whose size the caller has checked."""
+    return layer if isinstance(layer, np.ndarray) else np.sort(layer.toArrow().column("state").to_numpy())
+
+
+def _packed_step(history: list[np.ndarray], spec: GraphSpec, bits: int) -> np.ndarray:
+    """The layer after the last of ``history``, sorted."""
+    cur = history[-1]
+    kids = np.empty((len(spec.generators), len(cur)), np.int64)
+    for row, g in zip(kids, spec.generators, strict=True):
+        row[:] = 0
+        for d, mask in S.packed_moves(g, bits):
+            row |= (cur & mask) << bits * d if d >= 0 else (cur & mask) >> -bits * d
+    new = np.unique(kids)
+    for old in history:
+        at = np.minimum(np.searchsorted(old, new), len(old) - 1)
+        new = new[old[at] != new]
+    return new
+
+
 def _driver_lane(spark: SparkSession, spec: GraphSpec, retain: int | None, limit) -> Layers:
     """The same search in NumPy for an orbit of at most DRIVER_STATES: a cluster would only add its latency."""
     out = Layers(spec, spark, None)
@@ -99,8 +126,10 @@ def _driver_lane(spark: SparkSession, spec: GraphSpec, retain: int | None, limit
 def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int | None = None, maximum_states: int | None = None, max_layers: int | None = None, max_seconds: float | None = None, cancelled=lambda: False) -> Layers:
     """Breadth-first layers of an orbit. Limits are looked at between layers, so every layer that is reported is whole.
 
-    lane: ``driver``, ``packed``, ``array``, or ``auto`` (driver for orbits proved small, else packed if states fit into
-    63 bits). ``retain``: how many of the last layers keep their states (all if None); the history that the search itself
+    lane: ``driver``, ``packed``, ``hybrid``, ``array``, or ``auto`` (driver for orbits proved small, else hybrid if
+    states fit into 63 bits and inverse closure is proved, else packed if they fit, else array). The hybrid lane is the
+    packed one, but that layers with at most DRIVER_CHILDREN children, which a job's latency would dominate, are stepped
+    in NumPy on the driver; layers pass from one to the other as their sizes, which are known, cross that. ``retain``: how many of the last layers keep their states (all if None); the history that the search itself
     needs is kept in any case. Stops: DEADLINE, PROFILE_LAYER_LIMIT, CANCELLED. ``maximum_states`` raises ORACLE_CAPACITY.
     """
     began = time.monotonic()
@@ -118,36 +147,48 @@ def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int
 
     if lane == "auto":
         bound = orbit_bound(spec)
-        lane = "driver" if bound is not None and bound <= DRIVER_STATES else "packed"
+        lane = "driver" if bound is not None and bound <= DRIVER_STATES else "hybrid"
     if lane == "driver":
         return _driver_lane(spark, spec, retain, limit)
-    bits = S.bits_of(spec) if lane == "packed" else None
+    bits = S.bits_of(spec) if lane in ("packed", "hybrid") else None
     rolling = spec.inverse_closed()
+    hybrid = lane == "hybrid" and bits is not None and rolling
     out = Layers(spec, spark, bits)
     kind = "bigint" if bits else "array<bigint>"
     cur = spark.createDataFrame([(S.packed(spec.start, bits) if bits else list(spec.start),)], f"state {kind}")
-    n, history = 1, [cur]
+    n, history, held = 1, [cur], 0
     while n:
         out.sizes.append(n)
         out.frames[out.completed_depth] = cur
+        held += n if isinstance(cur, np.ndarray) else 0
         if retain is not None and len(out.frames) > retain:
             gone = out.frames.pop(min(out.frames))
-            if all(gone is not h for h in history):
+            if isinstance(gone, np.ndarray):
+                held -= len(gone)
+            elif all(gone is not h for h in history):
                 discard(gone)
+        if held > DRIVER_HELD:
+            out.frames |= {d: materialized(_frame(spark, x), "layer")[0] for d, x in out.frames.items() if isinstance(x, np.ndarray)}
+            held = 0
         if stop := limit(out):
             out.status, out.reason = "INCOMPLETE", stop
             break
         t = time.monotonic()
-        with sized(spark, n * len(spec.generators) + sum(out.sizes[-2:] if rolling else out.sizes)), wrapping(spark):
-            kids = cur.select(F.explode(S.children(spec, "state", bits)).alias("state"), F.lit(1).alias("new"))
-            past = reduce(DataFrame.unionByName, history).select("state", F.lit(0).alias("new"))
-            fresh = kids.unionByName(past).groupBy("state").agg(F.min("new").alias("new")).where("new = 1").select("state")
-            cur, n = materialized(fresh, "layer")
+        if hybrid and max(out.sizes[-2:]) * len(spec.generators) <= DRIVER_CHILDREN:
+            cur = _packed_step([_local(h) for h in history], spec, bits)
+            n = len(cur)
+        else:
+            with sized(spark, n * len(spec.generators) + sum(out.sizes[-2:] if rolling else out.sizes)), wrapping(spark):
+                known = [_frame(spark, h) for h in history]
+                kids = known[-1].select(F.explode(S.children(spec, "state", bits)).alias("state"), F.lit(1).alias("new"))
+                past = reduce(DataFrame.unionByName, known).select("state", F.lit(0).alias("new"))
+                fresh = kids.unionByName(past).groupBy("state").agg(F.min("new").alias("new")).where("new = 1").select("state")
+                cur, n = materialized(fresh, "layer")
         out.seconds.append(time.monotonic() - t)
         old = history[:-1] if rolling else []
         history = [history[-1], cur] if rolling else [*history, cur]
         for h in old:
-            if all(h is not f for f in out.frames.values()):
+            if not isinstance(h, np.ndarray) and all(h is not f for f in out.frames.values()):
                 discard(h)
     return out
 

@@ -243,3 +243,22 @@ def test_engine(spark, tmp_path):
     with pytest.raises(ValueError):
         engine.Options(max_seconds=-1)
     assert engine.same_prefix(r, engine.run_graph(spark, Fam.lrx(6, 4).to_json(), lane="array", max_layers=2))
+
+
+def test_hybrid_lane(spark, monkeypatch):
+    """Layers that pass between the driver and the cluster, in both directions, are those of the packed lane."""
+    for spec in (Fam.coxeter(6), Fam.lrx(7, 2)):
+        want = Q.layers(spark, spec, lane="packed")
+        rows = sorted((r.depth, r.state) for r in want.states().collect())
+        for most, held in ((1 << 20, 1 << 23), (100, 1 << 23), (250, 100), (0, 100)):
+            monkeypatch.setattr(Q, "DRIVER_CHILDREN", most)
+            monkeypatch.setattr(Q, "DRIVER_HELD", held)
+            got = Q.layers(spark, spec, lane="hybrid")
+            assert got.sizes == want.sizes and sorted((r.depth, r.state) for r in got.states().collect()) == rows
+        monkeypatch.setattr(Q, "DRIVER_CHILDREN", 250)
+        few = Q.layers(spark, spec, lane="hybrid", retain=2)
+        assert few.sizes == want.sizes and sorted(few.frames) == [want.completed_depth - 1, want.completed_depth]
+        assert sorted((r.depth, r.state) for r in few.states().collect()) == [r for r in rows if r[0] >= want.completed_depth - 1]
+    monkeypatch.setattr(Q, "DRIVER_STATES", 0)
+    assert Q.layers(spark, Fam.coxeter(5)).sizes == [1, 4, 9, 15, 20, 22, 20, 15, 9, 4, 1]
+    assert Q.layers(spark, Fam.unitriangular(3, 2)).num_vertices() == 8
