@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,34 +17,48 @@ from . import common
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCK_BITS = 16  # four masked patterns of 16 bits: two fingerprints within 3 bits agree in one of them
 LEAF, FAN = 32, 16  # fingerprints of a leaf node, nodes of an upper node
+PIECE = 1 << 20  # bytes of a text that are cut into words at once
+_SPACE = re.compile(rb"[ \t-\r]")
 DEEP = 20_000  # fingerprints under one pattern beyond which the 48 other bits are factored into patterns as well
 
 
+def _shingles(text: str | None) -> Iterator[list[bytes]]:
+    """The shingles of a text, in lists of a piece's own: long texts never stand in memory as words as well."""
+    # bytes.lower changes A-Z only, and bytes.split breaks at U+0009 to U+000D and space only
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    at, carried, any_yet = 0, [], False
+    while at < len(data):
+        gap = _SPACE.search(data, at + PIECE)
+        end = gap.end() if gap else len(data)
+        words = [*carried, *data[at:end].split()]
+        at = end
+        if len(words) >= SHINGLE:
+            yield [b"%b %b %b" % x for x in zip(words, words[1:], words[2:], strict=False)]
+            any_yet = True
+        carried = words[1 - SHINGLE :]
+    if carried and not any_yet:
+        yield [b" ".join(carried)]
+
+
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the 3-word shingles of a text; 0 if it has no word."""
     from xxhash import xxh64_intdigest
 
-    # bytes.lower changes A-Z only, and bytes.split breaks at U+0009 to U+000D and space only
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        hashes = [xxh64_intdigest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:], strict=False)]
-    n, ones = len(hashes), np.zeros(64, np.int64)
-    raw = np.array(hashes, ">u8").view(np.uint8).reshape(n, 8)
-    for i in range(0, n, 1 << 14):
-        ones += np.unpackbits(raw[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    n, ones = 0, np.zeros(64, np.int64)
+    for some in _shingles(text):
+        raw = np.array([xxh64_intdigest(x, SEED) for x in some], ">u8").view(np.uint8).reshape(-1, 8)
+        n += len(some)
+        for i in range(0, len(raw), 1 << 14):
+            ones += np.unpackbits(raw[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 @F.pandas_udf(LongType())
-def fingerprints(texts):
+def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Signed 64-bit fingerprints of a column of texts."""
-    import pandas as pd
-
-    return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).astype(np.int64))
+    for texts in batches:
+        yield pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).astype(np.int64))
+    common.trim()
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -164,8 +180,10 @@ def grouped(fps: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each component: the one with the smallest doc_id; all columns stay."""
     fps = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
-    keep = grouped(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    # one key for null and other ids, so that one exchange of the texts serves the join and the repeated ids
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__keep")
+    keep = grouped(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    return docs.select("*", key).join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).select(docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

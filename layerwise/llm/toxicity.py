@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,10 +145,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def scorer(machine: Machine):
     @F.pandas_udf(DoubleType())
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(machine.score(list(texts)))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(machine.score(list(texts)))
+        common.trim()
 
     return score
 
