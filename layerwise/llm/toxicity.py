@@ -20,7 +20,8 @@ from . import common
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on at most
 LEAST_DOCS = 8  # of the sample, that a term must be in
-FACTORS, EPOCHS, BATCH, RATE, L1, L2 = 8, 18, 256, 0.15, 8e-3, 1e-3
+FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 18, 256, 0.15, 1e-3
+CHANCE = 4.0  # standard errors of a term's own gradient without evidence: its L1 penalty, so that rare terms pay less
 LEAST_WEIGHT = 0.15  # of a term after the linear epochs, to stay
 THRESHOLD = 0.7
 STEPS = 800  # batches at least; small samples take more epochs
@@ -68,56 +69,101 @@ def _raw(bias, weight, factor, at, row, n):
     return bias + np.bincount(row, weight[at], n) + ((sums**2).sum(1) - squares) / 2, sums
 
 
+def _encoded(known: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    """The places in ``known`` of each document's terms that are in it."""
+    if not len(known):
+        return [np.zeros(0, np.int64)] * len(found)
+    rows = []
+    for x in found:
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        rows.append(at[known[at] == x])
+    return rows
+
+
+def _paired(rows: list[np.ndarray], size: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which of ``size`` terms are in a pair whose documents are toxic more or less often than the linear model's ``p``
+    and both terms' own shares explain. All pairs in LEAST_DOCS documents are tested, by the Chernoff bound of a sum
+    of unequal Bernoulli draws, so that one pair at most is expected by chance. One term's pairs stand in memory."""
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
+    docs = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(np.bincount(flat, minlength=size))
+    own = np.bincount(flat, np.repeat(y, [len(x) for x in rows]), size) / np.maximum(np.bincount(flat, minlength=size), 1)
+    tested, found = 0, []
+    for a, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        of = docs[start:end]
+        other, each = np.concatenate([np.zeros(0, np.int64), *(rows[j] for j in of)]), [len(rows[j]) for j in of]
+        n = np.bincount(other, minlength=size)
+        b = np.flatnonzero(n >= LEAST_DOCS)
+        b = b[b > a]
+        if not len(b):
+            continue
+        tested += len(b)
+        q, m = (np.bincount(other, np.repeat(v[of], each), size)[b] / n[b] for v in (y, p))
+        high, low = np.maximum(m, np.maximum(own[a], own[b])), np.minimum(m, np.minimum(own[a], own[b]))
+        m = np.clip(np.where(q > high, high, np.where(q < low, low, q)), 1e-6, 1 - 1e-6)
+        bound = n[b] * (q * np.log(np.maximum(q, 1e-12) / m) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - m)))
+        fine = bound > np.log(max(tested, 2))  # the number so far, less than that of all: the last test is below
+        found += [(a, j, x) for j, x in zip(b[fine].tolist(), bound[fine].tolist(), strict=True)]
+    in_pair = np.zeros(size, bool)
+    for a, b, bound in found:
+        if bound > np.log(max(tested, 2)):
+            in_pair[[a, b]] = True
+    return in_pair
+
+
 def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Log loss, AdaGrad. The first third of the epochs fits linear weights under an L1 penalty, which keeps few terms;
-    the rest fits those terms' weights, without that penalty and in larger steps, and factors, so that pairs can weigh
-    more or less than their sum. A penalty there would leave a term's evidence to its pairs, and miss it alone."""
+    """Log loss, AdaGrad. A third of the epochs fits linear weights of all terms under an L1 penalty, for each term as
+    large as what chance alone would give it, so that rare terms stay if they are pure; as many fit those that stay
+    without it, in larger steps. All pairs are then tested against that model, and the last two thirds fit weights and
+    factors together, for terms that weigh alone and terms that weigh in pairs only. A penalty there would leave a
+    term's evidence to its pairs, and miss it alone."""
     y = labels.astype(float)
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
     bias = np.log(share / (1 - share)) if len(y) else -35.0
     known, n_docs = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
-    known = known[n_docs >= LEAST_DOCS]
-    if not len(y) or not len(known) or share in (0.0, 1.0):
+    known, n_docs = known[n_docs >= LEAST_DOCS], n_docs[n_docs >= LEAST_DOCS]
+    if not len(y) or not len(known) or y.min() == y.max():
         return Machine(bias, known[:0], np.zeros(0), np.zeros((0, FACTORS)))
-
-    def encoded(known):
-        rows = []
-        for x in found:
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            rows.append(at[known[at] == x])
-        return rows
-
-    rows, weight, factor = encoded(known), np.zeros(len(known)), np.zeros((len(known), FACTORS))
-    gw, gb, gf = np.full(len(known), 1e-6), 1e-6, np.full((len(known), FACTORS), 1e-6)
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(y)))
-    for epoch in range(epochs):
-        if epoch == epochs // 3:
-            stay = np.abs(weight) >= LEAST_WEIGHT
-            if not stay.any():
-                break
-            known, weight = known[stay], weight[stay]
-            rows, gw = encoded(known), np.full(len(known), 1e-6)
-            factor, gf = rng.normal(0, 0.05, (len(known), FACTORS)), np.full((len(known), FACTORS), 1e-6)
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), BATCH):
-            pick = order[i : i + BATCH]
-            at, row = np.concatenate([rows[j] for j in pick]), np.repeat(np.arange(len(pick)), [len(rows[j]) for j in pick])
-            z, sums = _raw(bias, weight, factor, at, row, len(pick))
-            e = (_sigmoid(z) - y[pick]) / len(pick)
-            gb += e.sum() ** 2
-            bias -= RATE * e.sum() / np.sqrt(gb)
-            g = np.bincount(at, e[row], len(known))
-            seen = g != 0
-            gw[seen] += g[seen] ** 2
-            rate = (RATE if epoch < epochs // 3 else 2 * RATE) / np.sqrt(gw)
-            weight -= rate * g
-            if epoch < epochs // 3:
-                weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * L1, 0)
-            else:
-                h = np.stack([np.bincount(at, e[row] * (sums[row, f] - factor[at, f]), len(known)) for f in range(FACTORS)], 1) + L2 * factor * seen[:, None]
-                gf += h**2
-                factor -= RATE / 3 * h / np.sqrt(gf)
+    third, gb = max(EPOCHS, -(-STEPS * BATCH // len(y))) // 3, 1e-6
+
+    def fitted(rows, weight, factor, epochs, rate_of, penalty):
+        nonlocal bias, gb
+        gw, gf = np.full(len(weight), 1e-6), np.full(factor.shape, 1e-6)
+        for _ in range(epochs):
+            order = rng.permutation(len(y))
+            for i in range(0, len(y), BATCH):
+                pick = order[i : i + BATCH]
+                at, row = np.concatenate([rows[j] for j in pick]), np.repeat(np.arange(len(pick)), [len(rows[j]) for j in pick])
+                z, sums = _raw(bias, weight, factor, at, row, len(pick))
+                e = (_sigmoid(z) - y[pick]) / len(pick)
+                gb += e.sum() ** 2
+                bias -= RATE * e.sum() / np.sqrt(gb)
+                g = np.bincount(at, e[row], len(weight))
+                seen = g != 0
+                gw[seen] += g[seen] ** 2
+                rate = rate_of / np.sqrt(gw)
+                weight = weight - rate * g
+                if penalty is not None:
+                    weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * penalty, 0)
+                if factor.any():
+                    h = np.stack([np.bincount(at, e[row] * (sums[row, f] - factor[at, f]), len(weight)) for f in range(FACTORS)], 1) + L2 * factor * seen[:, None]
+                    gf += h**2
+                    factor = factor - RATE / 3 * h / np.sqrt(gf)
+        return weight, factor
+
+    rows, none = _encoded(known, found), np.zeros((len(known), FACTORS))
+    weight, _ = fitted(rows, np.zeros(len(known)), none[:, :1], third, RATE, CHANCE * np.sqrt(n_docs * share * (1 - share)) / len(y))
+    alone = np.abs(weight) >= LEAST_WEIGHT
+    few = _encoded(known[alone], found)
+    weight[alone], _ = fitted(few, weight[alone], none[alone, :1], third, 2 * RATE, None)
+    weight[~alone] = 0
+    p = _sigmoid(bias + np.array([weight[alone][x].sum() for x in few]))
+    stay = alone | _paired(rows, len(known), y, p)
+    known, weight = known[stay], weight[stay]
+    if not len(known):
+        return Machine(float(bias), known, weight, np.zeros((0, FACTORS)))
+    weight, factor = fitted(_encoded(known, found), weight, rng.normal(0, 0.05, (len(known), FACTORS)), 2 * third, 2 * RATE, None)
     stay = (weight != 0) | (np.abs(factor).max(1) > 1e-3)
     return Machine(float(bias), known[stay], weight[stay], factor[stay])
 

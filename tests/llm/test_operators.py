@@ -382,6 +382,29 @@ def test_machine_learns_what_a_sum_cannot():
     assert score(1, 2, 3) > 0.9 and max(score(1, 3), score(2, 3), score(3)) < 0.3
 
 
+def test_machine_finds_rare_terms_and_rare_pairs():
+    rng = np.random.default_rng(15)
+    found, y = [], np.zeros(6000)
+    for i in range(6000):
+        words = {*range(100, 104), *rng.integers(200, 2200, 20).tolist()}
+        if i < 20:  # a pure term in 0.3 % of the documents
+            words.add(1)
+        elif i < 60:  # toxic together only, and weak alone
+            words |= {2, 3}
+        elif i < 1200:
+            words.add(2 if i % 2 else 3)
+        y[i] = i < 60 or i > 5700
+        found.append(np.array(sorted(words), np.uint32))
+    m = toxicity.fit(found, y)
+    at = {int(h): i for i, h in enumerate(m.known)}
+
+    def score(*t):
+        x = np.array([at[w] for w in (*t, 100, 101, 102, 103) if w in at], int)
+        return float(toxicity._sigmoid(toxicity._raw(m.bias, m.weight, m.factor, x, np.zeros(len(x), int), 1)[0])[0])
+
+    assert score(1) > 0.7 and score(2, 3) > 0.7 and max(score(2), score(3), score()) < 0.3
+
+
 # pipeline
 
 
