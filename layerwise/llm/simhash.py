@@ -168,21 +168,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def grouped(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) and the component_id of each."""
+    """The rows of ``fps`` (doc_id, fp and what else they hold), the component_id of each and its ``class``: the
+    component's smallest fingerprint, which tells components without an id apart."""
     nodes = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     joined = common.components(links(nodes.select("fp")))
     named = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = common.stored(named.join(least, "component").select("fp", "component_id"), "classes")
+    of = common.stored(named.join(least, "component").select("fp", "component_id", F.col("component").alias("class")), "classes")
     return fps.join(of, "fp")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest doc_id; all columns stay."""
-    fps = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
-    # one key for null and other ids, so that one exchange of the texts serves the join and the repeated ids
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__keep")
-    keep = grouped(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    """One document of each component, all columns as they were: one with the smallest doc_id, with the least fingerprint
+    of those that share it. Rows that share a doc_id, or have none, are told apart by their texts, and rows that have
+    both in common are one document."""
+    # an id and a hash of the text name a row, so that one exchange of the texts serves the join and the repeated rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.sha2(text, 256)).alias("__keep")
+    fps = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
+    # a row of a component: its smallest id first, none last
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__keep"))["__keep"].alias("__keep")
+    keep = grouped(fps).groupBy("class").agg(first).select("__keep").distinct()
     return docs.select("*", key).join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).select(docs.columns)
 
 

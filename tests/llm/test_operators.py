@@ -177,6 +177,16 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.near_duplicates(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_simhash_keeps_one_document_of_each_component(spark):
+    rng = random.Random(16)
+    text = [prose(rng, 80) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (30, text[2]), (31, text[3]), (31, text[4]), (31, text[4]), (32, text[5]), (33, text[5])]
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(docs(spark, rows)).collect()]
+    want = [(None, text[0]), (None, text[1]), (30, text[2]), (31, text[3]), (31, text[4]), (32, text[5])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    assert simhash.deduplicate(docs(spark, ODD)).where("doc_id IS NULL").count() == 0
+
+
 def test_gray_index_finds_all_links(monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.integers(0, 1 << 62, 400).astype(np.uint64)
