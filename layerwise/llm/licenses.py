@@ -38,7 +38,9 @@ NOTICES = {
 #: Paragraphs with cue words that are no licence notice.
 OTHERS = ["A driving licence is required to rent a car.", "The pub lost its licence last year.", "She asked for permission to leave early.", "The warranty covers parts and labour for two years.", "He was licensed as a physician in the state.", "Copyright law differs between countries.", "The fishing license costs ten euros and can be bought at the lake.", "Software licenses are often hard to read.", "The city granted permission for the new bridge.", "Without warning the public domain of the king was divided.", "This version of the work was free for the public under the terms of the contract."]
 CUE = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|public domain|spdx|rights reserved"
+CUE_WRAPPED = CUE.replace(" ", "[^A-Za-z0-9]+")  # also where a line ends within a cue
 UNKNOWN = "unknown"
+WORDS = 64  # of a window of lines: half as many again as the longest notice has
 VARIANTS, EPOCHS, RATE, L1 = 24, 120, 2.0, 2e-4
 SURE, CONFIRMED = 0.5, 0.6  # least calibrated probability of a family; least share of a notice's 2-grams
 
@@ -137,23 +139,54 @@ def classified(paragraphs: DataFrame, model: Model) -> DataFrame:
     return joined.select("key", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", F.coalesce("likeness", F.lit(0.0)).alias("likeness"))
 
 
+SPANS = "array<struct<i:int,j:int,p:string>>"
+
+
+def _windows(text: str) -> str:
+    """SQL of the (first line, last line, text) of lines with a cue and of windows of two and more lines with one. A
+    window ends before a blank line and with the line that brings it to WORDS words, so it has WORDS lines at most; of
+    longer lines at its ends it has the nearest WORDS words."""
+    cut = f"transform(split({text}, '\\n'), (p, i) -> named_struct('i', i, 'p', p, 'w', CASE WHEN p RLIKE '[A-Za-z0-9]' THEN size(split(trim(p), '[ \\t]+')) ELSE 0 END))"
+    head = f"CASE WHEN l.w > {WORDS} THEN array_join(slice(split(trim(l.p), '[ \\t]+'), 1, {WORDS}), ' ') ELSE l.p END"
+    tail = f"CASE WHEN l.w > {WORDS} THEN array_join(slice(split(trim(l.p), '[ \\t]+'), -{WORDS}, {WORDS}), ' ') ELSE l.p END"
+    cue, wrapped = f"RLIKE r'{CUE}'", f"RLIKE r'{CUE_WRAPPED}'"
+    none = f"CAST(array() AS {SPANS})"
+    # n counts the words after the first line, which may be long
+    step = f"(a, l) -> CASE WHEN a.over OR l.w = 0 THEN named_struct('over', true, 'n', a.n, 'p', a.p, 'out', a.out) ELSE named_struct('over', a.n + l.w >= {WORDS}, 'n', a.n + l.w, 'p', concat(a.p, ' ', {head}), 'out', concat(a.out, array(named_struct('i', i, 'j', l.i, 'p', concat(a.p, ' ', {head}))))) END"
+    from_line = f"CASE WHEN l.w = 0 THEN {none} ELSE aggregate(slice(c, i + 2, {WORDS}), named_struct('over', false, 'n', least(l.w, {WORDS // 4}), 'p', {tail}, 'out', {none}), {step}, a -> filter(a.out, x -> x.p {wrapped})) END"
+    single = f"CASE WHEN l.p {cue} THEN array(named_struct('i', i, 'j', i, 'p', l.p)) ELSE {none} END"
+    return f"element_at(transform(array({cut}), c -> flatten(transform(c, (l, i) -> concat({single}, {from_line})))), 1)"
+
+
+def _notices(spans: str) -> str:
+    """SQL of the sorted (first line, family) of the notices and unknown lines among classified spans (i, j, family, s)."""
+    within = "x.i >= m.i AND x.j <= m.j AND (x.i > m.i OR x.j < m.j)"
+    better = f"filter({spans}, m -> m.family <> '{UNKNOWN}' AND (m.i = m.j OR NOT exists({spans}, x -> {within} AND x.family = m.family AND x.s >= m.s)))"
+    around = "x.i <= m.i AND x.j >= m.j AND (x.i < m.i OR x.j > m.j)"
+    own = f"transform(array({better}), k -> filter(k, m -> NOT exists(k, x -> {around} AND x.family <> m.family AND x.s > m.s)))[0]"
+    firsts = "filter(k, m -> NOT exists(k, x -> x.family = m.family AND ((x.i < m.i AND x.j >= m.i) OR (x.i = m.i AND x.j > m.j))))"
+    others = f"filter({spans}, m -> m.i = m.j AND m.family = '{UNKNOWN}' AND NOT exists(k, x -> x.i <= m.i AND x.j >= m.i))"
+    return f"array_sort(transform(transform(array({own}), k -> concat({firsts}, {others}))[0], m -> named_struct('i', m.i, 'family', m.family)))"
+
+
 def scanned(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_licenses, families (sorted, distinct), n_unknown, places.
 
-    Paragraphs are lines. ``places`` is paragraph:family, comma-joined in order, of the paragraphs with a cue word,
-    ``unknown`` included. Null and empty texts have none; rows that repeat id and text have the same; other columns are
-    not read. Rows without a cue word, nearly all, are not shuffled.
+    Paragraphs are lines, and windows of lines up to a blank one (without letters and digits), so that wrapped notices
+    are seen whole. A window counts if it is more like a notice than any part of it; what overlaps in one family is one
+    notice, and lines with a cue that a notice covers aren't ``unknown``. ``places`` is line:family, comma-joined in
+    order, by a notice's first line, ``unknown`` lines with a cue included. Null and empty texts have none; rows that
+    repeat id and text have the same; other columns are not read. Rows without a cue word, nearly all, are not shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.transform(F.split("__t", r"\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda s: s.p.rlike(CUE))
-    rows = docs.select("doc_id", text.alias("__t")).select("doc_id", F.when(F.col("__t").rlike(CUE), lines).otherwise(F.expr("CAST(array() AS array<struct<i:int,p:string>>)")).alias("lines"))
+    rows = docs.select("doc_id", text.alias("__t")).select("doc_id", F.when(F.col("__t").rlike(CUE_WRAPPED), F.expr(_windows("__t"))).otherwise(F.expr(f"CAST(array() AS {SPANS})")).alias("lines"))
     rows = common.stored(rows, "lines")
     found = rows.where(F.size("lines") > 0).withColumn("row", F.sha2(F.to_json(F.struct("lines")), 256))
-    cues = found.select("row", "lines").distinct().select("row", F.explode("lines").alias("l")).select("row", "l.i", F.sha2("l.p", 256).alias("key"), F.col("l.p").alias("paragraph"))
+    cues = found.select("row", "lines").distinct().select("row", F.explode("lines").alias("l")).select("row", "l.i", "l.j", F.sha2("l.p", 256).alias("key"), F.col("l.p").alias("paragraph"))
     cues = common.stored(cues, "cues")
     of = classified(cues.groupBy("key").agg(F.first("paragraph").alias("paragraph")), model)
-    done = cues.select("row", "i", "key").join(of, "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "family"))).alias("f"))
-    done = common.stored(done, "families")
+    done = cues.select("row", "i", "j", "key").join(of, "key").groupBy("row").agg(F.collect_list(F.struct("i", "j", "family", F.col("likeness").alias("s"))).alias("all"))
+    done = common.stored(done.select("row", F.expr(_notices("all")).alias("f")), "families")
     none = F.expr("CAST(array() AS array<struct<i:int,family:string>>)")
     out = found.select("doc_id", "row").join(done, "row").select("doc_id", "f").unionByName(rows.where(F.size("lines") == 0).select("doc_id", none.alias("f")))
     known = F.filter("f", lambda s: s.family != UNKNOWN)

@@ -313,6 +313,22 @@ def test_licenses(spark):
     assert all(by[i].places == "" for i in (7, 8, 9, 10, 11)) and licenses.scanned(docs(spark, []), licenses.fit()).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    want = {"MIT": 1, "GPL-3.0": 1, "BSD": 2, "ISC": 0}
+    rows = []
+    for at, (family, n) in enumerate(want.items()):
+        for k, (width, mark) in enumerate([(78, ""), (40, "# "), (24, " * ")]):
+            lines = textwrap.wrap(licenses.NOTICES[family][n], width)
+            rows.append((100 * at + k, "\n".join(["Some code", "", *(mark + x for x in lines), mark.rstrip(), "more code", "and a driving licence is required to rent a car."])))
+    got = {r.doc_id: r for r in licenses.scanned(docs(spark, rows), licenses.fit()).collect()}
+    for at, family in enumerate(want):
+        for k in range(3):
+            r = got[100 * at + k]
+            assert (r.families, r.n_licenses) == ([family], 1), r
+
+
 # 9
 
 
