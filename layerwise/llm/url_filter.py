@@ -9,8 +9,7 @@ from . import common
 
 #: The rules of the query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DEPTH = 8  # levels of the tree; what lies deeper is one segment
-CHILDREN = 64  # of a node, beyond which its segment is variable
+DEPTH = 8  # levels of the tree, or as many as labelled paths have; what lies deeper, all without labels, is one segment
 ALIKE = 1.96  # standard errors within which a branch's share of blocked pages is that of its siblings
 PRIOR, SMOOTHING, REJECT = 0.5, 4.0, 0.8  # smoothed purity: (blocked + 4 * 0.5) / (labelled + 4), rejected from 0.8
 
@@ -36,20 +35,20 @@ def ruled(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def segments(path: Column) -> Column:
     """A path's segments with numbers, long hex strings and numbers before an extension generalised by their shape."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{id}").when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.regexp_replace(s, r"^[0-9]+", "{n}")).otherwise(s))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH - 1), F.array(F.lit("{**}")))).otherwise(shaped)
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{id}").when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.regexp_replace(s, r"^[0-9]+", "{n}")).otherwise(s))
 
 
 def templates(counts: DataFrame) -> DataFrame:
     """(host, raw, template, purity, labelled): the tree's template of each raw template.
 
-    ``counts``: host, raw (segments), n, blocked, allowed. Level by level, all children of a node become one wildcard
-    if they are more than CHILDREN; else those whose blocked share doesn't differ from the whole node's by ALIKE
-    standard errors become one, and the others stay. Each level is two aggregations with map-side sums over templates
+    ``counts``: host, raw (segments), n, blocked, allowed. Level by level, the children of a node without labels and
+    those whose blocked share doesn't differ from the whole node's by ALIKE standard errors become one wildcard, and the
+    others stay, however many they are. Each level is two aggregations with map-side sums over templates
     (not pages) and two joins; no host's pages are gathered anywhere.
     """
     tree = counts.withColumn("path", F.array().cast("array<string>"))
-    depth = counts.agg(F.max(F.size("raw"))).first()[0] or 0  # DEPTH at most
+    deepest, marked = counts.agg(F.max(F.size("raw")), F.max(F.when(F.col("blocked") + F.col("allowed") > 0, F.size("raw")))).first()
+    depth = min(deepest or 0, max(DEPTH, marked or 0))
     for level in range(1, depth + 1):
         tree = tree.withColumn("seg", F.expr(f"CASE WHEN size(raw) >= {level} THEN raw[{level - 1}] END"))
         kids = tree.where("seg IS NOT NULL").groupBy("host", "path", "seg").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
@@ -57,10 +56,11 @@ def templates(counts: DataFrame) -> DataFrame:
         labelled, whole = F.col("b") + F.col("a"), F.col("nb") + F.col("na")
         share = (F.col("nb") + SMOOTHING * PRIOR) / (whole + SMOOTHING)
         far = F.abs(F.col("b") - labelled * share) > ALIKE * F.sqrt(F.greatest(labelled * share * (1 - share), F.lit(1e-9)))
-        own = (F.col("kids") == 1) | ((F.col("kids") <= CHILDREN) & (labelled > 0) & far)
+        own = (F.col("kids") == 1) | ((labelled > 0) & far)
         kept = kids.join(nodes, ["host", "path"]).select("host", "path", "seg", F.when(own, F.col("seg")).otherwise("*").alias("as"))
         tree = tree.join(kept, ["host", "path", "seg"], "left").withColumn("path", F.when(F.col("as").isNotNull(), F.concat("path", F.array("as"))).otherwise(F.col("path"))).drop("as", "seg")
         tree = common.stored(tree, "tree")
+    tree = tree.withColumn("path", F.when(F.size("raw") > depth, F.concat("path", F.array(F.lit("{**}")))).otherwise(F.col("path")))
     sums = tree.groupBy("host", "path").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     purity = (F.col("b") + SMOOTHING * PRIOR) / (F.col("b") + F.col("a") + SMOOTHING)
     sums = sums.select("host", "path", purity.alias("purity"), (F.col("b") + F.col("a")).alias("labelled"))

@@ -300,6 +300,21 @@ def test_urls(spark):
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sections", [20, 100])
+def test_urls_of_many_sections_and_deep_paths(spark, sections):
+    # the example of many sections: labelled ones stay apart from those without labels, at any count
+    urls = [f"https://y.com/de/{i}" for i in range(1000)] + [f"https://y.com/fr/{i}" for i in range(20)]
+    urls += [f"https://y.com/section{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}/{k}" for i in range(sections) for k in range(3)]
+    # and a rule's pages deep down are no reason to block others as deep
+    deep = "/".join("abcdefghi")
+    rules = (*url_filter.RULES, ("block", f"deep.net/{deep}/bad/"), ("allow", f"deep.net/{deep}/good/"))
+    urls += [f"https://deep.net/{deep}/bad/{i}" for i in range(300)] + [f"https://deep.net/{deep}/good/{i}" for i in range(20)]
+    urls += [f"https://deep.net/{deep}/other/{i}" for i in range(5)] + ["https://deep.net/" + "z/" * 40]
+    got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got if r.rule is None} == {"allow"}
+    assert {r.template for r in got if r.path.startswith("/de/")} == {"/de/{n}"} and {r.template for r in got if r.path.startswith("/fr/")} == {"/fr/{n}"}
+
+
 # 8
 
 
