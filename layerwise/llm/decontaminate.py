@@ -15,7 +15,7 @@ from . import common
 Q = 7
 EDIT_SHARE = 0.1  # edits allowed, as a share of a passage's characters
 LEAST_SHARED = 8  # q-grams that a region must share at least; where the budget leaves fewer, the budget is lowered
-SLICE_CHARS = 4_000_000  # characters of passages in one broadcast; larger benchmarks take several passes
+SLICE_CHARS = 4_000_000  # characters of passages in one broadcast of at most 100 MB; larger benchmarks take several passes
 CHUNK = 1 << 20  # characters of documents that are filtered at once; longer texts are cut with overlaps
 NONE = 0xFFFFFFFF  # no character
 
@@ -44,45 +44,56 @@ def grams(c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Passages and the q-grams that count for them; ``first`` has each slot's place in ``ends`` or -1."""
+    """Passages and the q-grams that count for them: ``values`` in order, each one's rows ``ends[i]:ends[i + 1]`` of (item,
+    at), and a bit for the top bits of each, so that nearly all q-grams of a document are passed over by one look-up."""
 
     ids: list[int]
     texts: list[str]
     budget: np.ndarray
     shared: np.ndarray
-    bits: int
-    first: np.ndarray
+    shift: np.uint64
+    bits: np.ndarray
+    values: np.ndarray
     ends: np.ndarray
     item: np.ndarray
     at: np.ndarray
     short: list[int]
 
+    def look(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, place in ``values``) of those that are in the index."""
+        slot = (values >> self.shift).astype(np.int64)
+        pos = np.flatnonzero(self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        if not len(pos):
+            return pos, pos
+        head = np.minimum(np.searchsorted(self.values, values[pos]), len(self.values) - 1)
+        fine = self.values[head] == values[pos]
+        return pos[fine], head[fine]
+
 
 def build(items: list[tuple[int, str]]) -> Index:
     """Index passages. k edits leave at least n - kQ of any n of a passage's q-grams intact, so the most frequent
     q-grams can go without loss as long as n - kQ stays above LEAST_SHARED."""
     ids, texts = [i for i, _ in items], [t for _, t in items]
     per = [grams(codes(t)) for t in texts]
-    everything = np.concatenate([np.zeros(0, np.uint64), *per])
-    bits = max(16, int(np.ceil(np.log2(max(1, len(everything)) * 64))))
-    slots = [(g >> np.uint64(64 - bits)).astype(np.int64) for g in per]
-    used, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *slots]), return_counts=True)
+    used, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *per]), return_counts=True)
     budget, shared, short, picked = [], [], [], []
-    for n, (t, s) in enumerate(zip(texts, slots, strict=True)):
-        k = min(int(EDIT_SHARE * len(t)), max(0, (len(s) - LEAST_SHARED) // Q))
-        slack = len(s) - k * Q - LEAST_SHARED
-        keep = np.sort(np.argsort(counts[np.searchsorted(used, s)], kind="stable")[: len(s) - max(0, slack) // 2])
+    for n, (t, g) in enumerate(zip(texts, per, strict=True)):
+        k = min(int(EDIT_SHARE * len(t)), max(0, (len(g) - LEAST_SHARED) // Q))
+        slack = len(g) - k * Q - LEAST_SHARED
+        keep = np.sort(np.argsort(counts[np.searchsorted(used, g)], kind="stable")[: len(g) - max(0, slack) // 2])
         budget.append(k)
         shared.append(max(1, len(keep) - k * Q))
-        picked.append((np.full(len(keep), n), keep, s[keep]))
-        if not len(s):
+        picked.append((np.full(len(keep), n, np.int32), keep.astype(np.int32), g[keep]))
+        if not len(g):
             short.append(n)
-    item, at, slot = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in picked)]) for i in range(3))
-    order = np.argsort(slot, kind="stable")
-    heads, counts = np.unique(slot[order], return_counts=True)
-    first = np.full(1 << bits, -1, np.int32)
-    first[heads] = np.arange(len(heads))
-    return Index(ids, texts, np.array(budget, np.int64), np.array(shared, np.int64), bits, first, np.concatenate([[0], np.cumsum(counts)]), item[order].astype(np.int32), at[order].astype(np.int32), short)
+    item, at, value = (np.concatenate([np.zeros(0, kind), *(p[i] for p in picked)]) for i, kind in enumerate((np.int32, np.int32, np.uint64)))
+    order = np.argsort(value, kind="stable")
+    values, counts = np.unique(value[order], return_counts=True)
+    wide = max(16, int(np.ceil(np.log2(max(1, len(values)) * 16))))
+    bits = np.zeros(1 << wide, bool)
+    bits[(values >> np.uint64(64 - wide)).astype(np.int64)] = True
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return Index(ids, texts, np.array(budget, np.int64), np.array(shared, np.int64), np.uint64(64 - wide), np.packbits(bits, bitorder="little"), values, ends, item[order], at[order], short)
 
 
 def distance(passage: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> int:
@@ -110,15 +121,13 @@ def distance(passage: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int)
 def _candidates(index: Index, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passage, band) that share enough q-grams with a text; a band is two budgets (plus one each) of diagonals wide
     and bands overlap by half, so the diagonals of an alignment within budget lie in one band."""
-    slot = (grams(c) >> np.uint64(64 - index.bits)).astype(np.int64)
-    head = index.first[slot]
-    pos = np.flatnonzero(head >= 0)
-    head = head[pos]
-    n = index.ends[head + 1] - index.ends[head]
+    pos, head = index.look(grams(c))
+    first = index.ends[head].astype(np.int64)
+    n = index.ends[head + 1] - first
     total = int(n.sum())
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.repeat(index.ends[head] - (np.cumsum(n) - n), n) + np.arange(total)
+    flat = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
     item, diagonal = index.item[flat].astype(np.int64), np.repeat(pos, n) - index.at[flat]
     enough = np.bincount(item, minlength=len(index.ids)) >= index.shared
     fine = enough[item]
@@ -161,39 +170,57 @@ def found(index: Index, text: str | None) -> dict[int, int]:
     return out
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The passages, in slices of SLICE_CHARS characters: each broadcast has that bound."""
+def _slices(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many slices of about SLICE_CHARS characters the passages make, and the slices; each broadcast has that bound."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     n = int((sized.agg(F.sum(F.length("t"))).first()[0] or 0) // SLICE_CHARS) + 1
-    for k in range(n):
-        rows = [(r.i, normal(r.t)) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect()]
-        if rows := [(i, t) for i, t in rows if t]:
-            yield rows
+
+    def rows() -> Iterator[list[tuple[int, str]]]:
+        for k in range(n):
+            some = [(r.i, normal(r.t)) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect()]
+            yield [(i, t) for i, t in some if t]
+
+    return n, rows()
 
 
 def _checked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with arrays __items and __edits, in one narrow pass per slice of the benchmark."""
+    """``docs`` with arrays __items and __edits: one narrow pass if the benchmark is one slice. Else each slice is
+    a pass that keeps only texts with hits, by their SHA-256, so that no worker holds two slices."""
     spark = docs.sparkSession
-    out = docs.select("*", F.lit(None).cast("array<long>").alias("__items"), F.lit(None).cast("array<int>").alias("__edits"))
-    for rows in _slices(benchmark):
-        index = spark.sparkContext.broadcast(build(rows))
+    n, slices = _slices(benchmark)
+    if n == 1:
+        index = spark.sparkContext.broadcast(build(next(slices)))
 
-        def check(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 hits = [found(index.value, x.as_py()) for x in b.column("text")]
-                items, edits = b.column("__items").to_pylist(), b.column("__edits").to_pylist()
-                items = [[*(a or []), *sorted(h)] for a, h in zip(items, hits, strict=True)]
-                edits = [[*(a or []), *(h[i] for i in sorted(h))] for a, h in zip(edits, hits, strict=True)]
-                new = {"__items": pa.array(items, pa.list_(pa.int64())), "__edits": pa.array(edits, pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([new.get(n, b.column(k)) for k, n in enumerate(b.schema.names)], names=b.schema.names)
+                new = [pa.array([sorted(h) for h in hits], pa.list_(pa.int64())), pa.array([[h[i] for i in sorted(h)] for h in hits], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "__items", "__edits"])
             common.trim()
 
-        out = out.mapInArrow(check, out.schema)
-    return out
+        types = docs.withColumns({"__items": F.lit(None).cast("array<long>"), "__edits": F.lit(None).cast("array<int>")}).schema
+        return docs.mapInArrow(check, types)
+
+    key = F.sha2(F.col("text").cast("string"), 256)
+    hits = spark.createDataFrame([], "key string, item long, edits int")
+    for rows in slices:
+        index = spark.sparkContext.broadcast(build(rows))
+
+        def look(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                some = [(k, i, e) for k, x in zip(b.column("key").to_pylist(), b.column("text"), strict=True) for i, e in found(index.value, x.as_py()).items()]
+                yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in some], pa.string()), "item": pa.array([x[1] for x in some], pa.int64()), "edits": pa.array([x[2] for x in some], pa.int32())})
+            common.trim()
+
+        hits = hits.unionByName(common.stored(docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(look, "key string, item long, edits int"), "leaks"))
+        index.unpersist()
+    each = hits.groupBy("key", "item").agg(F.min("edits").alias("e")).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("item", "e"))).alias("__h"))
+    out = docs.withColumn("__own", key).join(each, F.col("__own") == F.col("__key"), "left")
+    return out.select(*docs.columns, F.col("__h.item").alias("__items"), F.col("__h.e").alias("__edits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, item_ids (ascending in a slice), edits (of each).
+    """One row per document: doc_id, contaminated, n_items, item_ids (ascending), edits (of each).
 
     Lower case and white space don't count. A passage is in a document if some region of it is within 10 % of the
     passage's characters in edits (insertions, deletions, changes); passages too short for that many edits to leave

@@ -23,7 +23,7 @@ EPOCHS, BATCH, ALPHA, BETA, L1, L2 = 6, 32, 0.5, 1.0, 2e-3, 1e-3
 PIECE = 1 << 20  # characters that are counted at once
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")  # letters, and numerals that aren't decimal digits
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 
 
@@ -44,7 +44,8 @@ def grams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_LETTER.search(text))
+    """Whether any character is of Unicode category L: superscripts, fractions and number letters aren't."""
+    return any(c.isalpha() for m in _LETTER.finditer(text or "") for c in m[0])
 
 
 @dataclass
@@ -150,12 +151,14 @@ def train(docs: DataFrame) -> Model:
                 g = grams(x.as_py())
                 at.append(np.flatnonzero(g).astype(np.int32))
                 counts.append(g[at[-1]].astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "lang": b.column("lang"), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(counts, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "lang": b.column("lang"), "key": b.column("key"), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(counts, pa.list_(pa.int32()))})
 
     # ids first, so that the sort holds no texts; ties are rows of one id, of which one is learned from
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = known.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(counted, "id string, lang string, at array<int>, n array<int>").dropDuplicates(["id"])
-    got = sample.toArrow().to_pandas().sort_values("id")
+    sample = known.join(F.broadcast(chosen), "id", "left_semi").select("id", "lang", F.xxhash64("text").alias("key"), "text")
+    sample = sample.mapInArrow(counted, "id string, lang string, key long, at array<int>, n array<int>")
+    # of rows that share an id the one with the least hash; at most SAMPLE rows
+    got = sample.groupBy("id").agg(F.min(F.struct("key", "lang", "at", "n")).alias("x")).select("id", "x.lang", "x.at", "x.n").toArrow().to_pandas().sort_values("id")
     return fit([(np.asarray(a), np.asarray(c, float)) for a, c in zip(got["at"], got["n"], strict=True)], list(got["lang"]), idf)
 
 

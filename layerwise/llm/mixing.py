@@ -76,8 +76,9 @@ def cut(sized: DataFrame, **options) -> DataFrame:
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
-    """In (0, 1), the same in each run: a hash of the document and the seed."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + 0.5) / float(1 << 53)
+    """In (0, 1), the same in each run and engine: 52 bits of the MD5 of the seed, the id and the text."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id, F.lit("")), F.coalesce(text, F.lit("")))
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def _copies() -> Column:
@@ -110,4 +111,21 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(common.documents(spark, sf_dir))
+    return mixed(common.documents(spark, sf_dir)).drop("copies")
+
+
+#: The same mix without buckets: each source's documents in the order of q, and their running sum.
+SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size,
+  (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST({list(map(float, WEIGHTS))}[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS w FROM d GROUP BY source),
+lev AS (SELECT *, {MOST}::DOUBLE * n AS most, ({SHARE}::DOUBLE * sum(n) OVER () - coalesce(sum({MOST}::DOUBLE * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per WINDOW o AS (ORDER BY CAST(n AS DOUBLE) / w, encode(source) NULLS LAST)),
+aim AS (SELECT source, n, CASE WHEN most <= w * level THEN most ELSE w * max(CASE WHEN most > w * level THEN level END) OVER () END AS target FROM lev),
+r AS (SELECT source, n, target, CASE WHEN n > 0 THEN target / n ELSE 0 END AS ratio FROM aim),
+f AS (SELECT source, n, target, floor(ratio + 1e-12) AS whole, CASE WHEN greatest(0, ratio - floor(ratio + 1e-12)) < 1e-9 THEN 0 ELSE greatest(0, ratio - floor(ratio + 1e-12)) END AS part FROM r),
+q AS (SELECT d.*, f.n, f.target, f.whole, f.part, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+g AS (SELECT source, q, sum(size) AS s, any_value(part * n) AS left_ FROM q WHERE part > 0 GROUP BY source, q),
+c AS (SELECT source, q FROM (SELECT *, sum(s) OVER (PARTITION BY source ORDER BY q) - s AS before FROM g) WHERE before + s / 2 <= left_),
+e AS (SELECT source, max(q) AS last FROM c GROUP BY source)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN q <= last THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q LEFT JOIN e ON q.source IS NOT DISTINCT FROM e.source
+"""

@@ -1,15 +1,20 @@
 """Adaptive context-mixing range coder for token ids, in independent checksummed blocks.
 
-A block holds whole documents. Its ids are cut into up to 4,096 equal lanes that are coded in step, so that each
-NumPy operation codes one id of every lane; all lanes share one model, which starts empty in each block:
+A block holds whole documents. Its ids are cut into up to 8,192 equal lanes that are coded in step, so that each
+NumPy operation codes one id of every lane; all lanes share one model, which starts empty in each block and predicts
+an id by three orders:
 
-* order 2: a hashed table gives, for the two ids before, the id that followed last and how reliable it has been;
-* order 1: the same for the one id before;
-* order 0: adaptive frequencies of the ids that the other two missed.
+* order 0: frequencies of all ids so far;
+* order 1: frequencies of the ids that followed the id before;
+* order 2: a hashed table of the id that followed the two ids before last, and how reliable it has been.
 
-The predictions are mixed by adaptive shares that are learned for each pair of reliabilities: the coded symbol takes
-the order-2 id's share, the order-1 id's share, or the rest times its order-0 frequency. Integer arithmetic only, so
-coder and decoder agree on every machine. Each lane is a carry-propagating range coder: 48-bit low, 16-bit words.
+Orders 0 and 1 are mixed into one distribution for each id before: a share e of order 0, which is learned for contexts
+of like counts, and 1 - e of order 1. The order-2 id gets a share of its own, learned for each pair of its reliability
+and the context's count, and the mixed distribution the rest. So an id costs a binary decision for order 2, if that
+misses one step more, and two where order 1 hasn't seen it: then order 0 codes it among the ids that order 1 hasn't
+seen. Frequencies are renewed after 1, 2, 3, .. and then after each half more of the steps, shares after each step.
+Integer arithmetic only, so coder and decoder agree on every machine. Each lane is a carry-propagating range coder:
+48-bit low, 16-bit words. What misses is looked up in the order of its keys, which is faster than in that of the lanes.
 
 Frame: b"LWRC", version, reserved (u16 each); documents, ids, lanes (u32 each); first offset (u64); CRC-32 of all
 that follows (u32). Then document ids (i64), null flags (u8), lengths (u32), words of each lane (u32), lane words (u16).
@@ -23,71 +28,89 @@ import zlib
 import numpy as np
 
 HEAD = struct.Struct("<4sHHIIIQI")
-MAGIC, VERSION = b"LWRC", 1
-LANES, STEPS_LEAST = 4096, 128
-SHARE_BITS, ZERO_BITS, HASH_BITS, IDS = 12, 20, 18, 65536
+MAGIC, VERSION = b"LWRC", 2
+LANES, STEPS_LEAST = 8192, 128
+SHARE_BITS, ONE_BITS, ZERO_BITS, HASH_BITS, IDS = 12, 20, 22, 20, 65536
 TOP, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-S16, S32, SSHARE, SZERO = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS), np.uint64(ZERO_BITS)
-#: reliability after a hit and after a miss; a table entry at 0 takes the new id at a miss
-UP, DOWN = np.array([1, 2, 3, 3], np.uint8), np.array([0, 0, 1, 1], np.uint8)
+S16, S32, SSHARE = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS)
+SURE = 7  # most reliable; an entry at 0 takes the new id at a miss
+UP, DOWN = np.minimum(np.arange(8) + 1, SURE).astype(np.uint8), (np.arange(8) // 3).astype(np.uint8)
+SPAN = 23  # bits between the order-0 places of two contexts
 
 
 class _Model:
     """The shared state of a block's lanes; ``see`` updates it with what every lane has just coded."""
 
-    def __init__(self, inverse: bool) -> None:
+    def __init__(self) -> None:
         self.id2, self.ok2 = np.zeros(1 << HASH_BITS, np.uint16), np.zeros(1 << HASH_BITS, np.uint8)
-        self.id1, self.ok1 = np.zeros(IDS, np.uint16), np.zeros(IDS, np.uint8)
-        self.outcomes = np.tile(np.array([2, 1, 5], np.int64), (32, 1))
+        self.outcomes = np.tile(np.array([1, 4], np.int64), (8 * 32, 1))  # hits and all, by reliability and count
+        self.novel = np.tile(np.array([1, 2], np.int64), (32 * 32, 1))  # unseen and all, by log counts of a context
         self.zero = np.zeros(IDS, np.int64)
-        self.inverse, self.step, self.due, self.fresh = inverse, 0, 1, []
+        self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.step, self.due, self.fresh = 0, 1, []
+        self._renew()
         self._shares()
-        self._zero()
 
     def _shares(self) -> None:
-        n = self.outcomes
-        total = n.sum(axis=1, keepdims=True)
-        f = 1 + n * ((1 << SHARE_BITS) - 3) // total
-        self.at1, self.at2 = f[:, 0].astype(np.uint64), (f[:, 0] + f[:, 1]).astype(np.uint64)
-        self.lo = np.stack([np.zeros(32, np.uint64), self.at1, self.at2], 1).ravel()
-        self.size = np.stack([self.at1, self.at2 - self.at1, np.uint64(1 << SHARE_BITS) - self.at2], 1).ravel()
-
-    def _zero(self) -> None:
+        self.share = (1 + self.outcomes[:, 0] * ((1 << SHARE_BITS) - 2) // self.outcomes[:, 1]).astype(np.uint64)
+
+    def _renew(self) -> None:
+        """All frequencies, from the pairs of ids since the last time."""
         if self.fresh:
-            self.zero += np.bincount(np.concatenate(self.fresh), minlength=IDS)
+            pairs, n = np.unique(np.concatenate(self.fresh), return_counts=True)
             self.fresh = []
-        total = max(1, int(self.zero.sum()))
-        f = 1 + self.zero * ((1 << ZERO_BITS) - IDS) // total
-        f[int(f.argmax())] += (1 << ZERO_BITS) - int(f.sum())
-        self.f0 = f.astype(np.uint64)
-        self.c0 = (np.cumsum(f) - f).astype(np.uint64)
-        if self.inverse:
-            self.of = np.repeat(np.arange(IDS, dtype=np.uint16), f)
-
-    def predict(self, p2: np.ndarray, p1: np.ndarray) -> None:
-        self.i2 = ((p2 * np.uint32(2654435761)) ^ (p1 * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
+            at = np.searchsorted(self.keys, pairs)
+            known = np.zeros(len(pairs), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == pairs[inside]
+            of = self.bucket[pairs >> 16]
+            self.novel[:, 1] += np.bincount(of, n, len(self.novel)).astype(np.int64)
+            self.novel[:, 0] += np.bincount(of[~known], n[~known], len(self.novel)).astype(np.int64)
+            self.zero += np.bincount(pairs & 0xFFFF, n, IDS).astype(np.int64)
+            self.counts[at[known]] += n[known]
+            self.keys = np.insert(self.keys, at[~known], pairs[~known])
+            self.counts = np.insert(self.counts, at[~known], n[~known])
+        f0 = 1 + self.zero * ((1 << ZERO_BITS) - IDS) // max(1, int(self.zero.sum()))
+        self.f0, self.c0 = f0, np.cumsum(f0) - f0
+        self.whole0 = int(f0.sum())
+        context, ids = (self.keys >> 16).astype(np.int64), (self.keys & 0xFFFF).astype(np.int64)
+        distinct = np.bincount(context, minlength=IDS)
+        total = np.bincount(context, self.counts, IDS).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(distinct)])
+        log = np.frexp(total.astype(float))[1]
+        self.log = log.astype(np.uint8)
+        self.bucket = log * 32 + np.frexp(distinct.astype(float))[1]
+        e = (1 + self.novel[:, 0] * ((1 << SHARE_BITS) - 2) // self.novel[:, 1])[self.bucket]
+        of0 = f0[ids]
+        self.f1 = ((((1 << SHARE_BITS) - e[context]) * self.counts << ONE_BITS - SHARE_BITS) // total[context]) + (e[context] * of0 >> SHARE_BITS + ZERO_BITS - ONE_BITS) + 1
+        self.c1 = np.concatenate([[0], np.cumsum(self.f1)])  # of all contexts in a row
+        self.sum0 = np.concatenate([[0], np.cumsum(of0)])
+        self.seen1 = self.c1[self.start[1:]] - self.c1[self.start[:-1]]
+        self.left0 = self.whole0 - (self.sum0[self.start[1:]] - self.sum0[self.start[:-1]])
+        self.all1 = self.seen1 + np.maximum(1, e * self.left0 >> SHARE_BITS + ZERO_BITS - ONE_BITS)
+        self.place0 = (context << SPAN) + self.c0[ids] - (self.sum0[:-1] - self.sum0[self.start[context]])
+        self.f1, self.guarded = np.append(self.f1, 0), np.append(self.keys, np.uint32(0xFFFFFFFF))
+
+    def predict(self, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """The order-2 id's share of 2**SHARE_BITS."""
         self.p1 = p1
-        self.a, self.ka = self.id2[self.i2], self.ok2[self.i2]
-        self.b, self.kb = self.id1[p1], self.ok1[p1]
-        self.ctx = (self.ka * np.uint8(8) + self.kb * np.uint8(2) + (self.a == self.b)).astype(np.intp)
-
-    def see(self, x: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
-        at2 = hit == 0
-        k = self.ka
-        self.id2[self.i2] = np.where(at2 | (k > 0), self.a, x)
-        self.ok2[self.i2] = np.where(at2, UP[k], DOWN[k])
-        at1, k = x == self.b, self.kb
-        self.id1[self.p1] = np.where(at1 | (k > 0), self.b, x)
-        self.ok1[self.p1] = np.where(at1, UP[k], DOWN[k])
-        self.outcomes += np.bincount(self.ctx * 3 + hit, minlength=96).reshape(32, 3)
-        if missed.size:
-            self.fresh.append(missed)
+        self.i2 = ((p2 * np.uint32(2654435761)) ^ (p1 * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
+        self.a, self.k = self.id2[self.i2], self.ok2[self.i2]
+        self.ctx = self.k * np.intp(32) + self.log[p1]
+        return self.share[self.ctx]
+
+    def see(self, x: np.ndarray, hit: np.ndarray) -> None:
+        k = self.k
+        self.id2[self.i2] = np.where(hit | (k > 0), self.a, x)
+        self.ok2[self.i2] = np.where(hit, UP[k], DOWN[k])
+        self.outcomes[:, 1] += np.bincount(self.ctx, minlength=len(self.outcomes))
+        self.outcomes[:, 0] += np.bincount(self.ctx[hit], minlength=len(self.outcomes))
+        self._shares()
+        self.fresh.append(self.p1 << np.uint32(16) | x)
         self.step += 1
-        if self.step & 3 == 0 or self.step < 16:
-            self._shares()
         if self.step == self.due:
-            self._zero()
-            self.due = min(self.step * 2, self.step + 64)
+            self._renew()
+            self.due = self.step + max(1, self.step // 2)
 
 
 def _lanes(n: int) -> np.ndarray:
@@ -103,41 +126,55 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid = np.zeros((lanes, steps), np.uint16)
     grid[np.arange(steps) < per[:, None]] = ids
     grid = np.ascontiguousarray(grid.T)
-    wide = 2 * steps + 3
+    wide = 4 * steps + 4
     out = np.zeros(lanes * wide, np.int32)
     at = np.arange(lanes) * wide
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    model = _Model(False)
+    model = _Model()
 
     def shed(who: np.ndarray) -> None:
-        out[at[who]] = low[who] >> S32
-        at[who] += 1
-        low[who] = (low[who] & LOW32) << S16
-        size[who] <<= S16
+        while who.size:
+            out[at[who]] = low[who] >> S32
+            at[who] += 1
+            low[who] = (low[who] & LOW32) << S16
+            size[who] <<= S16
+            who = who[size[who] < TOP]
 
     for t in range(steps):
         x, n = grid[t], lanes
         if t == steps - 1 and per[-1] < steps:
             n = int((per == steps).sum())
             x, p2, p1 = x[:n], p2[:n], p1[:n]
-        model.predict(p2, p1)
-        hit = np.where(x == model.a, 0, np.where(x == model.b, 1, 2))
-        k = model.ctx * 3 + hit
+        share = model.predict(p2, p1)
+        hit = x == model.a
         r = size[:n] >> SSHARE
-        low[:n] += r * model.lo[k]
-        size[:n] = r * model.size[k]
+        low[:n] += np.where(hit, np.uint64(0), r * share)
+        size[:n] = r * np.where(hit, share, np.uint64(1 << SHARE_BITS) - share)
         shed(np.flatnonzero(size[:n] < TOP))
-        who = np.flatnonzero(hit == 2)
-        missed = x[who]
+        who = np.flatnonzero(~hit)
         if who.size:
-            r = size[who] >> SZERO
-            low[who] += r * model.c0[missed]
-            size[who] = now = r * model.f0[missed]
+            key = p1[who] << np.uint32(16) | x[who]
+            order = np.argsort(key)
+            who, key = who[order], key[order]
+            c, y = p1[who], x[who]
+            j = np.searchsorted(model.keys, key)
+            fresh = model.guarded[j] != key
+            first = np.where(fresh, model.seen1[c], model.c1[j] - model.c1[model.start[c]])
+            f = np.where(fresh, model.all1[c] - model.seen1[c], model.f1[j])
+            r = size[who] // model.all1[c].astype(np.uint64)
+            low[who] += r * first.astype(np.uint64)
+            size[who] = now = r * f.astype(np.uint64)
             shed(who[now < TOP])
-        model.see(x, hit, missed)
+            if fresh.any():
+                c, y, j, who = c[fresh], y[fresh], j[fresh], who[fresh]
+                r = size[who] // model.left0[c].astype(np.uint64)
+                low[who] += r * (model.c0[y] - (model.sum0[j] - model.sum0[model.start[c]])).astype(np.uint64)
+                size[who] = now = r * model.f0[y].astype(np.uint64)
+                shed(who[now < TOP])
+        model.see(x, hit)
         p2, p1 = p1, x.astype(np.uint32)
-    last = (low + np.uint64(0xFFFF)) >> S16  # any value of the final interval; size is 2**28 or more here
+    last = (low + np.uint64(0xFFFF)) >> S16  # any value of the final interval; size is 2**32 or more here
     out[at], out[at + 1] = last >> S16, last & np.uint64(0xFFFF)
     at += 2
     words = at - np.arange(lanes) * wide
@@ -150,7 +187,7 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
     per = _lanes(n_ids)
     lanes, steps = len(per), int(per[0])
-    wide = int(words.max()) + 4
+    wide = int(words.max()) + 6
     code_words = np.zeros((lanes, wide), np.uint64)
     code_words[np.arange(wide) < words[:, None]] = flat
     code_words = code_words.ravel()
@@ -160,37 +197,56 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
     size = np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     grid = np.zeros((steps, lanes), np.uint16)
-    model = _Model(True)
+    model = _Model()
 
     def fill(who: np.ndarray) -> None:
-        code[who] = (code[who] << S16) | code_words[at[who]]
-        at[who] += 1
-        size[who] <<= S16
+        while who.size:
+            code[who] = (code[who] << S16) | code_words[at[who]]
+            at[who] += 1
+            size[who] <<= S16
+            who = who[size[who] < TOP]
 
     for t in range(steps):
         n = lanes
         if t == steps - 1 and per[-1] < steps:
             n = int((per == steps).sum())
             p2, p1 = p2[:n], p1[:n]
-        model.predict(p2, p1)
-        r, c = size[:n] >> SSHARE, code[:n]
-        hit = (c >= r * model.at1[model.ctx]).astype(np.intp)
-        hit += c >= r * model.at2[model.ctx]
-        k = model.ctx * 3 + hit
-        code[:n] -= r * model.lo[k]
-        size[:n] = r * model.size[k]
+        share = model.predict(p2, p1)
+        r = size[:n] >> SSHARE
+        edge = r * share
+        hit = code[:n] < edge
+        code[:n] -= np.where(hit, np.uint64(0), edge)
+        size[:n] = r * np.where(hit, share, np.uint64(1 << SHARE_BITS) - share)
         fill(np.flatnonzero(size[:n] < TOP))
-        x = np.where(hit == 0, model.a, model.b)
-        who = np.flatnonzero(hit == 2)
-        missed = x[:0]
+        x = model.a.copy()
+        who = np.flatnonzero(~hit)
         if who.size:
-            r = size[who] >> SZERO
-            missed = model.of[code[who] // r]
-            x[who] = missed
-            code[who] -= r * model.c0[missed]
-            size[who] = now = r * model.f0[missed]
+            c = p1[who]
+            r = size[who] // model.all1[c].astype(np.uint64)
+            place = model.c1[model.start[c]] + (code[who] // r).astype(np.int64)
+            order = np.argsort(place)
+            who, c, r, place = who[order], c[order], r[order], place[order]
+            base = model.c1[model.start[c]]
+            fresh = place - base >= model.seen1[c]
+            j = np.searchsorted(model.c1, place, "right") - 1
+            x[who] = model.guarded[j] & np.uint32(0xFFFF)
+            first = np.where(fresh, model.seen1[c], model.c1[j] - base)
+            f = np.where(fresh, model.all1[c] - model.seen1[c], model.f1[j])
+            code[who] -= r * first.astype(np.uint64)
+            size[who] = now = r * f.astype(np.uint64)
             fill(who[now < TOP])
-        model.see(x, hit, missed)
+            if fresh.any():
+                c, who = c[fresh], who[fresh]
+                r = size[who] // model.left0[c].astype(np.uint64)
+                v = (code[who] // r).astype(np.int64)
+                j = np.searchsorted(model.place0, (c.astype(np.int64) << SPAN) + v, "right")
+                before = model.sum0[j] - model.sum0[model.start[c]]
+                y = np.searchsorted(model.c0, v + before, "right") - 1
+                x[who] = y
+                code[who] -= r * (model.c0[y] - before).astype(np.uint64)
+                size[who] = now = r * model.f0[y].astype(np.uint64)
+                fill(who[now < TOP])
+        model.see(x, hit)
         grid[t, :n] = x
         p2, p1 = p1, x.astype(np.uint32)
     return np.ascontiguousarray(grid.T)[np.arange(steps) < per[:, None]]

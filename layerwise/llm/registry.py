@@ -30,5 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {}
+    out = {"op3_vector_graph": vector_graph.SQL, "op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

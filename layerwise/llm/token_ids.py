@@ -20,10 +20,12 @@ from . import common
 from .range_coder import read_block, write_block
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-BLOCK_IDS = 1 << 20  # a block closes when it holds so many ids; no document is split
+BLOCK_IDS = 1 << 21  # a block closes when it holds so many ids; no document is split
 SLOTS = 1 << 22  # pieces that a worker's table has room for; it starts afresh at half of them
 BYTES = 1 << 19  # of text that are tokenized at once
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two hashes; odd
+POOL = 1 << 24  # ids that a worker's table remembers at most; longer pieces take room each time
+SHORT = 16  # bytes of a piece that the table holds
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a little-endian word
 TEXTS = 512  # documents that are handed over at once
 MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
@@ -36,9 +38,9 @@ class _Encoder:
 
     The tokenizer's own rules break at all white space and lower-case, so a text's ids are those of its lower-cased
     pieces between ASCII spaces and newlines, in a row. So is a mark at a piece's end, after an ASCII letter, a piece. Texts are
-    cut in NumPy, and pieces of up to 64 bytes are looked up by two 64-bit polynomial hashes in an open-addressing
-    table of fixed size, which starts afresh when it is half full. Only new pieces reach the tokenizer: words of
-    Latin-1 letters many at a time, parted by spaces and told apart by the ids that end a word; others one by one.
+    cut in NumPy, and pieces of up to SHORT bytes are looked up by these bytes and their number in an open-addressing
+    table of fixed size, which starts afresh when it is half full. Only new and longer pieces reach the tokenizer: words
+    of Latin-1 letters many at a time, parted by spaces and told apart by the ids that end a word; others one by one.
     Texts with a special token's opening are encoded whole.
     """
 
@@ -52,14 +54,10 @@ class _Encoder:
         if model.get("end_of_word_suffix"):
             self.ends = np.zeros(1 << 16, bool)
             self.ends[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"]) and i < 1 << 16]] = True
-        self.powers: list[list[np.ndarray]] = []
-        for base in BASES:
-            inverse = pow(base, -1, 1 << 64)
-            self.powers.append([np.cumprod(np.concatenate([[np.uint64(1)], np.full(BYTES, x, np.uint64)])) for x in (base, inverse)])
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros((SLOTS, 2), np.uint64)
+        self.head, self.tail, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8)
         self.span = np.zeros((SLOTS, 2), np.int32)
         self.pool, self.used, self.held = np.zeros(1 << 20, np.uint16), 0, 0
 
@@ -89,27 +87,30 @@ class _Encoder:
             self.used += len(flat)
         return spans
 
-    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, known) of each key: where it is, or the first free slot of its chain."""
-        slot = (keys[:, 0] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        known, left = np.zeros(len(keys), bool), np.arange(len(keys))
+    def slots(self, hashed: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, known) of each piece: where it is, or the first free slot of its chain."""
+        slot = (hashed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        there = self.size[slot]
+        known = (there == size) & (self.head[slot] == head) & (self.tail[slot] == tail)
+        left = np.flatnonzero(~known & (there != 0))
         while len(left):
-            there = self.key[slot[left]]
-            same = (there[:, 0] == keys[left, 0]) & (there[:, 1] == keys[left, 1])
+            slot[left] = at = (slot[left] + 1) & (SLOTS - 1)
+            there = self.size[at]
+            same = (there == size[left]) & (self.head[at] == head[left]) & (self.tail[at] == tail[left])
             known[left[same]] = True
-            left = left[~same & ((there[:, 0] != 0) | (there[:, 1] != 0))]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            left = left[~same & (there != 0)]
         return slot, known
 
-    def insert(self, keys: np.ndarray, spans: np.ndarray) -> None:
-        """Distinct new keys; those that meet in a free slot take turns."""
-        left = np.arange(len(keys))
+    def insert(self, hashed: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, spans: np.ndarray) -> None:
+        """Distinct new pieces; those that meet in a free slot take turns."""
+        left = np.arange(len(size))
         while len(left):
-            slot, _ = self.slots(keys[left])
+            slot, _ = self.slots(hashed[left], head[left], tail[left], size[left])
             _, first = np.unique(slot, return_index=True)
-            self.key[slot[first]], self.span[slot[first]] = keys[left[first]], spans[left[first]]
+            slot, some = slot[first], left[first]
+            self.head[slot], self.tail[slot], self.size[slot], self.span[slot] = head[some], tail[some], size[some], spans[some]
             left = np.delete(left, first)
-        self.held += len(keys)
+        self.held += len(size)
 
     def cut(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of the pieces of lower-cased bytes."""
@@ -154,29 +155,31 @@ class _Encoder:
 
     def batch(self, texts: list[bytes], some: list[int], out: list) -> None:
         joined = b"\n".join([texts[i] for i in some]).lower()  # bytes.lower changes A-Z only
-        raw = np.frombuffer(joined, np.uint8)
-        start, stop = self.cut(raw)
-        if self.held + len(start) > SLOTS // 2:
+        start, stop = self.cut(np.frombuffer(joined, np.uint8))
+        if self.held + len(start) > SLOTS // 2 or self.used > POOL:
             self.reset()
-        keys = np.empty((len(start), 2), np.uint64)
-        for k, (up, down) in enumerate(self.powers):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * up[: len(raw)])])
-            keys[:, k] = (sums[stop] - sums[start]) * down[start]
-        keys[:, 0] ^= keys[:, 0] >> np.uint64(32)
-        keys[:, 0] *= np.uint64(0xD6E8FEB86659FD93)
-        slot, known = self.slots(keys)
+        length = stop - start
+        words = np.ndarray((len(joined) + 9,), "<u8", joined + bytes(SHORT), 0, (1,))  # the eight bytes from each place
+        head, tail = words[start] & MASK[np.minimum(length, 8)], np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(length > 8)
+        tail[more] = words[start[more] + 8] & MASK[np.minimum(length[more] - 8, 8)]
+        size = np.minimum(length, 255).astype(np.uint8)
+        hashed = (head ^ tail * np.uint64(0xC2B2AE3D27D4EB4F) ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(32)
+        hashed *= np.uint64(0xD6E8FEB86659FD93)
+        slot, known = self.slots(hashed, head, tail, size)
         spans = self.span[slot]
-        long = stop - start > 64
-        if (~known & ~long).any():
-            new = np.flatnonzero(~known & ~long)
-            _, first, back = np.unique(keys[new, 0] ^ (keys[new, 1] >> np.uint64(1)), return_index=True, return_inverse=True)
+        long = length > SHORT
+        new = np.flatnonzero(~known & ~long)
+        if len(new):
+            _, first, back = np.unique(hashed[new], return_index=True, return_inverse=True)
             at = new[first]
-            if not (keys[at][back] == keys[new]).all():  # two pieces of one folded key: too rare to be clever about
+            if not all((x[at][back] == x[new]).all() for x in (head, tail, size)):  # two pieces of one hash: too rare to be clever about
                 at, back = new, np.arange(len(new))
             found = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
             spans[new] = found[back]
             if len(at) == len(first):
-                self.insert(keys[at], found)
+                self.insert(hashed[at], head[at], tail[at], size[at], found)
         if long.any():
             at = np.flatnonzero(long)
             spans[at] = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])

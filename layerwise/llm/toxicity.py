@@ -19,10 +19,10 @@ from pyspark.sql.types import DoubleType
 from . import common
 
 SAMPLE = 12_000  # labelled documents that the model is fitted on at most
-LEAST_DOCS = 8  # of the sample, that a term must be in
+LEAST_DOCS, PAIR_DOCS = 3, 8  # of the sample, that a term and a tested pair must be in
+PREFIX = 4  # bytes of a longer word's prefix, a term as well, so that rare inflected forms share weight
+SCREEN = 4.0  # standard errors that a term's share of toxic documents must differ from the sample's
 FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 18, 256, 0.15, 1e-3
-CHANCE = 4.0  # standard errors of a term's own gradient without evidence: its L1 penalty, so that rare terms pay less
-LEAST_WEIGHT = 0.15  # of a term after the linear epochs, to stay
 THRESHOLD = 0.7
 STEPS = 800  # batches at least; small samples take more epochs
 
@@ -30,11 +30,12 @@ _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct terms of a text (letters and digits; A-Z lower-cased). A term that occurs
-    again is one more term."""
+    """Sorted 32-bit hashes of the distinct terms of a text: its words (letters and digits; A-Z lower-cased), words that
+    occur again, and the first PREFIX bytes of longer words."""
     found = Counter(_TERM.findall((text or "").encode("utf-8", "surrogatepass").lower()))
     again = [x + b"+" for x, n in found.items() if n > 1]
-    return np.unique(np.fromiter(map(zlib.crc32, chain(found, again)), np.uint32, len(found) + len(again)))
+    heads = {x[:PREFIX] + b"*" for x in found if len(x) > PREFIX}
+    return np.unique(np.fromiter(map(zlib.crc32, chain(found, again, heads)), np.uint32, len(found) + len(again) + len(heads)))
 
 
 @dataclass
@@ -82,7 +83,7 @@ def _encoded(known: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
 
 def _paired(rows: list[np.ndarray], size: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Which of ``size`` terms are in a pair whose documents are toxic more or less often than the linear model's ``p``
-    and both terms' own shares explain. All pairs in LEAST_DOCS documents are tested, by the Chernoff bound of a sum
+    and both terms' own shares explain. All pairs in PAIR_DOCS documents are tested, by the Chernoff bound of a sum
     of unequal Bernoulli draws, so that one pair at most is expected by chance. One term's pairs stand in memory."""
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
     docs = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[np.argsort(flat, kind="stable")]
@@ -93,7 +94,7 @@ def _paired(rows: list[np.ndarray], size: int, y: np.ndarray, p: np.ndarray) ->
         of = docs[start:end]
         other, each = np.concatenate([np.zeros(0, np.int64), *(rows[j] for j in of)]), [len(rows[j]) for j in of]
         n = np.bincount(other, minlength=size)
-        b = np.flatnonzero(n >= LEAST_DOCS)
+        b = np.flatnonzero(n >= PAIR_DOCS)
         b = b[b > a]
         if not len(b):
             continue
@@ -112,11 +113,9 @@ def _paired(rows: list[np.ndarray], size: int, y: np.ndarray, p: np.ndarray) ->
 
 
 def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Log loss, AdaGrad. A third of the epochs fits linear weights of all terms under an L1 penalty, for each term as
-    large as what chance alone would give it, so that rare terms stay if they are pure; as many fit those that stay
-    without it, in larger steps. All pairs are then tested against that model, and the last two thirds fit weights and
-    factors together, for terms that weigh alone and terms that weigh in pairs only. A penalty there would leave a
-    term's evidence to its pairs, and miss it alone."""
+    """Log loss, AdaGrad. Terms whose share of toxic documents is SCREEN standard errors off that of all documents weigh
+    alone: a third of the epochs fits their linear weights. All pairs are then tested against that model, however little
+    their terms say alone, and the last two thirds fit weights and factors together for the terms of both kinds."""
     y = labels.astype(float)
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
@@ -127,7 +126,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
         return Machine(bias, known[:0], np.zeros(0), np.zeros((0, FACTORS)))
     third, gb = max(EPOCHS, -(-STEPS * BATCH // len(y))) // 3, 1e-6
 
-    def fitted(rows, weight, factor, epochs, rate_of, penalty):
+    def fitted(rows, weight, factor, epochs):
         nonlocal bias, gb
         gw, gf = np.full(len(weight), 1e-6), np.full(factor.shape, 1e-6)
         for _ in range(epochs):
@@ -142,30 +141,25 @@ def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
                 g = np.bincount(at, e[row], len(weight))
                 seen = g != 0
                 gw[seen] += g[seen] ** 2
-                rate = rate_of / np.sqrt(gw)
-                weight = weight - rate * g
-                if penalty is not None:
-                    weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * penalty, 0)
+                weight = weight - 2 * RATE * g / np.sqrt(gw)
                 if factor.any():
                     h = np.stack([np.bincount(at, e[row] * (sums[row, f] - factor[at, f]), len(weight)) for f in range(FACTORS)], 1) + L2 * factor * seen[:, None]
                     gf += h**2
                     factor = factor - RATE / 3 * h / np.sqrt(gf)
         return weight, factor
 
-    rows, none = _encoded(known, found), np.zeros((len(known), FACTORS))
-    weight, _ = fitted(rows, np.zeros(len(known)), none[:, :1], third, RATE, CHANCE * np.sqrt(n_docs * share * (1 - share)) / len(y))
-    alone = np.abs(weight) >= LEAST_WEIGHT
-    few = _encoded(known[alone], found)
-    weight[alone], _ = fitted(few, weight[alone], none[alone, :1], third, 2 * RATE, None)
-    weight[~alone] = 0
+    rows = _encoded(known, found)
+    toxic = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(y, [len(x) for x in rows]), len(known))
+    alone = np.abs(toxic - n_docs * share) > SCREEN * np.sqrt(n_docs * share * (1 - share))
+    weight, few = np.zeros(len(known)), _encoded(known[alone], found)
+    weight[alone], _ = fitted(few, weight[alone], np.zeros((int(alone.sum()), 1)), third)
     p = _sigmoid(bias + np.array([weight[alone][x].sum() for x in few]))
     stay = alone | _paired(rows, len(known), y, p)
     known, weight = known[stay], weight[stay]
     if not len(known):
         return Machine(float(bias), known, weight, np.zeros((0, FACTORS)))
-    weight, factor = fitted(_encoded(known, found), weight, rng.normal(0, 0.05, (len(known), FACTORS)), 2 * third, 2 * RATE, None)
-    stay = (weight != 0) | (np.abs(factor).max(1) > 1e-3)
-    return Machine(float(bias), known[stay], weight[stay], factor[stay])
+    weight, factor = fitted(_encoded(known, found), weight, rng.normal(0, 0.05, (len(known), FACTORS)), 2 * third)
+    return Machine(float(bias), known, weight, factor)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -180,12 +174,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [terms(x.as_py()).view(np.int32) for x in b.column("text")]
-            yield pa.RecordBatch.from_pydict({"id": b.column("__id"), "y": b.column("__y"), "terms": pa.array(found, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"id": b.column("__id"), "y": b.column("__y"), "key": b.column("__key"), "terms": pa.array(found, pa.list_(pa.int32()))})
         common.trim()
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text").mapInArrow(read, "id long, y int, terms array<int>")
-    got = got.dropDuplicates(["id"]).toArrow().to_pandas().sort_values("id")  # at most SAMPLE rows
+    got = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", F.xxhash64("text").alias("__key"), "text").mapInArrow(read, "id long, y int, key long, terms array<int>")
+    # of rows that share an id the one with the least hash; at most SAMPLE rows
+    got = got.groupBy("id").agg(F.min(F.struct("key", "y", "terms")).alias("x")).select("id", "x.y", "x.terms").toArrow().to_pandas().sort_values("id")
     return fit([np.asarray(x, np.int32).view(np.uint32) for x in got["terms"]], got["y"].to_numpy())
 
 

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_COSINE = 0.98
-SAMPLE, SHARD_ROWS, MOST_CENTRES = 8_192, 2_000, 1_024  # vectors that centres are fitted on; distinct vectors per centre
-NEAREST, MARGIN = 3, 0.25  # a vector joins its nearest centres, three at most, that are this much farther than the first
+SINE = (1 - LEAST_COSINE**2) ** 0.5  # of the largest angle of a link
+SAMPLE, MOST_CENTRES = 8_192, 1_024  # vectors that centres are fitted on, and centres, at most
+SHARD_ROWS = 8_000  # distinct vectors of a label beyond which it is spread over centres, and for each centre
+MOST_ROWS = 16_000  # of a shard that one task holds; larger shards are compared in blocks of so many
 INNER_ROWS = 512  # of the overlapping clusters in a shard that are searched in full for neighbours
+NEAREST, MARGIN = 3, 0.25  # clusters that a vector joins at most, each at most so much farther than the nearest; the audit counts what that costs
 DEGREE, POOL, ALPHA = 16, 48, 1.2  # of robust pruning
-BEAM, QUERIES = 24, 256
-AUDITED, RECALL = 64, 0.98  # vectors of a shard whose links are counted in full; the share that must be found
+BEAMS, QUERIES = (24, 96), 256
+AUDITED = 128  # vectors of a shard whose links are counted in full; the beam must find them all
+DENSE = 256  # links of an audited vector on average beyond which a search would visit most of the shard
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,40 +40,53 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def dealt(x: np.ndarray, c: np.ndarray) -> list[list[int]]:
+    """For each vector its nearest centre, then all others to which a vector that links with it may be nearest.
+
+    If y is nearest to c1, x nearest to c, and their angle is that of a link at most, then y is so near to the plane between
+    both centres: y * (c1 - c) <= sin(angle) * |c1 - c|. So all that links with x is dealt to x's nearest centre as well.
+    """
+    apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    out = []
+    for i in range(0, len(x), 1024):
+        s = x[i : i + 1024] @ c.T
+        home = s.argmax(1)
+        near = s[np.arange(len(s)), home][:, None] - s <= SINE * apart[home] + 1e-9
+        near[np.arange(len(s)), home] = False
+        out += [[int(h), *np.flatnonzero(n).tolist()] for h, n in zip(home, near, strict=True)]
+    return out
+
+
 def overlapping(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The NEAREST centres of each vector, nearest first; -1 for those that are MARGIN farther than the first."""
-    near = np.full((len(x), NEAREST), -1, np.int64)
-    for i in range(0, len(x), 4096):
-        d = np.sqrt(np.maximum(0, 2 - 2 * x[i : i + 4096] @ c.T))
-        m = min(NEAREST, d.shape[1])
-        best = np.argsort(d, axis=1, kind="stable")[:, :m]
-        dist = np.take_along_axis(d, best, 1)
-        near[i : i + 4096, :m] = np.where(dist <= dist[:, :1] + MARGIN, best, -1)
-    return near
-
-
-def robust_pruned(x: np.ndarray) -> list[tuple[int, int]]:
+    """Which clusters each vector joins: rows of flags."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ c.T))
+    third = np.partition(d, min(NEAREST, d.shape[1]) - 1, axis=1)[:, min(NEAREST, d.shape[1]) - 1]
+    return d <= np.minimum(d.min(1) + MARGIN, third)[:, None]
+
+
+def robust_pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a small cluster's graph. From its POOL nearest, each vector takes the nearest that is left, which then
     rules out those that are ALPHA times nearer to it than to the vector, until it has DEGREE neighbours."""
     n = len(x)
     if n < 2:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
     np.fill_diagonal(d, np.inf)
     pool = np.argsort(d, axis=1, kind="stable")[:, : min(POOL, n - 1)]
     dist = np.take_along_axis(d, pool, 1)
     np.fill_diagonal(d, 0)
-    left, rows, edges = np.ones(pool.shape, bool), np.arange(n), []
+    left, rows, source, to = np.ones(pool.shape, bool), np.arange(n), [], []
     for _ in range(DEGREE):
         some = left.any(1)
         if not some.any():
             break
         first = left.argmax(1)  # the pool is sorted by distance
         star = pool[rows, first]
-        edges += list(zip(rows[some].tolist(), star[some].tolist(), strict=True))
+        source.append(rows[some])
+        to.append(star[some])
         left &= ~(ALPHA * d[star[:, None], pool] <= dist)
         left[rows, first] = False
-    return edges
+    return np.concatenate(source), np.concatenate(to)
 
 
 class Graph:
@@ -82,18 +99,19 @@ class Graph:
         clusters = [np.arange(n)]
         if k > 1:
             near = overlapping(x, centres(x, k))
-            clusters = [np.flatnonzero((near == c).any(1)) for c in range(k)]
-        edges, medoids = set(), []
+            clusters = [np.flatnonzero(near[:, c]) for c in range(near.shape[1])]
+        edges, medoids = [np.zeros(0, np.int64)], []
         for members in clusters:
             # a cluster of very many like vectors is cut in order, with half overlaps, so that the matrix stays small
             for at in range(0, max(1, len(members) - INNER_ROWS), INNER_ROWS) if len(members) > 2 * INNER_ROWS else [0]:
                 some = members[at : at + 2 * INNER_ROWS]
                 if len(some):
                     medoids.append(int(some[(x[some] @ x[some].mean(0)).argmax()]))
-                    edges.update((int(some[a]), int(some[b])) for a, b in robust_pruned(x[some]))
-        both = np.array(sorted(edges | {(b, a) for a, b in edges}), np.int64).reshape(-1, 2)
-        self.start = np.searchsorted(both[:, 0], np.arange(n + 1))
-        self.to = both[:, 1]
+                    u, v = robust_pruned(x[some])
+                    edges += [some[u] * n + some[v], some[v] * n + some[u]]
+        both = np.unique(np.concatenate(edges))
+        self.start = np.searchsorted(both // n, np.arange(n + 1))
+        self.to = both % n
         self.medoids = np.array(sorted(set(medoids)), np.int64)
 
     def around(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,69 +155,90 @@ class Graph:
             fresh = np.setdiff1d(np.unique(fresh_next), known, assume_unique=True)
         return seen
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (a < b) with a cosine of LEAST_COSINE or more. The links of AUDITED vectors are also counted in full; if
-        too few were found the search is repeated with a wider beam, at last against all vectors in blocks."""
-        n, every = len(self.x), np.arange(len(self.x))
-        audit = every[:: max(1, n // AUDITED)]
-        exact = self._verified(np.concatenate([(q * n + np.flatnonzero(self.x @ self.x[q] >= LEAST_COSINE - 1e-9)) for q in audit]))
-        for beam in (BEAM, 4 * BEAM, n):
-            parts = []
-            for i in range(0, n, QUERIES):
-                q = every[i : i + QUERIES]
-                parts.append(self._verified(self.found(q, beam) if beam < n else (q[:, None] * n + every).ravel()))
-            pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
-            if not len(exact) or np.isin(exact, pairs).mean() >= RECALL or beam >= n:
-                break
-        return pairs // n, pairs % n
-
-    def _verified(self, codes: np.ndarray) -> np.ndarray:
-        """Codes of pairs a * n + b, a < b, whose cosine is high enough."""
-        n, out = len(self.x), []
-        for i in range(0, len(codes), 1 << 16):
-            a, b = codes[i : i + (1 << 16)] // n, codes[i : i + (1 << 16)] % n
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            fine = (a != b) & (np.einsum("ij,ij->i", self.x[a], self.x[b]) >= LEAST_COSINE)
-            out.append(a[fine] * n + b[fine])
-        return np.unique(np.concatenate([np.zeros(0, np.int64), *out]))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    parent = np.arange(n)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = root(i), root(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-    return np.array([root(i) for i in range(n)], np.int64)
+    def beam(self, queries: np.ndarray) -> int | None:
+        """The beam that finds all links of AUDITED vectors, half of them such as have a link among their neighbours; None if
+        none does or the vectors are dense, so that blocks do better."""
+        n, x = len(self.x), self.x
+        who = np.repeat(np.arange(n), np.diff(self.start))
+        linked = np.zeros(n, bool)
+        for i in range(0, len(who), 1 << 16):
+            u, v = who[i : i + (1 << 16)], self.to[i : i + (1 << 16)]
+            linked[u[np.einsum("ij,ij->i", x[u], x[v]) >= LEAST_COSINE]] = True
+        some = queries[linked[queries]]
+        audit = np.unique(np.concatenate([q[np.linspace(0, len(q) - 1, min(len(q), AUDITED // 2)).astype(int)] for q in (queries, some) if len(q)]))
+        exact = x[audit] @ x.T >= LEAST_COSINE + 1e-12
+        exact[np.arange(len(audit)), audit] = False
+        if exact.sum() > DENSE * len(audit):
+            return None
+        q, v = np.nonzero(exact)
+        for beam in BEAMS:
+            if np.isin(audit[q] * n + v, self.found(audit, beam)).all():
+                return beam
+        return None
+
+
+class Forest:
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
+
+    def root(self, i: np.ndarray) -> np.ndarray:
+        r = self.parent[i]
+        while (up := self.parent[r]).tobytes() != r.tobytes():
+            r = up
+        return r
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            u, v = self.root(a), self.root(b)
+            apart = u != v
+            a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+            np.minimum.at(self.parent, np.maximum(u, v), np.minimum(u, v))
+
+
+def linked(x: np.ndarray, node: np.ndarray, copies: np.ndarray, query: np.ndarray, target: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(copies that each row of ``query`` links with, root of each row), links being those of a query and a target with
+    another node. Links are counted and joined as they are found and never kept, so memory grows with the rows only."""
+    n, forest, counts = len(x), Forest(len(x)), np.zeros(len(x), np.int64)
+    queries, targets = np.flatnonzero(query), np.flatnonzero(target)
+    graph = None if exact or not len(queries) else Graph(x)
+    beam = graph.beam(queries) if graph else None
+    if beam:
+        for i in range(0, len(queries), QUERIES):
+            found = graph.found(queries[i : i + QUERIES], beam)
+            for at in range(0, len(found), 1 << 18):
+                a, b = found[at : at + (1 << 18)] // n, found[at : at + (1 << 18)] % n
+                fine = (a != b) & (np.einsum("ij,ij->i", x[a], x[b]) >= LEAST_COSINE)
+                np.add.at(counts, a[fine], copies[b[fine]])
+                forest.join(a[fine], b[fine])
+        return counts, forest.root(np.arange(n))
+    y, own = x[targets], copies[targets]
+    for i in range(0, len(queries), 128):
+        q = queries[i : i + 128]
+        link = x[q] @ y.T >= LEAST_COSINE
+        link &= node[q][:, None] != node[targets]
+        counts[q] = link @ own
+        top, of = forest.root(targets), forest.root(q)
+        # a row whose links are all in its own tree already has nothing to join
+        mixed = np.flatnonzero((link & (top != of[:, None])).any(1))
+        for r in mixed.tolist():
+            b = targets[link[r]]
+            forest.join(np.full(len(b), q[r]), b)
+    return counts, forest.root(np.arange(n))
 
 
 def _shard(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, links, root) of a shard. A pair in several shards counts in the least of them only, so the counts of
-    all shards add up; the roots join what is linked here."""
-    t = pa.Table.from_batches(list(batches))
-    shard = key[-1].as_py()
-    node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-    near = np.array(t.column("near").to_pylist(), np.int64).reshape(len(node), -1)
-    x = _unit(np.array(t.column("embedding").to_pylist(), np.float64).reshape(len(node), -1))
-    order = np.argsort(node, kind="stable")
-    node, copies, near, x = node[order], copies[order], near[order], x[order]
-    a, b = Graph(x).links()
-    if not len(a):
+    """Rows (node, links, root) of a shard, or of a block of queries against a block of targets of a large one."""
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    if not t.num_rows:
         return
-    both = (near[a][:, :, None] == near[b][:, None, :]) & (near[a] >= 0)[:, :, None]
-    least = np.where(both.any(2), near[a], 1 << 62).min(1)
-    own = least == shard
-    links = np.bincount(a[own], copies[b[own]], len(node)) + np.bincount(b[own], copies[a[own]], len(node))
-    root = node[_forest(a, b, len(node))]
+    node, copies, query, target = (t.column(c).to_numpy() for c in ("node", "copies", "query", "target"))
+    x = _unit(t.column("embedding").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
+    order = np.argsort(node, kind="stable")
+    node, copies, query, target, x = node[order], copies[order], query[order], target[order], x[order]
+    links, root = linked(x, node, copies, query, target, bool(t.column("blocks")[0].as_py() > 1))
+    root = node[root]
     some = (links > 0) | (root != node)
-    yield pa.RecordBatch.from_pydict({"node": pa.array(node[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(root[some])})
+    yield pa.RecordBatch.from_pydict({"node": pa.array(node[some]), "links": pa.array(links[some]), "root": pa.array(root[some])})
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -210,39 +249,53 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     and vector are one node of the graph with a number of copies; n_links counts all other rows that link directly.
     Rows of one id but different vectors are joined by that id. Other columns are not read.
 
-    Centres are fitted on at most SAMPLE vectors; every vector goes to its nearest centres of its label, so that the
-    shards overlap and a label with very many vectors is spread over its centres. In each shard a graph is built on
-    overlapping clusters, searched for every vector, audited against full counts and verified in double precision.
+    A label with more than SHARD_ROWS distinct vectors is spread over centres, fitted on at most SAMPLE vectors, so that
+    the shards overlap and every link of a vector lies in the shard of its nearest centre. In each shard a graph is
+    built on overlapping clusters and searched for the vectors that have their nearest centre there; an audit against
+    full counts chooses the beam, and links are verified in double precision. Shards beyond MOST_ROWS, and those too
+    dense for a search, are compared in blocks instead, without loss.
     """
     spark = vectors.sparkSession
     good = "label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(embedding, v -> v <> 0)"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
     nodes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = common.stored(nodes, "vectors").withColumn("dims", F.size("embedding"))
-    n = nodes.count()
-    sample = nodes.select("node", "embedding", "dims").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow().to_pandas()
+    sizes = common.stored(nodes.groupBy("label", "dims").agg(F.count("*").alias("n")), "labels")  # Spark broadcasts it only while it is small
+    most = {r.dims: r.n for r in sizes.groupBy("dims").agg(F.max("n").alias("n")).where(F.col("n") > SHARD_ROWS).collect()}  # one row per length
     per_dims = {}
-    for dims, got in sample.groupby("dims"):
-        k = min(MOST_CENTRES, -(-int(n * len(got) / len(sample)) // SHARD_ROWS))
-        per_dims[int(dims)] = centres(_unit(np.array(got["embedding"].tolist(), np.float64)), max(1, k))
+    for dims, n in most.items():
+        sample = nodes.where(F.col("dims") == dims).select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
+        per_dims[dims] = centres(_unit(np.array(sample.column("embedding").to_pylist())), min(MOST_CENTRES, -(-n // SHARD_ROWS)))
     shared = spark.sparkContext.broadcast(per_dims)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [[0]] * b.num_rows  # a length that isn't in the sample has one shard
-            dims = b.column("dims").to_numpy()
-            for d in np.unique(dims).tolist():
-                if d in shared.value:
-                    at = np.flatnonzero(dims == d)
-                    x = _unit(np.array(b.column("embedding").take(pa.array(at)).to_pylist(), np.float64))
-                    for i, row in zip(at.tolist(), overlapping(x, shared.value[d]).tolist(), strict=True):
-                        near[i] = row
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x + [-1] * (NEAREST - len(x)) for x in near], pa.list_(pa.int64()))], names=[*b.schema.names, "near"])
-
-    placed = nodes.select("label", "embedding", "node", "copies", "dims").mapInArrow(assign, "label string, embedding array<float>, node long, copies long, dims int, near array<long>")
-    dealt = placed.select("*", F.explode(F.array_distinct("near")).alias("shard")).where("shard >= 0")
-    found = common.stored(dealt.groupBy("label", "dims", "shard").applyInArrow(_shard, "node long, links long, root long"), "links")
+            near = [[0]] * b.num_rows
+            dims = b.column("dims").to_numpy() * (b.column("n").to_numpy() > SHARD_ROWS)
+            for d in np.unique(dims[dims > 0]).tolist():
+                at = np.flatnonzero(dims == d)
+                x = _unit(np.array(b.column("embedding").take(pa.array(at)).to_pylist()))
+                for i, row in zip(at.tolist(), dealt(x, shared.value[d]), strict=True):
+                    near[i] = row
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], names=[*b.schema.names, "near"])
+
+    columns = "label string, embedding array<double>, node long, copies long, dims int, n long"
+    placed = nodes.join(sizes, ["label", "dims"]).select("label", "embedding", "node", "copies", "dims", "n").mapInArrow(assign, columns + ", near array<int>")
+    key = ["label", "dims", "shard"]
+    shards = placed.select("label", "embedding", "node", "copies", "dims", F.posexplode("near").alias("place", "shard"))
+    shards = common.stored(shards.select("label", "embedding", "node", "copies", "dims", "shard", (F.col("place") == 0).alias("home")), "shards")
+    blocks = common.stored(shards.groupBy(*key).agg(F.ceil(F.count("*") / MOST_ROWS).cast("int").alias("blocks")), "blocks")
+    # of a large shard each block of vectors at home meets each block of all; a small one is one task
+    role = lambda i, j, q, t: f"named_struct('i', {i}, 'j', {j}, 'query', {q}, 'target', {t})"
+    asked = f"transform(sequence(0, blocks - 1), k -> {role('block', 'k', 'true', 'false')})"
+    meets = f"transform(sequence(0, blocks - 1), k -> {role('k', 'block', 'false', 'true')})"
+    roles = f"CASE WHEN blocks = 1 THEN array({role('0', '0', 'home', 'true')}) WHEN home THEN concat({asked}, {meets}) ELSE {meets} END"
+    cut = shards.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tasks = cut.select("node", "copies", "embedding", *key, "blocks", F.explode(F.expr(roles)).alias("r")).select("node", "copies", "embedding", *key, "blocks", "r.*")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # small rows, much work: not to be coalesced
+    found = tasks.repartition(parts, *key, "i", "j").groupBy(*key, "i", "j").applyInArrow(_shard, "node long, links long, root long")
+    found = common.stored(found, "links")
     joined = common.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of = nodes.select("label", "embedding", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")
@@ -255,3 +308,15 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label by their cosine, and least labels handed on until nothing changes.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= {LEAST_COSINE}),
+r(vec_id, low) USING KEY (vec_id) AS (SELECT vec_id, vec_id FROM v UNION
+  SELECT s.b, s.low FROM (SELECT e.b, min(r.low) AS low FROM r JOIN e ON e.a = r.vec_id GROUP BY e.b) s JOIN recurring.r k ON k.vec_id = s.b WHERE s.low < k.low),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT r.vec_id, coalesce(n.n, 0) AS n_links, r.low AS component_id, r.vec_id = r.low AS kept FROM r LEFT JOIN n ON n.a = r.vec_id
+"""
