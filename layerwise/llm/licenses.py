@@ -72,7 +72,7 @@ OTHERS = ["A driving licence is required to rent a car.", "The pub lost its lice
 CUE = r"(?i)licen[cs]|lizen[zs]|copyright|permission|warrant|redistribut|public domain|spdx|rights reserved|rechte vorbehalten|droits r|derechos reservados"
 CUE_WRAPPED = CUE.replace(" ", "[^A-Za-z0-9]+")  # also where a line ends within a cue
 UNKNOWN = "unknown"
-WORDS = 128  # of a window of lines: a quarter more than the longest notice has
+WORDS = 96  # of a window of lines: a quarter more than the longest notice has
 VARIANTS, EPOCHS, RATE, L1 = 24, 120, 2.0, 2e-4
 SURE, CONFIRMED = 0.5, 0.6  # least calibrated probability of a family; least share of a notice's 2-grams
 

@@ -37,8 +37,8 @@ FALSE_DISCOVERIES, CONSISTENT = 0.01, 0.001
 STEPS, DEEPEST = 16, 60  # of the histogram: a power of two is cut into so many, down to 2 ** -60
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 ALPHABETS = {16: "0123456789abcdef", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 52: SYMBOLS[10:62], 64: SYMBOLS}
-#: what is taken as seen before the corpus: one change of class in eight places, each symbol once
-PRIOR_CHANGES, PRIOR_PLACES, POOLED = 20, 160, 200
+#: what is taken as seen before the corpus: one turn in eight places, each symbol once
+PRIOR_TURNS, PRIOR_PLACES, POOLED = 20, 160, 200
 FLOOR = 1e-15
 
 SPAN = "array<struct<start:bigint,stop:bigint,rank:int,kind:string,token:string,part:int>>"
@@ -85,6 +85,8 @@ def _statistics(token: str) -> list[tuple[str, str]]:
         ("k", "CASE WHEN s.t RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN s.t RLIKE '^([0-9a-z]+|[0-9A-Z]+)$' THEN 36 WHEN s.t RLIKE '^[A-Za-z]+$' THEN 52 ELSE 64 END"),
         ("classes", "regexp_replace(regexp_replace(regexp_replace(s.t, '[a-z]', 'a'), '[A-Z]', 'b'), '[0-9]', '0')"),
         ("changes", r"regexp_count(s.classes, r'(.)\1*') - 1D"),
+        # of written tokens: a capital belongs to the small letters after it
+        ("turns", r"regexp_count(regexp_replace(regexp_replace(regexp_replace(s.t, '[A-Z]?[a-z]+', 'a'), '[A-Z]', 'b'), '[0-9]', '0'), r'(.)\1*') - 1D"),
         ("codes", f"transform(split(s.t, ''), c -> double(instr('{SYMBOLS}', c)))"),
         ("mean", "aggregate(s.codes, 0D, (a, c) -> a + c) / s.n"),
         ("spread", "aggregate(s.codes, 0D, (a, c) -> a + pow(c - s.mean, 2))"),
@@ -95,10 +97,11 @@ def _statistics(token: str) -> list[tuple[str, str]]:
 @dataclass(frozen=True)
 class Written:
     """What written tokens are like: by alphabet size the excess of repeated symbols (sum of squared shares * k - 1) and the
-    changes of class for each place between two characters; and the lag-1 serial correlation."""
+    turns from a class to another, a capital and the small letters after it being one, for each place between two
+    characters; and the lag-1 serial correlation."""
 
     excess: dict[int, float]
-    changes: dict[int, float]
+    turns: dict[int, float]
     serial: float
 
 
@@ -106,21 +109,21 @@ def learned(docs: DataFrame) -> Written:
     """Sums over all written tokens of the corpus: one pass, one row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     tokens = docs.select(text).select(F.expr(f"CASE WHEN text RLIKE r'{WRITTEN}' THEN regexp_extract_all(text, r'{WRITTEN}', 0) ELSE CAST(array() AS array<string>) END").alias("t"))
-    each = tokens.select("t", F.expr(_stepped("t", _statistics("s.x"), "named_struct('k', s.k, 'n', s.n, 'changes', s.changes, 'spread', s.spread, 'cross', s.cross)")).alias("s"), F.array_join("t", "").alias("j"))
+    each = tokens.select("t", F.expr(_stepped("t", _statistics("s.x"), "named_struct('k', s.k, 'n', s.n, 'turns', s.turns, 'spread', s.spread, 'cross', s.cross)")).alias("s"), F.array_join("t", "").alias("j"))
     total = lambda field, where="true": F.sum(F.expr(f"aggregate(filter(s, x -> {where}), 0D, (a, x) -> a + {field})"))
-    sums = [total(f, f"x.k = {k}").alias(f"{name}{k}") for k in ALPHABETS for name, f in (("c", "x.changes"), ("p", "x.n - 1"))]
+    sums = [total(f, f"x.k = {k}").alias(f"{name}{k}") for k in ALPHABETS for name, f in (("t", "x.turns"), ("p", "x.n - 1"))]
     sums += [total("x.cross").alias("cross"), total("x.spread").alias("spread")]
     sums += [F.sum(F.length("j") - F.length(F.replace("j", F.lit(c)))).alias(f"s{i}") for i, c in enumerate(SYMBOLS)]
     got = {k: float(v or 0) for k, v in each.agg(*sums).first().asDict().items()}
-    places, changes = (sum(got[f"{x}{k}"] for k in ALPHABETS) for x in "pc")
-    rate = (changes + PRIOR_CHANGES) / (places + PRIOR_PLACES)
+    places, turns = (sum(got[f"{x}{k}"] for k in ALPHABETS) for x in "pt")
+    rate = (turns + PRIOR_TURNS) / (places + PRIOR_PLACES)
     seen = {c: got[f"s{i}"] + 1 for i, c in enumerate(SYMBOLS)}
 
     def excess(k: int) -> float:
         q = [seen[c] + (seen[c.upper()] if k <= 36 and c.isalpha() else 0) for c in ALPHABETS[k]]
         return k * sum(v * v for v in q) / sum(q) ** 2 - 1
 
-    return Written({k: excess(k) for k in ALPHABETS}, {k: (got[f"c{k}"] + POOLED * rate) / (got[f"p{k}"] + POOLED) for k in ALPHABETS}, got["cross"] / max(1.0, got["spread"]))
+    return Written({k: excess(k) for k in ALPHABETS}, {k: (got[f"t{k}"] + POOLED * rate) / (got[f"p{k}"] + POOLED) for k in ALPHABETS}, got["cross"] / max(1.0, got["spread"]))
 
 
 def _tested(tokens: str, like: Written) -> str:
@@ -131,11 +134,11 @@ def _tested(tokens: str, like: Written) -> str:
         *_statistics("s.x.token"),
         ("chi", "s.k / s.n * aggregate(array_distinct(split(s.t, '')), 0D, (a, c) -> a + pow(length(s.t) - length(replace(s.t, c, '')), 2)) - s.n"),
         ("r", "CASE WHEN s.spread > 0 THEN s.cross / s.spread ELSE 1D END"),
-        # of a written token: as even, as many changes of class, as little correlation as this
+        # of a written token: as even, as many turns, as little correlation as this
         ("far", f"(s.n - 1) * {of(like.excess)}"),
         ("p_chi", _lower_tail("(s.chi - (s.k - 1) - s.far) / sqrt(2 * (s.k - 1 + 2 * s.far))")),
-        ("rate", of(like.changes)),
-        ("f", "s.changes / (s.n - 1)"),
+        ("rate", of(like.turns)),
+        ("f", "s.turns / (s.n - 1)"),
         # the binomial tail by its large-deviation expansion
         ("rare", "CASE WHEN s.f >= 1 THEN (s.n - 1) * ln(1 / s.rate) WHEN s.f > s.rate THEN (s.n - 1) * (s.f * ln(s.f / s.rate) + (1 - s.f) * ln((1 - s.f) / (1 - s.rate))) ELSE 0D END"),
         ("p_runs", "CASE WHEN s.f >= 1 THEN exp(-s.rare) WHEN s.f > s.rate THEN least(0.5D, exp(-s.rare) / (1 - s.rate * (1 - s.f) / (s.f * (1 - s.rate))) / sqrt(2 * pi() * (s.n - 1) * s.f * (1 - s.f))) ELSE 0.5D END"),

@@ -1,11 +1,13 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import string
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -67,6 +69,32 @@ def test_token_ids(spark, monkeypatch):
     assert token_ids.round_trip(docs(spark, [])).count() == 0
 
 
+def test_range_coder_mixes_orders():
+    """Ids drawn from a chain of order 1 with copies: the coder gets below the entropy of single ids and that of the chain."""
+    rng = np.random.default_rng(21)
+    follow = rng.integers(0, 5000, (5000, 4))
+    chain = [0]
+    for k in rng.integers(0, 4, 150_000):
+        chain.append(follow[chain[-1], k])
+    ids = np.array([*chain, *chain[:100_000]])
+    bits = 8 * len(range_coder.write_block([1], [len(ids)], ids, 0)) / len(ids)
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    assert bits < 0.5 * -(share * np.log2(share)).sum()
+    assert (range_coder.read_block(range_coder.write_block([1], [len(ids)], ids, 0))[3] == ids).all()
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    from tokenizers import Tokenizer
+
+    rng, t, e = random.Random(22), Tokenizer.from_file(token_ids.tokenizer_path()), token_ids._Encoder(token_ids.tokenizer_path())
+    parts = [*"abAB.,;:!?'- \n\t\x00\x1c \u00e9\u00df\u00c9\u6570", "a\x00", "word", "<|", "12", "longerthansixteenletters", "exactlyeightbyte"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    for _ in range(2):  # the second time from the table
+        for text, ids in zip(texts, e.encode([x.encode() for x in texts]), strict=True):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # 2
 
 
@@ -95,6 +123,76 @@ def test_secrets(spark):
     assert by[20].spans == "random:2:46" and by[24].n_random == 0 and secrets.scanned(docs(spark, [])).count() == 0
 
 
+def _battery(token, like):
+    """(combined p-value of a written token, p-value of a random one, length), in plain Python."""
+    t = token.rstrip("=")
+    n, tail = len(t), lambda z: 1 / (1 + math.exp(min(700, -(1.5976 * z + 0.07056 * z**3))))
+    k = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else 36 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t) else 52 if re.fullmatch("[A-Za-z]+", t) else 64
+    classes = ["a" if c.islower() else "b" if c.isupper() else "0" if c.isdigit() else c for c in t]
+    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    merged = re.sub("[0-9]", "0", re.sub("[A-Z]", "b", re.sub("[A-Z]?[a-z]+", "a", t)))
+    turns = sum(a != b for a, b in zip(merged, merged[1:], strict=False))
+    x = np.array([secrets.SYMBOLS.index(c) + 1 for c in t], float)
+    x -= x.mean()
+    r = float(x[:-1] @ x[1:] / (x @ x)) if x.any() else 1.0
+    chi = k / n * sum(t.count(c) ** 2 for c in set(t)) - n
+    far, rate, f = (n - 1) * like.excess[k], like.turns[k], turns / (n - 1)
+    runs = 0.5
+    if f >= 1:
+        runs = rate ** (n - 1)
+    elif f > rate:
+        rare = math.exp(-(n - 1) * (f * math.log(f / rate) + (1 - f) * math.log((1 - f) / (1 - rate))))
+        runs = min(0.5, rare / (1 - rate * (1 - f) / (f * (1 - rate))) / math.sqrt(2 * math.pi * (n - 1) * f * (1 - f)))
+    ps = tail((chi - (k - 1) - far) / math.sqrt(2 * (k - 1 + 2 * far))), runs, tail((r - like.serial) * math.sqrt(n))
+    cauchy = sum(1 / math.tan(math.pi * max(1e-15, min(0.99, p))) for p in ps) / 3
+    p = 1 / (math.pi * cauchy) if cauchy > 1000 else 0.5 - math.atan(cauchy) / math.pi
+    same = sum((classes.count(c) / n) ** 2 for c in set(classes))
+    spread = 2 / (9 * (k - 1))
+    z = ((chi / (k - 1)) ** (1 / 3) - 1 + spread) / math.sqrt(spread), (changes - (n - 1) * (1 - same)) / math.sqrt((n - 1) * (1 - same) * same + 0.25) if same < 1 else 0, r * math.sqrt(n)
+    return p, 6 * min(tail(-abs(v)) for v in z), n
+
+
+ALPHABETS = {"HEX": "0123456789ABCDEF", "hex": "0123456789abcdef", "b36": string.ascii_lowercase + string.digits, "letters": string.ascii_letters, "b64": string.ascii_letters + string.digits + "+/"}
+
+
+def test_battery(spark):
+    """Spans of the battery against plain Python, its power by alphabet and length, and its false discoveries."""
+    rng, rows, kind = random.Random(23), [], {}
+    word = lambda: "".join(rng.choice(["an", "the", "or", "in", "st", "re", "tion", "keit"]) for _ in range(rng.randint(2, 9)))
+    for i in range(1500):
+        written = [w.title() if rng.random() < 0.1 else w for w in (word() for _ in range(40))]
+        rows.append((i, " ".join([*written, word().title() + word().title() + str(rng.randint(1, 2030)), f"{word()}-{word()}_{rng.randint(0, 99)}"])))
+    for name, letters in ALPHABETS.items():
+        for n in (20, 32, 48):
+            for _ in range(40):
+                kind[len(rows)] = name, n
+                rows.append((len(rows), "x " + "".join(rng.choice(letters) for _ in range(n)) + " y"))
+    rows.append((len(rows), " ".join(["deadbeef" * 4, "AKIA" + "Z9" * 9, "Q9" * 30] * 900)))  # thousands of spans
+    df = docs(spark, rows)
+    like, got = secrets.learned(df), {r.doc_id: r for r in secrets.scanned(df).collect()}
+    found = [(d, m.start(), m.end(), *_battery(m[0], like)) for d, t in rows for m in re.finditer(secrets.CANDIDATE, t)]
+    mean = sum(x[5] for x in found) / len(found)
+    level = lambda x: math.floor(-math.log2(max(x[3] * mean / x[5], 2.0**-secrets.DEEPEST)) * secrets.STEPS)
+    cut = -1.0
+    for b in sorted({level(x) for x in found}, reverse=True):
+        if 2 ** (-b / secrets.STEPS) * len(found) <= secrets.FALSE_DISCOVERIES * sum(level(x) >= b for x in found):
+            cut = 2 ** (-b / secrets.STEPS)
+    want = {}
+    for d, a, b, p, fit, n in found:
+        if p * mean / n <= cut and fit >= secrets.CONSISTENT and not any(x < b and a < y for x, _, _, y in _base(rows[d][1])):
+            want.setdefault(d, []).append(f"random:{a}:{b}")
+    assert {d: [s for s in r.spans.split(",") if s.startswith("random")] for d, r in got.items() if r.n_random} == want
+    power = {}
+    for d, k in kind.items():
+        power[k] = power.get(k, 0) + bool(got[d].n_random or got[d].n_hex)
+    print(power)
+    assert all(v >= (38 if n >= 32 else 28) for (_, n), v in power.items()), power
+    false = sum(got[d].n_random for d in range(1500))
+    assert false <= 0.05 * sum(r.n_random for r in got.values())
+    last = got[len(rows) - 1]
+    assert (last.n_access, last.n_hex) == (900, 900) and [s for s in last.spans.split(",") if s] == [f"{x[2]}:{x[0]}:{x[3]}" for x in _base(rows[-1][1])]
+
+
 # 3
 
 
@@ -135,9 +233,49 @@ def test_graph_recall():
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(300, 16))
     x = vector_graph._unit(np.concatenate([centre, centre + rng.normal(size=centre.shape) * 0.05, np.repeat(centre[:3], 200, 0) + rng.normal(size=(600, 16)) * 0.03]))
-    a, b = vector_graph.Graph(x).links()
-    s = np.triu(x @ x.T >= 0.98, 1)
-    assert s[a, b].all() and len(a) >= 0.9 * s.sum()
+    n = len(x)
+    s = x @ x.T >= 0.98
+    np.fill_diagonal(s, False)
+    every, ones = np.ones(n, bool), np.ones(n, np.int64)
+    for exact in (False, True):
+        counts, root = vector_graph.linked(x, np.arange(n), ones, every, every, exact)
+        assert (counts <= s.sum(1)).all() and counts.sum() >= (1 if exact else 0.9) * s.sum()
+        assert exact <= all(root[i] == root[j] for i, j in zip(*np.nonzero(s), strict=True))
+    assert vector_graph.Graph(x).beam(np.arange(n)) in vector_graph.BEAMS
+
+
+def test_dealt_shards_hold_all_links():
+    rng = np.random.default_rng(24)
+    x = vector_graph._unit(rng.normal(size=(4000, 12)))
+    y = vector_graph._unit(x + rng.normal(size=x.shape) * 0.05)
+    c = vector_graph.centres(x, 60)
+    near = np.einsum("ij,ij->i", x, y) >= 0.98
+    assert near.sum() > 1000
+    for a, b, fine in zip(vector_graph.dealt(x, c), vector_graph.dealt(y, c), near, strict=True):
+        assert not fine or (a[0] in b and b[0] in a)
+
+
+@pytest.mark.parametrize("shard, most", [(8_000, 16_000), (400, 600)])
+def test_whole_table_recall(spark, monkeypatch, shard, most):
+    """Planted pairs and a large group of like vectors, over many shards and blocks of shards, against brute force."""
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", shard)
+    monkeypatch.setattr(vector_graph, "MOST_ROWS", most)
+    rng = np.random.default_rng(25)
+    c = rng.normal(size=(800, 24))
+    x = np.concatenate([c, c + rng.normal(size=c.shape) * 0.1, rng.normal(size=24) + rng.normal(size=(1500, 24)) * 0.08])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df).collect()}
+    u = vector_graph._unit(x)
+    s = u @ u.T >= 0.98
+    np.fill_diagonal(s, False)
+    low = np.arange(len(x))
+    while True:
+        new = np.minimum(low, np.where(s, low, len(x)).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert s.sum() > 100_000 and sum(r.n_links for r in got.values()) >= 0.9999 * s.sum()
+    assert sum(got[i].component_id == low[i] for i in range(len(x))) >= len(x) - 2
 
 
 # 4
@@ -260,6 +398,28 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contaminated(docs(spark, rows), bench.limit(0)).collect())
 
 
+def test_decontamination_in_slices(spark, monkeypatch):
+    """A benchmark of several slices gives what one slice gives, for all rows and columns."""
+    rng = random.Random(26)
+    items = [(i, prose(rng, 25)) for i in range(12)] + [(3, prose(rng, 20))]
+    rows = ODD + [(100 + i, prose(rng, 60) + " " + items[i % 13][1] + " " + items[i * 5 % 13][1]) for i in range(20)] + [(120, prose(rng, 50))] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect()))
+    kept = sorted(map(str, decontaminate.decontaminate(docs(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 500)
+    assert decontaminate._slices(bench)[0] > 3
+    assert sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect())) == want
+    assert sorted(map(str, decontaminate.decontaminate(docs(spark, rows), bench).collect())) == kept
+
+
+def test_decontamination_index_is_small():
+    rng = np.random.default_rng(27)
+    text = "".join(map(chr, rng.integers(97, 123, 400_000)))
+    index = decontaminate.build([(i, text[i * 400 : i * 400 + 400]) for i in range(1000)])
+    held = sum(getattr(index, f).nbytes for f in ("bits", "values", "ends", "item", "at"))
+    assert held * decontaminate.SLICE_CHARS / len(text) <= 100e6
+
+
 # 6
 
 
@@ -272,6 +432,21 @@ def test_language(spark):
     assert all(got[i].lang_pred == lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0)
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= got[i].score <= 1 for i, *_ in rows)
     assert [(got[i].lang_pred, got[i].score) for i in (7, 8, 9, 999)] == [("und", 0.0)] * 4 and not got[None].held_out
+    # predictions against plain Python, repeated ids, and characters that are no letters
+    twice = docs(spark, [*rows, *[(i, t[::-1], "yy", "s") for i, t, *_ in rows[:60]]])
+    model = language.train(twice)
+    again = language.train(twice.repartition(7))
+    assert model.langs == again.langs and (model.weight == again.weight).all()
+    for text in (rows[0][1], rows[1][1] + " A", "ka"):
+        z = np.zeros(len(model.langs))
+        whole = sum(n * model.idf[g] for g, n in enumerate(language.grams(text)) if n)
+        for g, n in enumerate(language.grams(text)):
+            if n:
+                z += n * model.idf[g] / whole * model.weight[g]
+        p = np.exp((z + model.bias) / model.temperature)
+        names, scores = model.predict([text])
+        assert names == [model.langs[int(p.argmax())]] and scores[0] == pytest.approx(p.max() / p.sum())
+    assert [language.has_letter(x) for x in ("\u00bd 12", "\u00b2\u2167", "_1", "\u00bda", "\u6570", "\u02b0", None)] == [False, False, False, True, True, True, False]
     empty = docs(spark, [])
     assert language.identified(df, language.train(empty)).where("lang_pred <> 'und' OR score <> 0").count() == 0
 
@@ -295,11 +470,30 @@ def test_urls(spark):
         r = got[i]
         assert (r.host, r.path, r.rule) == (host, path, max(fits)[2] if fits else None)
         assert r.verdict in ("allow", "block") and (not fits or r.verdict == max(fits)[1])
-    assert {got[i].verdict for i, u in enumerate(urls) if u and "/pt/" in u} == {"block"} or {got[i].template for i, u in enumerate(urls) if u and "/pt/" in u} == {"/pt/{n}.html"}
-    assert {r.template for r in got.values() if r.host == "w.net"} == {"/*/*"} or {r.template for r in got.values() if r.host == "w.net"} == {"/*/z"}
+    assert {r.template for r in got.values() if r.host == "w.net"} == {"/*/z"}
+    _as_sql(df, got.values(), url_filter._sql())
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
+def _as_sql(df, got, sql):
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url").toArrow())
+    want = con.execute(sql).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got))) == sorted(map(repr, want))
+
+
+def test_urls_back_off_to_the_domain_and_to_all_hosts(spark):
+    rules = [("block", "a.shop.com/sale/"), ("allow", "a.shop.com/help/"), ("block", "spam.net/win/"), ("block", "junk.net/win/")]
+    urls = [f"https://a.shop.com/{s}/{i}" for s in ("sale", "help") for i in range(30)] + [f"https://{h}.net/win/{i}" for h in ("spam", "junk") for i in range(20)]
+    urls += [f"https://b.shop.com/{s}/{i}" for s in ("sale", "help", "news") for i in range(9)] + [f"https://other.org/{s}/{i}" for s in ("win", "about") for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judged(df, rules).collect()
+    said = {(r.host, r.path.split("/")[1]): (r.verdict, r.evidence) for r in got if r.rule is None}
+    assert said == {("b.shop.com", "sale"): ("block", "domain"), ("b.shop.com", "help"): ("allow", "domain"), ("b.shop.com", "news"): ("allow", "none"), ("other.org", "win"): ("block", "all"), ("other.org", "about"): ("allow", "none")}
+    _as_sql(df, got, url_filter._sql(rules))
+
+
 @pytest.mark.parametrize("sections", [20, 100])
 def test_urls_of_many_sections_and_deep_paths(spark, sections):
     # the example of many sections: labelled ones stay apart from those without labels, at any count
@@ -312,6 +506,7 @@ def test_urls_of_many_sections_and_deep_paths(spark, sections):
     urls += [f"https://deep.net/{deep}/other/{i}" for i in range(5)] + ["https://deep.net/" + "z/" * 40]
     got = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     assert len(got) == len(urls) and {r.verdict for r in got if r.rule is None} == {"allow"}
+    _as_sql(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), got, url_filter._sql(rules, 11))
     assert {r.template for r in got if r.path.startswith("/de/")} == {"/de/{n}"} and {r.template for r in got if r.path.startswith("/fr/")} == {"/fr/{n}"}
 
 
@@ -344,6 +539,40 @@ def test_licenses_wrapped_over_lines(spark):
             assert (r.families, r.n_licenses) == ([family], 1), r
 
 
+def test_whole_licences_other_languages_and_unknown(spark):
+    import textwrap
+
+    cut = lambda text, width=80: "\n".join(textwrap.wrap(text, width))
+    mit, bsd = licenses.NOTICES["MIT"], licenses.NOTICES["BSD"]
+    rows = [
+        (1, "Copyright (c) 2020 A\n\n" + "\n\n".join(cut(x) for x in mit[2:5])),
+        (2, "\n\n".join(cut(x) for x in bsd[2:7])),
+        (3, "Lizenziert unter der Apache Lizenz, Version 2.0."),
+        (4, "Publi\u00e9 sous licence MIT."),
+        (5, "Licensed under the EUPL, Version 1.2 or as soon they will be approved\nby the European Commission - subsequent versions of the EUPL."),
+        (6, "Licensed under the Frobnicate Public Pact, as agreed with the licensor in Utopia.\nThis licence is granted to penguins."),
+        (7, "Nothing of the kind here."),
+    ]
+    got = {r.doc_id: r for r in licenses.scanned(docs(spark, rows), licenses.fit()).collect()}
+    assert [got[i].families for i in range(1, 6)] == [["MIT"], ["BSD"], ["Apache-2.0"], ["MIT"], ["EUPL-1.2"]]
+    assert (got[6].families, got[6].n_unknown, got[7].n_unknown) == ([], 2, 0)
+    assert all(re.search(licenses.CUE, x) and len(x.split()) <= licenses.WORDS for f in licenses.NOTICES.values() for x in f)
+    # the classifier against plain Python
+    model = licenses.fit()
+    keys = {str(i): t for i, t in enumerate([mit[0], "a driving licence", bsd[1] + " and more", "x", ""])}
+    df = spark.createDataFrame(list(keys.items()), "key string, paragraph string")
+    for r in licenses.classified(df, model).collect():
+        g = licenses.grams(keys[r.key])
+        z = (sum((np.array(model.weight[x]) for x in g if x in model.weight), np.zeros(len(model.classes))) / max(1, len(g)) ** 0.5 + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        guess = model.classes[int(p.argmax())]
+        pairs = [{x for x in licenses.grams(n) if " " in x} or licenses.grams(n) for n in licenses.NOTICES.get(guess, [])]
+        like = max((len(x & g) / len(x) for x in pairs), default=0.0)
+        assert r.probability == pytest.approx(p.max()) and r.likeness == pytest.approx(like)
+        assert r.family == (guess if p.max() >= licenses.SURE and like >= licenses.CONFIRMED else "unknown")
+
+
 # 9
 
 
@@ -379,6 +608,10 @@ def test_mixing(spark):
     want = {}
     for r in got:
         want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    con = duckdb.connect()
+    con.register("documents", docs(spark, rows).select("doc_id", "text", "source").toArrow())
+    fields = ("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(repr, con.execute(f"SELECT {', '.join(fields)} FROM ({mixing.SQL})").fetchall())) == sorted(repr(tuple(r[f] for f in fields)) for r in got)
     assert copies == {d: c for d, c in want.items() if c} and mixing.mixed(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
 
 
@@ -446,6 +679,28 @@ def test_machine_finds_rare_terms_and_rare_pairs():
     assert score(1) > 0.7 and score(2, 3) > 0.7 and max(score(2), score(3), score()) < 0.3
 
 
+def test_machine_shares_weight_between_inflected_forms_and_scores_as_written():
+    rng = random.Random(28)
+    ends = ["en", "er", "es", "ung", "lich", "heit", "bar", "keit"]
+    rows, y = [], []
+    for i in range(3000):
+        words = ["".join(rng.choice(["ka", "mo", "ri", "su", "te"]) for _ in range(3)) + rng.choice(ends) for _ in range(20)]
+        toxic = i % 8 == 0
+        if toxic:  # each form is rare, the stem isn't
+            words += ["verf" + "".join(rng.choice(["ka", "mo", "ri", "su"]) for _ in range(2)) + rng.choice(ends) for _ in range(2)]
+        rows.append(" ".join(words))
+        y.append(int(toxic))
+    m = toxicity.fit([toxicity.terms(x) for x in rows], np.array(y))
+    fresh = ["kamori verfzuzuzu sutemo", "kamori zuverf sutemo", "", "verfamoen verfamoen"]
+    scores = m.score(fresh)
+    assert scores[0] > 0.7 and scores[1] < 0.3 and scores[2] < 0.3
+    at = {int(h): i for i, h in enumerate(m.known)}
+    for text, score in zip(fresh, scores, strict=True):
+        t = [at[int(h)] for h in toxicity.terms(text) if int(h) in at]
+        z = m.bias + sum(m.weight[i] for i in t) + sum(float(m.factor[i] @ m.factor[j]) for n, i in enumerate(t) for j in t[n + 1 :])
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # pipeline
 
 
