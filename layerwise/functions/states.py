@@ -198,17 +198,65 @@ def _mixed(h: str) -> str:
     return f"aggregate(array({steps}), {h}, (a, x) -> (a ^ shiftrightunsigned(a, x.s)) * x.f)"
 
 
+#: Fixed value: what the variant of the finaliser for keys adds first (2^64 over the golden ratio, signed).
+GOLDEN = -7046029254386353131
+
+
+def mixed_key(key: str) -> Column:
+    """The finaliser after the constant is added; needs ANSI mode off."""
+    return F.expr(_mixed(f"({key} + {GOLDEN}L)"))
+
+
 def state_hash(state: str, n: int, seed: int = 0) -> Column:
     """h = mix(h ^ element ^ place) over the elements, mixed once more; needs ANSI mode off."""
     return F.expr(_mixed(f"aggregate(sequence(0, {n - 1}), {seed}L, (h, i) -> {_mixed(f'(h ^ {state}[i] ^ bigint(i))')})"))
 
 
-def modular_hash(state: str, n: int, seed: bytes = b"") -> list[Column]:
-    """Four 32-bit lanes (b_j + sum of x_i * a_ij) mod 4294967291, coefficients drawn by SHAKE-256 of the seed."""
-    p = 4294967291
-    raw = hashlib.shake_256(seed).digest(16 * (n + 1))
-    word = lambda i: int.from_bytes(raw[4 * i : 4 * i + 4], "little") % p
-    return [F.expr(" + ".join([f"{word(4 * n + j)}L", *[f"pmod({state}[{i}] * {word(4 * i + j)}L, {p}L)" for i in range(n)]])) % p for j in range(4)]
+#: The prime of the four-lane hash, and the widths it takes.
+PRIME, HASHED_BYTES = 4294967291, range(1, 33026)
+
+
+def hash_terms(width: int, seed: bytes, domain: bytes) -> tuple[list[list[int]], list[int]]:
+    """(coefficients by position and lane, offsets) of the four-lane hash of ``width`` bytes.
+
+    SHAKE-256 reads ``domain``, a zero byte, the width (u32, little-endian) and the 16 bytes of the seed. Its output is cut
+    into little-endian 32-bit words; those from PRIME on are passed over; the rest are the coefficients in position-major
+    order and then the four offsets.
+    """
+    if width not in HASHED_BYTES:
+        raise GraphError("HASH_ACCUMULATOR_BOUND")
+    if len(seed) != 16:
+        raise GraphError("HASH_SEED")
+    xof, need = hashlib.shake_256(domain + b"\0" + width.to_bytes(4, "little") + seed), 4 * (width + 1)
+    extra = 64
+    while True:
+        raw = xof.digest(4 * (need + extra))
+        words = [w for i in range(0, len(raw), 4) if (w := int.from_bytes(raw[i : i + 4], "little")) < PRIME][:need]
+        if len(words) == need:
+            return [words[4 * i : 4 * i + 4] for i in range(width)], words[-4:]
+        extra *= 2
+
+
+def modular_hash(state: str, n: int, seed: bytes = bytes(16), domain: bytes = b"GEMM_U8_P32X4/V1") -> list[Column]:
+    """Four 32-bit lanes (b_j + sum of x_i * a_ij) mod PRIME of a state of n bytes (array of 0..255); see ``hash_terms``.
+    Products stay below 2^40, so sums of up to 33,025 are exact."""
+    a, b = hash_terms(n, seed, domain)
+    return [F.expr(" + ".join([f"{b[j]}L", *[f"{state}[{i}] * {a[i][j]}L" for i in range(n)]])) % PRIME for j in range(4)]
+
+
+def little_endian(word: Column, size: int) -> Column:
+    """The lowest ``size`` bytes of a number, the lowest first."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.substring(F.lpad(F.hex(word), 16, "0"), 17 - 2 * size, 2 * size), F.lit("(..)"), F.lit(1))), ""))
+
+
+def hash_bytes(lanes: list[Column]) -> Column:
+    """The 16 bytes of a four-lane hash, each lane little-endian."""
+    return F.concat(*[little_endian(x, 4) for x in lanes])
+
+
+def state_bytes(state: str) -> Column:
+    """A state of labels from 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(state, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
 
 
 def parse_seed(text: str) -> bytes:
@@ -233,18 +281,24 @@ def owner_by_cuts(h: Column, cuts) -> Column:
 
 
 def located(h: Column, world: int, shards: int, buckets: int) -> list[Column]:
-    """(owner, shard, bucket) from the top bits; all counts are powers of two."""
+    """(owner, shard, bucket) from the top bits of a 64-bit word; all counts are powers of two."""
+    if any(n < 1 or n & (n - 1) for n in (world, shards, buckets)):
+        raise GraphError("TOPOLOGY_POWER_OF_TWO")
     out, used = [], 0
     for n in (world, shards, buckets):
-        b = n.bit_length() - 1
-        used += b
-        out.append(F.shiftrightunsigned(h, 64 - used).bitwiseAND(n - 1) if used else F.lit(0))
+        used += n.bit_length() - 1
+        out.append(F.shiftrightunsigned(h, 64 - used).bitwiseAND(n - 1) if used else F.lit(0).cast("long"))
     return out
 
 
+def high_word(lanes: list[Column]) -> Column:
+    """The most significant 64 bits of a four-lane hash: lane 3, then lane 2."""
+    return F.shiftleft(lanes[3], 32).bitwiseOR(lanes[2])
+
+
 def rank_owner(rank: Column, world: int) -> tuple[Column, Column]:
     """(owner, local rank) of a bitmap partition, and rank = local * world + owner."""
-    return F.pmod(rank, F.lit(world)), F.floor(rank / world)
+    return F.pmod(rank, F.lit(world)), F.call_function("div", rank, F.lit(world))
 
 
 def _stripe_turn(stripe: str, world: int) -> str:
@@ -346,3 +400,16 @@ def weight(code: str, digits: int, base: int) -> Column:
 def ring_distance(a: Column, b: Column, n: int) -> Column:
     d = F.pmod(a - b, F.lit(n))
     return F.least(d, n - d)
+
+
+def suffix_overlap(a: str, b: str, n: int) -> Column:
+    """The longest suffix of word ``a`` that is a prefix of word ``b`` (arrays of n letters); n minus it is the distance of
+    shift-append moves."""
+    return F.expr("CASE " + " ".join(f"WHEN slice({a}, {n - k + 1}, {k}) = slice({b}, 1, {k}) THEN {k}" for k in range(n, 0, -1)) + " ELSE 0 END")
+
+
+def in_layout(candidates: str, order: str) -> tuple[str, str]:
+    """Sort keys of candidates (parent_ord, move): by parent first, or by generator first. It changes locality only."""
+    if order not in ("parent_major", "generator_major"):
+        raise GraphError("LAYOUT_ORDER")
+    return (f"{candidates}parent_ord", f"{candidates}move") if order == "parent_major" else (f"{candidates}move", f"{candidates}parent_ord")

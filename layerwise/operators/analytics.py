@@ -1,14 +1,15 @@
-"""Structure of searched graphs, as aggregations and joins. Covers AG1-AG10, AG13, AG15-AG18, AG21-AG24, BF17-BF19, BF21, BF23, JN12, ST8."""
+"""Structure of searched graphs, as aggregations and joins. Covers AG1-AG10, AG13, AG15-AG18, AG21-AG24, BF17-BF19, BF21, BF23, JN12."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import materialized
-from .search import distances
+from .search import distances, driver_graph, edge_layers, vertex_frame
 
 
 def layer_sizes(depths: DataFrame) -> DataFrame:
@@ -44,15 +45,47 @@ def relation_onset(edges: DataFrame, depths: DataFrame, degree: int) -> DataFram
     return out.select((F.col("depth") + 1).alias("depth"), total.alias("occurrences"), F.col("backward").alias("parent_returns"), (F.col("same") + F.col("older")).alias("visited_nonparent"), F.col("forward").alias("candidate_occurrences"), "accepted", (F.col("forward") - F.col("accepted")).alias("convergence_duplicates"), (F.lit(degree) * F.pow(F.lit(degree - 1), F.col("depth"))).cast("long").alias("nonbacktracking_words"))
 
 
-def path_counts(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(vertex, depth, sigma): shortest paths from the sources (parallel edges count once), summed layer by layer."""
-    d, _ = materialized(distances(edges, sources), "distances")
-    far = d.agg(F.max("depth")).first()[0] or 0
-    arcs, _ = materialized(edges.select("src", "dst").distinct(), "arcs")
-    cur, _ = materialized(d.where("depth = 0").select("vertex", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("sigma")), "sigma")
+def duplicate_split(edges: DataFrame, depths: DataFrame) -> DataFrame:
+    """Per depth of the children: frontier_in, generated, old_visited_duplicates (occurrences of states that the layers before
+    hold), same_layer_duplicates (further occurrences of new states), duplicates_total, survivors and both shares."""
+    split = edge_split(edges, depths)
+    sizes = layer_sizes(depths)
+    after = sizes.select((F.col("depth") - 1).alias("depth"), F.col("states").alias("survivors"))
+    out = sizes.join(split, "depth").join(after, "depth", "left").na.fill(0)
+    old = F.col("backward") + F.col("same") + F.col("older")
+    out = out.select((F.col("depth") + 1).alias("depth"), F.col("states").alias("frontier_in"), (old + F.col("forward")).alias("generated"), old.alias("old_visited_duplicates"), (F.col("forward") - F.col("survivors")).alias("same_layer_duplicates"), (old + F.col("forward") - F.col("survivors")).alias("duplicates_total"), "survivors")
+    return out.withColumns({"duplicate_fraction": F.col("duplicates_total") / F.col("generated"), "survivor_fraction": F.col("survivors") / F.col("generated")})
+
+
+def outward_per_new(edges: DataFrame, depths: DataFrame) -> DataFrame:
+    """(depth, outward, states, outward_per_new): arcs from each layer into the next, for each vertex of that."""
+    out = edge_split(edges, depths).select((F.col("depth") + 1).alias("depth"), F.col("forward").alias("outward"))
+    return layer_sizes(depths).join(out, "depth").withColumn("outward_per_new", F.col("outward") / F.col("states")).select("depth", "outward", "states", "outward_per_new")
+
+
+def path_counts(edges: DataFrame, sources: DataFrame, undirected: bool = False, lane: str = "auto") -> DataFrame:
+    """(vertex, depth, sigma): shortest paths from the sources (parallel edges count once), summed layer by layer. Lanes as
+    those of ``edge_distances``; counts beyond 2^62 leave the driver's, and raise on the cluster."""
+    arcs, n = materialized(edges.select("src", "dst").distinct(), "arcs")
+    if lane == "auto" and (g := driver_graph(arcs, n, sources)) is not None:
+        at = np.unique(g.place(sources.select("vertex").where("vertex IS NOT NULL").distinct().toArrow().column(0).to_numpy()))
+        depth = g.levels(at)
+        sigma = np.zeros(len(depth))
+        exact = np.zeros(len(depth), np.int64)
+        sigma[at] = exact[at] = 1
+        for k in range(int(depth.max(initial=0))):
+            nodes = np.flatnonzero(depth == k)
+            who, to = g.around(nodes)
+            down = depth[to] == k + 1
+            np.add.at(sigma, to[down], sigma[nodes[who[down]]])
+            np.add.at(exact, to[down], exact[nodes[who[down]]])
+        if sigma.max(initial=0) < 2.0**62:
+            seen = np.flatnonzero(depth >= 0)
+            return vertex_frame(edges.sparkSession, g, seen, edges, depth=depth[seen], sigma=exact[seen])
+    layers = [x.select("vertex", "depth") for x in edge_layers(arcs, sources.select(F.lit(0).alias("root"), "vertex"), undirected=undirected)]
+    cur, _ = materialized(layers[0].select("vertex", "depth", F.lit(1).cast("long").alias("sigma")), "sigma")
     done = [cur]
-    for k in range(1, far + 1):
-        layer = d.where(F.col("depth") == k)
+    for layer in layers[1:]:
         up = cur.select(F.col("vertex").alias("src"), "sigma").join(arcs, "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("sigma").alias("sigma"))
         cur, _ = materialized(layer.join(up, "vertex").select("vertex", "depth", "sigma"), "sigma")
         done.append(cur)
@@ -81,10 +114,27 @@ def walk_counts(edges: DataFrame, sources: DataFrame, length: int) -> DataFrame:
     return reduce(DataFrame.unionByName, totals)
 
 
-def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame, lane: str = "auto") -> DataFrame:
     """(vertex, component): the least vertex of each undirected component, by hooking to the least neighbour and jumping
-    over parents; about log n rounds of two aggregations with map-side minima."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    over parents; about log n rounds of two aggregations with map-side minima. Lanes as those of ``edge_distances``."""
+    own, n = materialized(edges.select("src", "dst").distinct(), "arcs")
+    if lane == "auto" and (g := driver_graph(own, n, vertices)) is not None:
+        every = np.arange(len(g.vertices))
+        low, a, b = every.copy(), np.repeat(every, np.diff(g.start)), g.to
+        while True:
+            old = low.copy()
+            np.minimum.at(low, low[a], low[b])
+            np.minimum.at(low, low[b], low[a])
+            while ((up := low[low]) != low).any():
+                low = up
+            if (low == old).all():
+                break
+        seen = np.isin(g.vertices, vertices.select("vertex").distinct().toArrow().column(0).to_numpy())
+        at = np.flatnonzero(seen)
+        first = np.full(len(every), len(every))
+        np.minimum.at(first, low[at], at)  # the least of the given vertices names the component
+        return vertex_frame(edges.sparkSession, g, at, vertices, "vertex", component=g.vertices[first[low[at]]]).withColumn("component", F.col("component").cast(vertices.schema["vertex"].dataType))
+    both = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     arcs, _ = materialized(both.where("src <> dst").distinct(), "arcs")
     cur, _ = materialized(vertices.select("vertex", F.col("vertex").alias("component")).distinct(), "labels")
     while True:
@@ -140,20 +190,39 @@ def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def secondary_cost(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def secondary_cost(edges: DataFrame, sources: DataFrame, undirected: bool = False) -> DataFrame:
     """(vertex, depth, cost): least cost among the paths with fewest edges (src, dst, cost)."""
-    d, _ = materialized(distances(edges, sources), "distances")
-    far = d.agg(F.max("depth")).first()[0] or 0
     arcs, _ = materialized(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")), "arcs")
-    cur, _ = materialized(d.where("depth = 0").select("vertex", "depth", F.lit(0).cast("long").alias("cost")), "cost")
+    layers = edge_layers(arcs, sources.select(F.lit(0).alias("root"), "vertex"), undirected=undirected)
+    cur, _ = materialized(layers[0].select("vertex", "depth", F.lit(0).cast("long").alias("cost")), "cost")
     done = [cur]
-    for k in range(1, far + 1):
+    for layer in layers[1:]:
         up = cur.select(F.col("vertex").alias("src"), F.col("cost").alias("c")).join(arcs, "src").groupBy(F.col("dst").alias("vertex")).agg(F.min(F.col("c") + F.col("cost")).alias("cost"))
-        cur, _ = materialized(d.where(F.col("depth") == k).join(up, "vertex").select("vertex", "depth", "cost"), "cost")
+        cur, _ = materialized(layer.select("vertex", "depth").join(up, "vertex").select("vertex", "depth", "cost"), "cost")
         done.append(cur)
     return reduce(DataFrame.unionByName, done)
 
 
+def simple_paths(edges: DataFrame, source, target) -> DataFrame:
+    """(hops, cost) of all simple paths between two vertices of a small graph (src, dst, cost): by definition as many rows as
+    there are paths."""
+    kind = edges.schema["src"].dataType.simpleString()
+    cur, done, n = edges.sparkSession.createDataFrame([([source], 0)], f"path array<{kind}>, cost long"), [], 1
+    while n:
+        arcs = edges.select("src", "dst", F.col("cost").alias("step"))
+        done.append(cur.where(F.element_at("path", -1) == F.lit(target)).select((F.size("path") - 1).alias("hops"), "cost"))
+        on = cur.where(F.element_at("path", -1) != F.lit(target)).join(arcs, F.element_at("path", -1) == F.col("src")).where("NOT array_contains(path, dst)")
+        cur, n = materialized(on.select(F.concat("path", F.array("dst")).alias("path"), (F.col("cost") + F.col("step")).alias("cost")), "paths")
+    return reduce(DataFrame.unionByName, done)
+
+
+def pareto(paths: DataFrame) -> DataFrame:
+    """The distinct (hops, cost) that no other has at most as many hops and as low a cost as, one of both less."""
+    best = paths.groupBy("hops").agg(F.min("cost").alias("cost"))  # one row per number of hops
+    fewer = F.min("cost").over(Window.orderBy("hops").rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("least", fewer).where("least IS NULL OR cost < least").select("hops", "cost")
+
+
 def dead_ends(edges: DataFrame, depths: DataFrame) -> DataFrame:
     """Vertices with no deeper neighbour, above the deepest layer."""
     d = depths.select(F.col("vertex").alias("dst"), F.col("depth").alias("to"))
@@ -195,6 +264,37 @@ def double_sweep(edges: DataFrame, start) -> tuple[int, int]:
     return tuple(out)
 
 
+def sweep_gaps(spark: SparkSession, vertices: int) -> DataFrame:
+    """(mask, diameter, bound) of the connected graphs on so many vertices (7 at most) whose double sweep from vertex 0 stays
+    below the diameter. Edge i of the pairs in order is bit i of the mask; every mask is looked at, in parallel."""
+    from collections.abc import Iterator
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    if not 2 <= vertices <= 7:
+        raise ValueError("SWEEP_VERTICES")
+    pairs = list(combinations(range(vertices), 2))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = b.column(0).to_numpy()
+            d = np.full((len(mask), vertices, vertices), 99, np.int8)
+            d[:, range(vertices), range(vertices)] = 0
+            for i, (u, v) in enumerate(pairs):
+                d[:, u, v] = d[:, v, u] = np.where(mask >> i & 1, 1, 99)
+            for k in range(vertices):
+                d = np.minimum(d, d[:, :, k, None] + d[:, None, k, :])
+            whole = (d < 99).all((1, 2))
+            mask, d = mask[whole], d[whole]
+            far = vertices - 1 - d[:, 0, ::-1].argmax(1)  # of equals the larger vertex
+            bound, diameter = d[np.arange(len(d)), far].max(1), d.max((1, 2))
+            low = bound < diameter
+            yield pa.RecordBatch.from_pydict({"mask": pa.array(mask[low]), "diameter": pa.array(diameter[low].astype(np.int32)), "bound": pa.array(bound[low].astype(np.int32))})
+
+    return spark.range(1 << len(pairs)).mapInArrow(look, "mask long, diameter int, bound int")
+
+
 def profile(depths: DataFrame, block, blocks: int) -> DataFrame:
     """(depth, block, states): a frontier's shares by block or owner (an expression on ``vertex``)."""
     return depths.groupBy("depth", block.alias("block")).agg(F.count("*").alias("states"))
@@ -206,10 +306,15 @@ def cut_fraction(edges: DataFrame, block) -> DataFrame:
     return edges.agg(F.count("*").alias("edges"), F.count_if(far).alias("remote")).withColumn("fraction", F.col("remote") / F.col("edges"))
 
 
-def locality(candidates: DataFrame, lanes: int = 32) -> DataFrame:
-    """Of candidates (pos, key): how many a group of ``lanes`` in a row saves by looking up equal keys once."""
-    per = candidates.groupBy(F.floor(F.col("pos") / lanes).alias("g")).agg((F.count("*") - F.countDistinct("key")).alias("s"))
-    return per.agg(F.sum("s").alias("savings"))
+def locality(candidates: DataFrame, lanes: int = 32, block: int = 256, word: int = 32) -> DataFrame:
+    """Of candidates (pos, key), in groups of ``lanes`` (warps) and of ``block`` in a row: savings (those whose key another of
+    the warp has already looked up), word_collisions (the same for words of a bitmap of keys), warps_with_equal,
+    most_equal (lanes of one key in a warp), block_savings and blocks_with_equal."""
+    warp = candidates.groupBy(F.floor(F.col("pos") / lanes).alias("g"), "key").agg(F.count("*").alias("n"))
+    warp = warp.groupBy("g").agg((F.sum("n") - F.count("*")).alias("s"), F.max("n").alias("m"), (F.sum("n") - F.countDistinct(F.floor(F.col("key") / word))).alias("w"))
+    warp = warp.agg(F.sum("s").alias("savings"), F.sum("w").alias("word_collisions"), F.count_if(F.col("s") > 0).alias("warps_with_equal"), F.max("m").alias("most_equal"))
+    blocks = candidates.groupBy(F.floor(F.col("pos") / block).alias("g")).agg((F.count("*") - F.countDistinct("key")).alias("s"))
+    return warp.join(blocks.agg(F.sum("s").alias("block_savings"), F.count_if(F.col("s") > 0).alias("blocks_with_equal")))
 
 
 def conservation(breakdown: DataFrame) -> DataFrame:

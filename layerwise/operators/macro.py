@@ -56,32 +56,45 @@ def macro_frame(spark: SparkSession, macros: list[Macro]) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, operator array<bigint>, weight int, word array<int>")
 
 
-def weighted_layers(spark: SparkSession, spec: GraphSpec, depth: int) -> list[int]:
-    """Layer sizes by weighted settling: future(depth, state) holds pending states, the least depth is settled, each state
-    once. Empty depths in between are kept, so an index is a depth. Equal to the plain layers for any ``depth``."""
+#: Fixed value: what offers of one state and depth are compared by, in this order.
+KEY = ("source_depth", "weight", "source_rank", "source_batch", "ordinal")
+
+
+def winners(offers: DataFrame) -> DataFrame:
+    """Of offers (depth, state, and KEY) one for each state: the least depth, then the least key."""
+    best = F.min(F.struct("depth", *KEY)).alias("w")
+    return offers.groupBy("state").agg(best).select("w.*", "state")
+
+
+def weighted_search(spark: SparkSession, spec: GraphSpec, depth: int) -> DataFrame:
+    """(depth, state, and KEY of the offer that settled it) by weighted settling: offers wait in a table, the least depth is
+    settled, each state once, by its least key. The start has a key of zeros. One rank and one batch a depth here."""
     macros = compile_macros(spec, depth)
     whole = permutation("m", [m.operator for m in macros], spec.start) if spec.kind == "permutation" else matrix("m", [(m.operator, spec.generators[0][1]) for m in macros], spec.start, spec.rows, spec.cols)
     weights = F.array(*[F.lit(m.weight) for m in macros])
-    pending = spark.createDataFrame([(0, list(spec.start))], "depth int, state array<bigint>")
-    settled, sizes, at = [], [], 0
-    while True:
-        due = pending.where(F.col("depth") == at).select("state")
-        with sized(spark, (sizes[-1] if sizes else 1) * len(macros)), wrapping(spark):
+    kind = "depth int, source_depth int, weight int, source_rank int, source_batch int, ordinal int, state array<bigint>"
+    pending, left = spark.createDataFrame([(0, 0, 0, 0, 0, 0, list(spec.start))], kind), 1
+    settled, at, last = [], 0, 1
+    while left:
+        due = pending.where(F.col("depth") == at)
+        with sized(spark, last * len(macros)), wrapping(spark):
             if settled:
-                past = reduce(DataFrame.unionByName, settled).select("state", F.lit(0).alias("new"))
-                due = due.withColumn("new", F.lit(1)).unionByName(past).groupBy("state").agg(F.min("new").alias("new")).where("new = 1").select("state")
-            cur, n = materialized(due, "settled")
-            sizes.append(n)
+                due = due.join(reduce(DataFrame.unionByName, [x.select("state") for x in settled]), "state", "left_anti")
+            cur, n = materialized(winners(due), "settled")
             if n:
                 settled.append(cur)
-            kids = cur.select(F.posexplode(S.children(whole)).alias("i", "state")).select((weights[F.col("i")] + at).alias("depth"), "state")
-            pending, left = materialized(pending.where(F.col("depth") > at).unionByName(kids).groupBy("state").agg(F.min("depth").alias("depth")).select("depth", "state"), "pending")
+                last = n
+            kids = cur.select(F.posexplode(S.children(whole)).alias("ordinal", "state")).withColumn("weight", weights[F.col("ordinal")])
+            kids = kids.select((F.col("weight") + at).alias("depth"), F.lit(at).alias("source_depth"), "weight", F.lit(0).alias("source_rank"), F.lit(at).alias("source_batch"), "ordinal", "state")
+            pending, left = materialized(winners(pending.where(F.col("depth") > at).unionByName(kids)).select(*pending.columns), "pending")
         at += 1
-        if not left:
-            break
-    while sizes and not sizes[-1]:
-        sizes.pop()
-    return sizes
+    return reduce(DataFrame.unionByName, settled)
+
+
+def weighted_layers(spark: SparkSession, spec: GraphSpec, depth: int) -> list[int]:
+    """Layer sizes of ``weighted_search``; an index is a depth. Equal to the plain layers for any ``depth``."""
+    got = {r.depth: r.n for r in weighted_search(spark, spec, depth).groupBy("depth").agg(F.count("*").alias("n")).collect()}  # one row per depth
+    return [got.get(d, 0) for d in range(max(got) + 1)]
 
 
 def commutation(spec: GraphSpec) -> list[list[bool]]:

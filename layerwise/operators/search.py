@@ -31,6 +31,7 @@ from ..plans.spec import GraphError, GraphSpec
 DRIVER_STATES = 65_536  # orbits that are proved to be no larger may be searched on the driver
 DRIVER_CHILDREN = 1 << 20  # of a layer in the hybrid lane that the driver steps itself: 8 MB
 DRIVER_HELD = 1 << 23  # retained states of the hybrid lane that stay on the driver: 64 MB
+DRIVER_ARCS = 1 << 22  # of an edge table that may be searched on the driver: 64 MB
 
 
 @dataclass
@@ -75,7 +76,12 @@ class Layers:
 
 
 def _frame(spark: SparkSession, layer: DataFrame | np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pa.table({"state": layer})) if isinstance(layer, np.ndarray) else layer
+    if not isinstance(layer, np.ndarray):
+        return layer
+    if layer.ndim == 2:
+        offsets = pa.array(np.arange(len(layer) + 1, dtype=np.int32) * layer.shape[1])
+        layer = pa.ListArray.from_arrays(offsets, pa.array(layer.ravel()))
+    return spark.createDataFrame(pa.table({"state": layer}))
 
 
 def _local(layer: DataFrame | np.ndarray) -> np.ndarray:
@@ -99,18 +105,24 @@ def _packed_step(history: list[np.ndarray], spec: GraphSpec, bits: int) -> np.nd
 
 
 def _driver_lane(spark: SparkSession, spec: GraphSpec, retain: int | None, limit) -> Layers:
-    """The same search in NumPy for an orbit of at most DRIVER_STATES: a cluster would only add its latency."""
-    out = Layers(spec, spark, None)
-    cur, seen = np.array([spec.start], np.int64), {spec.start}
-    kept: dict[int, list] = {}
+    """The same search in NumPy for an orbit of at most DRIVER_STATES: a cluster would only add its latency. Layers stay
+    arrays until they are asked for."""
+    bits = S.bits_of(spec)
+    out = Layers(spec, spark, bits)
+    cur = np.array([S.packed(spec.start, bits)] if bits else [spec.start], np.int64)
+    seen, history, rolling = {spec.start}, [cur], spec.inverse_closed()
     while len(cur):
         out.sizes.append(len(cur))
-        kept[out.completed_depth] = cur
-        if retain is not None and len(kept) > retain:
-            kept.pop(min(kept))
+        out.frames[out.completed_depth] = cur
+        if retain is not None and len(out.frames) > retain:
+            out.frames.pop(min(out.frames))
         if stop := limit(out):
             out.status, out.reason = "INCOMPLETE", stop
             break
+        if bits:
+            last, cur = cur, _packed_step(history, spec, bits)
+            history = [last, cur] if rolling or len(history) == 1 else [np.union1d(history[0], last), cur]
+            continue
         if spec.kind == "permutation":
             kids = np.concatenate([cur[:, list(g)] for g in spec.generators])
             kids = map(tuple, np.unique(kids, axis=0).tolist())
@@ -119,12 +131,12 @@ def _driver_lane(spark: SparkSession, spec: GraphSpec, retain: int | None, limit
         new = [s for s in kids if s not in seen]
         seen.update(new)
         cur = np.array(new, np.int64).reshape(-1, len(spec.start))
-    out.frames = {d: spark.createDataFrame([(list(map(int, s)),) for s in x], "state array<bigint>") for d, x in kept.items()}
     return out
 
 
-def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int | None = None, maximum_states: int | None = None, max_layers: int | None = None, max_seconds: float | None = None, cancelled=lambda: False) -> Layers:
+def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int | None = None, maximum_states: int | None = None, max_layers: int | None = None, max_seconds: float | None = None, cancelled=lambda: False, on_layer=None) -> Layers:
     """Breadth-first layers of an orbit. Limits are looked at between layers, so every layer that is reported is whole.
+    ``on_layer(depth, size, layers)`` is called for each as soon as it is whole, before the next is begun.
 
     lane: ``driver``, ``packed``, ``hybrid``, ``array``, or ``auto`` (driver for orbits proved small, else hybrid if
     states fit into 63 bits and inverse closure is proved, else packed if they fit, else array). The hybrid lane is the
@@ -135,6 +147,8 @@ def layers(spark: SparkSession, spec: GraphSpec, lane: str = "auto", retain: int
     began = time.monotonic()
 
     def limit(out: Layers) -> str | None:
+        if on_layer is not None:
+            on_layer(out.completed_depth, out.sizes[-1], out)
         if maximum_states is not None and sum(out.sizes) > maximum_states and out.completed_depth:
             raise GraphError("ORACLE_CAPACITY")
         if cancelled():
@@ -200,31 +214,109 @@ def layer_counts(spark: SparkSession, spec: GraphSpec, **options) -> DataFrame:
 # explicit graphs
 
 
-def edge_distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, vertex, depth): distances in an edge table (src, dst) from each source (root, vertex).
+class Csr:
+    """An edge table of whole-number vertices on the driver: places of vertices, and each one's neighbours in a row."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, others: np.ndarray) -> None:
+        self.vertices = np.unique(np.concatenate([src, dst, others]))
+        s, t = self.place(src), self.place(dst)
+        order = np.argsort(s, kind="stable")
+        self.to = t[order]
+        self.start = np.searchsorted(s[order], np.arange(len(self.vertices) + 1))
+
+    def place(self, vertices: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.vertices, vertices)
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``at``, neighbour) of all their arcs."""
+        n = self.start[at + 1] - self.start[at]
+        who = np.repeat(np.arange(len(at)), n)
+        return who, self.to[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def levels(self, at: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The depth of every vertex from the places ``at``; -1 if it is out of reach."""
+        depth = np.full(len(self.vertices), -1, np.int32)
+        depth[at], k = 0, 0
+        while len(at) and (most is None or k < most):
+            k += 1
+            at = np.unique(self.around(at)[1])
+            at = at[depth[at] < 0]
+            depth[at] = k
+        return depth
+
+
+def driver_graph(arcs: DataFrame, n: int, others: DataFrame, vertex: str = "vertex") -> Csr | None:
+    """``arcs`` (n of them, counted) on the driver, if they are few and their vertices are whole numbers; else None."""
+    kinds = {arcs.schema["src"].dataType, arcs.schema["dst"].dataType, others.schema[vertex].dataType}
+    if n > DRIVER_ARCS or not all(k.typeName() in ("integer", "long") for k in kinds):
+        return None
+    t, o = arcs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").toArrow(), others.select(vertex).where(F.col(vertex).isNotNull()).limit(DRIVER_ARCS + 1).toArrow()
+    if o.num_rows > DRIVER_ARCS:
+        return None
+    return Csr(*(c.to_numpy().astype(np.int64) for c in (t.column("src"), t.column("dst"), o.column(0))))
 
-    Several sources of one root make it a multi-source search; several roots are searched at once. Duplicate sources and
-    edges don't matter. Vertices may be of any type. A layer is one join on src, and one aggregation with the
-    layers before it.
-    """
+
+def vertex_frame(spark: SparkSession, g: Csr, chosen: np.ndarray, like: DataFrame, vertex: str = "dst", **columns: np.ndarray) -> DataFrame:
+    """(vertex, and ``columns``) of the places ``chosen`` of a driver graph, in the type that ``like`` has for vertices."""
+    table = pa.table({"vertex": pa.array(g.vertices[chosen]), **{k: pa.array(v) for k, v in columns.items()}})
+    df = spark.createDataFrame(table).withColumn("vertex", F.col("vertex").cast(like.schema[vertex].dataType))
+    return materialized(df, "distances")[0]
+
+
+def edge_layers(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, undirected: bool = False) -> list[DataFrame]:
+    """The layers (root, vertex, depth) of ``edge_distances``, each a stored table of its own."""
     arcs, _ = materialized(edges.select("src", "dst").distinct(), "arcs")
-    cur, n = materialized(sources.select("root", "vertex").distinct(), "sources")
-    done, depth = [cur.select("root", "vertex", F.lit(0).alias("depth"))], 0
+    return _cluster_layers(arcs, sources, max_depth, undirected)
+
+
+def _cluster_layers(arcs: DataFrame, sources: DataFrame, max_depth: int | None, undirected: bool) -> list[DataFrame]:
+    cur, n = materialized(sources.select("root", "vertex", F.lit(0).alias("depth")).distinct(), "sources")
+    done, depth = [cur], 0
     while n and (max_depth is None or depth < max_depth):
         depth += 1
         kids = cur.join(arcs, F.col("vertex") == F.col("src")).select("root", F.col("dst").alias("vertex"), F.lit(depth).alias("depth"))
-        past = reduce(DataFrame.unionByName, done)
+        # along edges that go both ways a child can only be in its parent's layer or next to it
+        past = reduce(DataFrame.unionByName, done[-2:] if undirected else done)
         fresh = kids.unionByName(past).groupBy("root", "vertex").agg(F.min("depth").alias("depth")).where(f"depth = {depth}")
-        layer, n = materialized(fresh, "layer")
+        cur, n = materialized(fresh, "layer")
         if n:
-            done.append(layer)
-        cur = layer.select("root", "vertex")
-    return reduce(DataFrame.unionByName, done)
+            done.append(cur)
+    return done
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+def edge_distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, undirected: bool = False, lane: str = "auto") -> DataFrame:
+    """(root, vertex, depth): distances in an edge table (src, dst) from each source (root, vertex).
+
+    Several sources of one root make it a multi-source search; several roots are searched at once. Duplicate sources and
+    edges don't matter. Vertices may be of any type. A layer is one join on src, and one aggregation with the
+    layers before it: two if the caller knows that every edge is there both ways (``undirected``), else all. Edge tables of
+    at most DRIVER_ARCS distinct arcs between whole numbers, with as many results, are searched on the driver (lane
+    ``auto``; ``cluster`` never does), where no layer costs a job.
+    """
+    arcs, n = materialized(edges.select("src", "dst").distinct(), "arcs")
+    spark, sources = edges.sparkSession, sources.select("root", "vertex").distinct()
+    if lane == "auto" and (g := driver_graph(arcs, n, sources)) is not None:
+        t = sources.where("vertex IS NOT NULL").toArrow()
+        at, code = g.place(t.column("vertex").to_numpy()), t.column("root").combine_chunks().dictionary_encode()
+        if isinstance(code, pa.ChunkedArray):
+            code = code.combine_chunks()
+        which = code.indices.to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, np.int64)
+        if len(code.dictionary) * len(g.vertices) <= 2 * DRIVER_ARCS:
+            parts = []
+            for r in range(len(code.dictionary)):
+                depth = g.levels(at[which == r], max_depth)
+                seen = np.flatnonzero(depth >= 0)
+                parts.append((np.full(len(seen), r), seen, depth[seen]))
+            root, seen, depth = (np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]).astype(np.int64 if k < 2 else np.int32) for k in range(3))
+            table = pa.table({"root": code.dictionary.take(pa.array(root)), "vertex": pa.array(g.vertices[seen]), "depth": pa.array(depth)})
+            df = spark.createDataFrame(table).select(F.col("root").cast(sources.schema["root"].dataType), F.col("vertex").cast(edges.schema["dst"].dataType), "depth")
+            return materialized(df, "distances")[0]
+    return reduce(DataFrame.unionByName, _cluster_layers(arcs, sources, max_depth, undirected))
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, undirected: bool = False, lane: str = "auto") -> DataFrame:
     """(vertex, depth) from a set of sources (vertex)."""
-    return edge_distances(edges, sources.select(F.lit(0).alias("root"), "vertex"), max_depth).select("vertex", "depth")
+    return edge_distances(edges, sources.select(F.lit(0).alias("root"), "vertex"), max_depth, undirected, lane).select("vertex", "depth")
 
 
 def reverse_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:

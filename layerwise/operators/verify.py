@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,36 @@ def compare_layers(found: DataFrame, expected: DataFrame) -> DataFrame:
     return found.select("depth", F.col("states").alias("found")).join(e, "depth", "full").where("NOT found <=> expected")
 
 
+def verify_histograms(ranks: DataFrame, expected: list[int], n: int, world: int) -> DataFrame:
+    """(depth, found, expected) where the ranks' vectors (rank, status, layer_counts) don't add up to ``expected``. The ranks
+    must be 0..world-1, each complete and as deep; the expected layers are those of a whole symmetric group: 1 first, n! in
+    all."""
+    if not expected or any(type(x) is not int or x < 1 for x in expected):
+        raise ValueError("REFERENCE_COUNTS")
+    if expected[0] != 1 or sum(expected) != factorial(n):
+        raise ValueError("REFERENCE_NOT_FULL_SYMMETRIC_GROUP")
+    a = ranks.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.count_if(F.col("status") == "COMPLETE"), F.min(F.size("layer_counts")), F.max(F.size("layer_counts")), F.min(F.array_min("layer_counts"))).first()
+    if tuple(a[:4]) != (world, world, 0, world - 1):
+        raise ValueError("RANK_INVENTORY")
+    if a[4] != world:
+        raise ValueError("RUN_INCOMPLETE_OR_WRONG_GROUP")
+    if a[5] != a[6] or a[6] != len(expected):
+        raise ValueError("DEPTH_COVERAGE")
+    if a[7] is None or a[7] < 0:
+        raise ValueError("INVALID_COUNT")
+    found = ranks.select(F.posexplode("layer_counts").alias("depth", "n")).groupBy("depth").agg(F.sum("n").alias("states"))
+    return compare_layers(found, ranks.sparkSession.createDataFrame(list(enumerate(expected)), "depth int, states long"))
+
+
+def compare_runs(first: dict, second: dict, spark: SparkSession) -> list[str]:
+    """What differs between two runs {graph, packing, status, last_completed_layer, layers: [(depth, states)]}: names of
+    fields, layer_state_counts, empty_completed_layer_table. Times don't count; equal counts aren't equal sets."""
+    out = [k for k in ("graph", "packing", "status", "last_completed_layer") if first.get(k) != second.get(k)]
+    a, b = (spark.createDataFrame(r["layers"], "depth int, states long") for r in (first, second))
+    out += ["layer_state_counts"] if compare_layers(a, b).count() else []
+    return out + ([] if first["layers"] and second["layers"] else ["empty_completed_layer_table"])
+
+
 def compare_states(found: DataFrame, expected: DataFrame) -> DataFrame:
     """(side, depth, state) of states (depth, state) in one set only, duplicates included."""
     a = found.select("depth", "state").exceptAll(expected.select("depth", "state")).select(F.lit("found").alias("side"), "*")

@@ -19,6 +19,7 @@ from .session import wrapping
 from .spec import GraphSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
+Pair = tuple[Query, str]
 
 # implicit families
 
@@ -52,14 +53,14 @@ r(st, d) USING KEY (st) AS (
 _COUNTS = "SELECT CAST(d AS INTEGER) AS depth, count(*) AS states FROM r GROUP BY d"
 
 
-def _family(spec: GraphSpec, lane: str, most: int | None = None) -> tuple[Query, str]:
+def _family(spec: GraphSpec, lane: str, most: int | None = None) -> Pair:
     def run(spark: SparkSession, _: str) -> DataFrame:
         return Q.layers(spark, spec, lane=lane, max_layers=most).counts()
 
     return run, _orbit(spec, most) + _COUNTS
 
 
-def _families() -> dict[str, tuple[Query, str]]:
+def _families() -> dict[str, Pair]:
     out = {
         "bf8_exact_layers_s5": _family(Fam.coxeter(5), "packed"),
         "bf8_exact_layers_s7_driver": _family(Fam.coxeter(7), "driver"),
@@ -107,7 +108,7 @@ def _with(edges: str, root: str) -> str:
     return f"WITH RECURSIVE e AS ({edges})" + _DISTANCES.format(root=root)
 
 
-def _explicit() -> dict[str, tuple[Query, str]]:
+def _explicit() -> dict[str, Pair]:
     out = {}
     for name, (build, sql, root) in _EXPLICIT.items():
 
@@ -159,21 +160,13 @@ def _root(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0,)], "vertex long")
 
 
-def _paged(spark: SparkSession, sf: str) -> DataFrame:
-    """Order keys through the page map and back."""
-    with wrapping(spark):
-        k = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("rank")).where(f"rank BETWEEN 0 AND {10**12 - 1}")
-        k = k.withColumn("mapped", S.page_map("rank", 10**12, 6, 64))
-        return k.select("rank", S.page_unmap("mapped", 10**12, 6, 64).alias("back"))
-
-
-def _tables() -> dict[str, tuple[Query, str]]:
+def _tables() -> dict[str, Pair]:
     keyed, zero = _with(_key_sql(), "CAST(0 AS BIGINT)"), lambda n: _with(_key_sql(n), "CAST(0 AS BIGINT)")
-    out: dict[str, tuple[Query, str]] = {
-        "ag1_key_graph_layers": (lambda s, d: A.layer_sizes(Q.distances(key_graph(s, d), _root(s))), keyed + "SELECT CAST(depth AS INTEGER) AS depth, count(*) AS states FROM r GROUP BY depth"),
-        "bf1_key_graph_distances": (lambda s, d: Q.distances(key_graph(s, d, 3), _root(s)), zero(3) + "SELECT vertex, CAST(depth AS INTEGER) AS depth FROM r"),
+    out: dict[str, Pair] = {
+        "ag1_key_graph_layers": (lambda s, d: A.layer_sizes(Q.distances(key_graph(s, d), _root(s), undirected=True)), keyed + "SELECT CAST(depth AS INTEGER) AS depth, count(*) AS states FROM r GROUP BY depth"),
+        "bf1_key_graph_distances": (lambda s, d: Q.distances(key_graph(s, d, 3), _root(s), undirected=True), zero(3) + "SELECT vertex, CAST(depth AS INTEGER) AS depth FROM r"),
         "ag3_level_breakdown": (
-            lambda s, d: A.level_breakdown(g := key_graph(s, d), Q.distances(g, _root(s))),
+            lambda s, d: A.level_breakdown(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)),
             keyed
             + """, k AS (SELECT p.depth, e.dst, count(*) n, any_value(c.depth) own FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2),
 f AS (SELECT depth, count(*) frontier FROM r GROUP BY 1),
@@ -181,18 +174,18 @@ a AS (SELECT depth, sum(n) generated, count(*) uniq, count_if(own <= depth) hits
 SELECT CAST(f.depth AS INTEGER) AS depth, frontier, CAST(generated AS BIGINT) AS generated, uniq AS unique_candidates, CAST(generated - uniq AS BIGINT) AS batch_duplicates, CAST(hits AS BIGINT) AS visited_hits, CAST(accepted AS BIGINT) AS accepted, CAST(sum(frontier) OVER (ORDER BY f.depth) + accepted AS BIGINT) AS cumulative_visited FROM f JOIN a ON a.depth = f.depth""",
         ),
         "ag5_edge_split": (
-            lambda s, d: A.edge_split(g := key_graph(s, d), Q.distances(g, _root(s))),
+            lambda s, d: A.edge_split(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)),
             keyed + "SELECT CAST(p.depth AS INTEGER) AS depth, CAST(count_if(c.depth - p.depth = -1) AS BIGINT) AS backward, CAST(count_if(c.depth = p.depth) AS BIGINT) AS same, CAST(count_if(c.depth - p.depth = 1) AS BIGINT) AS forward, CAST(count_if(c.depth - p.depth < -1) AS BIGINT) AS older FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY p.depth",
         ),
         "ag7_path_counts": (
-            lambda s, d: A.path_counts(key_graph(s, d), _root(s)).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("sigma").alias("paths"), F.max("sigma").alias("most")),
+            lambda s, d: A.path_counts(key_graph(s, d), _root(s), undirected=True).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("sigma").alias("paths"), F.max("sigma").alias("most")),
             keyed
             + """, w(vertex, depth, sigma) AS (SELECT CAST(0 AS BIGINT), 0, CAST(1 AS BIGINT) UNION ALL
 SELECT x.v, x.k, x.s FROM (SELECT e.dst v, w.depth + 1 k, CAST(sum(w.sigma) AS BIGINT) s FROM w JOIN e ON e.src = w.vertex JOIN r ON r.vertex = e.dst AND r.depth = w.depth + 1 GROUP BY 1, 2) x)
 SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices, CAST(sum(sigma) AS BIGINT) AS paths, max(sigma) AS most FROM w GROUP BY depth""",
         ),
         "ag8_intersection_numbers": (
-            lambda s, d: A.intersection_numbers(g := key_graph(s, d, 3), Q.distances(g, _root(s))),
+            lambda s, d: A.intersection_numbers(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)),
             zero(3)
             + """, n AS (SELECT p.vertex, p.depth, count_if(c.depth - p.depth = -1) c, count_if(c.depth = p.depth) a, count_if(c.depth - p.depth = 1) b FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2)
 SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(max(c) AS BIGINT) AS max_c, CAST(min(a) AS BIGINT) AS min_a, CAST(max(a) AS BIGINT) AS max_a, CAST(min(b) AS BIGINT) AS min_b, CAST(max(b) AS BIGINT) AS max_b FROM n GROUP BY depth""",
@@ -206,7 +199,7 @@ SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(ma
             f"WITH RECURSIVE e AS ({_key_sql(3)}), r(vertex, label) USING KEY (vertex) AS (SELECT DISTINCT src, src FROM e UNION SELECT x.v, x.l FROM (SELECT e.dst v, min(r.label) l FROM r JOIN e ON e.src = r.vertex GROUP BY 1) x JOIN recurring.r k ON k.vertex = x.v WHERE x.l < k.label), c AS (SELECT label, count(*) n FROM r GROUP BY 1) SELECT count(*) AS components, max(n) AS largest FROM c",
         ),
         "ag22_owner_profile": (
-            lambda s, d: A.profile(Q.distances(key_graph(s, d), _root(s)), F.pmod("vertex", F.lit(4)).cast("int"), 4),
+            lambda s, d: A.profile(Q.distances(key_graph(s, d), _root(s), undirected=True), F.pmod("vertex", F.lit(4)).cast("int"), 4),
             keyed + "SELECT CAST(depth AS INTEGER) AS depth, CAST(vertex % 4 AS INTEGER) AS block, count(*) AS states FROM r GROUP BY 1, 2",
         ),
         "ag23_cut_fraction": (
@@ -221,14 +214,16 @@ SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(ma
             lambda s, d: store.layer_digests(_t(s, d, "nation").select(F.col("n_regionkey").cast("int").alias("depth"), F.lit(0).alias("rank"), F.col("n_nationkey").alias("rank_ordinal"), F.col("n_name").cast("binary").alias("state"))),
             "SELECT CAST(n_regionkey AS INTEGER) AS depth, sha256(string_agg(chr(0) || chr(0) || chr(0) || chr(0) || n_name, '' ORDER BY n_nationkey)) AS content_sha256 FROM nation GROUP BY 1",
         ),
-        "pr17_order_pages": (_paged, f"WITH t AS (SELECT o_orderkey r FROM orders WHERE o_orderkey BETWEEN 0 AND {10**12 - 1}) SELECT r AS rank, r AS back FROM t"),
         "bf25_publication_schedules": (
             lambda s, d: V.publication_schedules(s),
             """SELECT p AS protocol, x AS schedule, n > 0 AS published, CAST(n AS INTEGER) AS attempts, CAST(least(n, 1) AS INTEGER) AS unique_publications FROM (
 SELECT p, x, CAST(position('publish' IN x) < position('stop' IN x) AS INTEGER) + CAST(p <> 'blind_drop' AS INTEGER) n FROM unnest(['blind_drop', 'helpable_descriptor', 'logged_intent']) a(p), (
 SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recover']) a(e), unnest(['stop', 'publish', 'recover']) b(e), unnest(['stop', 'publish', 'recover']) c(e) WHERE a.e <> b.e AND b.e <> c.e AND a.e <> c.e))""",
         ),
-        "ag13_conservation": (lambda s, d: A.conservation(A.level_breakdown(g := key_graph(s, d, 3), Q.distances(g, _root(s)))).select("depth"), "SELECT CAST(0 AS INTEGER) AS depth WHERE false"),
+        "ag13_conservation": (
+            lambda s, d: A.conservation(A.level_breakdown(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)).withColumn("accepted", F.col("accepted") + F.when(F.col("depth") % 2 == 1, 1).otherwise(0))).select("depth", "generated", "accepted"),
+            zero(3) + ", k AS (SELECT p.depth, e.dst, any_value(c.depth) AS own, count(*) AS n FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, CAST(sum(n) AS BIGINT) AS generated, count(*) FILTER (own > depth) + 1 AS accepted FROM k WHERE depth % 2 = 1 GROUP BY depth",
+        ),
         "bf16_covering_radius": (
             lambda s, d: Q.eccentricity(g := key_graph(s, d, 3), g.select(F.col("src").alias("vertex")), s.createDataFrame([(i,) for i in range(5)], "vertex long")),
             f"WITH RECURSIVE e AS ({_key_sql(3)}), r(vertex, depth) USING KEY (vertex) AS (SELECT CAST(i AS BIGINT), 0 FROM range(5) t(i) UNION SELECT c.v, c.k FROM (SELECT DISTINCT e.dst v, r.depth + 1 k FROM r JOIN e ON e.src = r.vertex) c WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.vertex = c.v)) SELECT CAST(CASE WHEN (SELECT count(*) FROM r) = (SELECT count(DISTINCT src) FROM e) THEN max(depth) END AS INTEGER) AS covering_radius FROM r",
@@ -242,14 +237,13 @@ SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recove
             f"WITH RECURSIVE e AS ({_key_sql(1)}), r(root, vertex, depth) USING KEY (root, vertex) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT c.root, c.v, c.k FROM (SELECT DISTINCT r.root, e.dst v, r.depth + 1 k FROM r JOIN e ON e.src = r.vertex) c WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.root = c.root AND k.vertex = c.v)) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS pairs FROM r GROUP BY depth",
         ),
         "bf23_dead_ends": (
-            lambda s, d: A.dead_ends(g := key_graph(s, d, 3), Q.distances(g, _root(s))).groupBy("depth").agg(F.count("*").alias("vertices")),
+            lambda s, d: A.dead_ends(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)).groupBy("depth").agg(F.count("*").alias("vertices")),
             zero(3) + ", m AS (SELECT p.vertex, p.depth, max(c.depth) top FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices FROM m WHERE top <= depth AND depth < (SELECT max(depth) FROM r) GROUP BY depth",
         ),
         "so9_so10_layer_summary": (
-            lambda s, d: store.layer_summary(A.layer_sizes(Q.distances(key_graph(s, d), _root(s)))),
+            lambda s, d: store.layer_summary(A.layer_sizes(Q.distances(key_graph(s, d), _root(s), undirected=True))),
             keyed + ", c AS (SELECT depth, count(*) states FROM r GROUP BY 1) SELECT CAST(depth AS INTEGER) AS depth, states, CAST(sum(states) OVER (ORDER BY depth) AS BIGINT) AS cumulative, CAST(sum(states) OVER (ORDER BY depth ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS live FROM c",
         ),
-        "fl3_validate_result": (lambda s, d: V.validate(g := key_graph(s, d, 2).select("src", F.xxhash64("dst").alias("ord"), F.lit(None).cast("string").alias("move"), "dst"), Q.labeled(_ordered(g), [0]).rows), "SELECT CAST('' AS VARCHAR) AS error, CAST('' AS VARCHAR) AS vertex WHERE false"),
         "ag11_routing_metrics": (
             lambda s, d: B.routing_metrics(_t(s, d, "lineitem").select(F.pmod("l_orderkey", F.lit(4)).alias("source"), F.pmod("l_partkey", F.lit(4)).alias("owner"), F.col("l_partkey").alias("state")), 4).select("generated", "local_unique", "locally_removed", "owner_unique", "cross_removed", "remote_payload"),
             "WITH c AS (SELECT l_orderkey % 4 s, l_partkey % 4 o, l_partkey k FROM lineitem), p AS (SELECT DISTINCT s, o, k FROM c) SELECT (SELECT count(*) FROM c) AS generated, (SELECT count(*) FROM p) AS local_unique, (SELECT count(*) FROM c) - (SELECT count(*) FROM p) AS locally_removed, (SELECT count(DISTINCT k) FROM p) AS owner_unique, (SELECT count(*) FROM p) - (SELECT count(DISTINCT k) FROM p) AS cross_removed, (SELECT count(*) FROM p WHERE s <> o) AS remote_payload",
@@ -263,7 +257,7 @@ SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recove
             f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_EVENT_SQL})), f(v) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM f JOIN e ON e.src = f.v), b(v) AS (SELECT min(src) FROM e UNION SELECT e.src FROM b JOIN e ON e.dst = b.v) SELECT CASE WHEN f.v IS NOT NULL AND b.v IS NOT NULL THEN 'SCC' WHEN b.v IS NOT NULL THEN 'IN' ELSE 'OUT' END AS part, count(*) AS vertices FROM f FULL JOIN b ON f.v = b.v GROUP BY 1",
         ),
         "bf21_secondary_cost": (
-            lambda s, d: A.secondary_cost(key_graph(s, d, 3).withColumn("cost", F.pmod(F.col("src") + F.col("dst"), F.lit(7))), _root(s)).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("cost").alias("cost")),
+            lambda s, d: A.secondary_cost(key_graph(s, d, 3).withColumn("cost", F.pmod(F.col("src") + F.col("dst"), F.lit(7))), _root(s), undirected=True).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("cost").alias("cost")),
             zero(3) + ", w(vertex, depth, cost) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT) UNION ALL SELECT x.v, x.k, x.c FROM (SELECT e.dst v, w.depth + 1 k, min(w.cost + (e.src + e.dst) % 7) c FROM w JOIN e ON e.src = w.vertex JOIN r ON r.vertex = e.dst AND r.depth = w.depth + 1 GROUP BY 1, 2) x) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices, CAST(sum(cost) AS BIGINT) AS cost FROM w GROUP BY depth",
         ),
     }
@@ -296,27 +290,6 @@ def _others() -> dict[str, Query]:
         r = B.bidirectional(e, 0, 4 * _K + 7, owner=F.pmod("state", F.lit(3)), world=3)["rounds"]
         return spark.createDataFrame([tuple(x.values()) for x in r], ", ".join(f"{c} {'string' if c == 'direction' else 'long'}" for c in B.ROUND))
 
-    def macro(spark: SparkSession, d: str) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(M.weighted_layers(spark, Fam.unitriangular(3, 3), 2))), "depth int, states long")
-
-    def words(spark: SparkSession, d: str) -> DataFrame:
-        spec = Fam.coxeter(5)
-        return M.word_audit(M.reduced_words(spark, spec, 3), M.commutation(spec))
-
-    def hashes(spark: SparkSession, d: str) -> DataFrame:
-        spec = Fam.coxeter(5)
-        s = Q.layers(spark, spec, lane="array").states()
-        with wrapping(spark):
-            h = s.select("depth", S.state_hash("state", 5, 20_260_828).alias("h"), *[c.alias(f"lane{i}") for i, c in enumerate(S.modular_hash("state", 5))])
-            return h.select("depth", F.hex("h").alias("hash"), S.owner(F.col("h"), 4).alias("owner"), S.shard(F.col("h"), 8).alias("shard"), "lane0", "lane1", "lane2", "lane3")
-
-    def keys(spark: SparkSession, d: str) -> DataFrame:
-        spec = Fam.lrx(6, 3)
-        s = Q.layers(spark, spec, lane="array").states()
-        with wrapping(spark):
-            low, high = S.lossless_key("state", 6, 8)
-            return s.select("depth", S.orbit_rank("state", spec).alias("rank"), low.alias("low"), high.alias("high"), S.affine_key("low", b"0123456789abcdef").alias("key"))
-
     def sampled(spark: SparkSession, d: str) -> DataFrame:
         g = samples.random_graph(spark, 2000, 4.0, 0x9E3779B97F4A7C15 ^ 0x100000001B3)
         return A.layer_sizes(Q.distances(g, _root(spark)))
@@ -325,17 +298,16 @@ def _others() -> dict[str, Query]:
         g = event_graph(spark, d)
         return A.strong_components(g, g.select(F.col("src").alias("vertex")).union(g.select("dst"))).groupBy("component").agg(F.count("*").alias("vertices"))
 
-    def labeled(spark: SparkSession, d: str) -> DataFrame:
-        return Q.labeled(Q.implicit_edges(spark, Fam.coxeter(4)), ["0,1,2,3"]).rows
+    def gaps(spark: SparkSession, d: str) -> DataFrame:
+        return A.sweep_gaps(spark, 6).groupBy("diameter", "bound").agg(F.count("*").alias("graphs"), F.min("mask").alias("first"))
 
-    def ordinals(spark: SparkSession, d: str) -> DataFrame:
-        return store.with_ordinals(Q.layers(spark, Fam.coxeter(5), lane="array").states()).select("depth", "ordinal", F.array_join("state", ",").alias("state"))
+    return {"bf5_target_search": target, "bf6_bidirectional": both, "bf7_ag12_owner_rounds": rounds, "bf18_sweep_gaps": gaps, "src23_sampled_graph": sampled, "bf19_strong_components": strong}
 
-    return {"bf2_labeled_s4": labeled, "bf5_target_search": target, "bf6_bidirectional": both, "bf7_owner_rounds": rounds, "bf9_macro_u3m3": macro, "ag20_word_audit": words, "pr15_pr22_pr23_state_keys": keys, "pr18_pr26_hash_owner": hashes, "src23_sampled_graph": sampled, "bf19_strong_components": strong, "so5_ordinals": ordinals}
 
+def _pairs() -> dict[str, Pair]:
+    from . import catalog_units
 
-def _pairs() -> dict[str, tuple[Query, str]]:
-    return _families() | _explicit() | _tables()
+    return _families() | _explicit() | _tables() | catalog_units.pairs()
 
 
 def queries() -> dict[str, Query]:

@@ -78,12 +78,25 @@ def numbered(df: DataFrame, order: list[str], name: str, what: str) -> tuple[Dat
     ranged = ranged.withColumn("__id", F.monotonically_increasing_id())
     ranged, n = materialized(ranged.withColumn("__part", F.shiftright("__id", 33)), what)
     counts = {r[0]: r[1] for r in ranged.groupBy("__part").count().collect()}  # as many rows as partitions
-    before, starts = 0, {}
+    before, starts = 0, []
     for p in sorted(counts):
-        starts[p] = before
+        starts.append((p, before))
         before += counts[p]
     if not starts:
         return ranged.select(*df.columns, F.lit(0).cast("long").alias(name)), 0
-    offset = F.create_map(*[F.lit(x).cast("long") for p, s in starts.items() for x in (p, s)])
-    place = F.element_at(offset, F.col("__part")) + F.col("__id").bitwiseAND((1 << 33) - 1)
-    return ranged.select(*df.columns, place.alias(name)), n
+    offset = df.sparkSession.createDataFrame(starts, "__part long, __before long")
+    place = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    return ranged.join(F.broadcast(offset), "__part").select(*df.columns, place.alias(name)), n  # one row per partition
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small new file in any store that Spark writes."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    out.write(bytearray(data))
+    out.close()
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -56,7 +56,7 @@ class GraphSpec:
     def __post_init__(self) -> None:
         n = len(self.generators)
         object.__setattr__(self, "names", tuple(self.names) or tuple(str(i) for i in range(n)))
-        _need(isinstance(self.name, str) and self.name != "", "GRAPH_NAME")
+        _need(isinstance(self.name, str), "GRAPH_NAME")
         _need(n > 0, "GRAPH_GENERATORS")
         _need(len(self.names) == n and all(isinstance(x, str) for x in self.names), "GRAPH_GENERATOR_NAMES")
         _need(self.bound is None or type(self.bound) is int and 1 <= self.bound < WRAP, "GRAPH_ORBIT_BOUND")
@@ -70,7 +70,7 @@ class GraphSpec:
             _need(self.rows > 0 and self.cols > 0 and len(self.start) == self.rows * self.cols, "GRAPH_MATRIX_SHAPE")
             for flat, modulus in self.generators:
                 _need(len(_integers(flat)) == self.rows**2, "GRAPH_MATRIX_GENERATOR")
-                _need(type(modulus) is int and (modulus == 0 or 2 <= modulus < 1 << 31), "GRAPH_MATRIX_MODULUS")
+                _need(type(modulus) is int and (modulus == 0 or 2 <= modulus <= 1 << 31), "GRAPH_MATRIX_MODULUS")
         else:
             raise GraphError("GRAPH_ACTION_KIND")
 
@@ -167,16 +167,33 @@ def from_json(text: str) -> GraphSpec:
     return from_dict(json.loads(text))
 
 
+def labels(values) -> list[int]:
+    """Whole numbers of any nesting, as integers of 64 bits; fractions, truth values and text are refused."""
+    if hasattr(values, "tolist"):
+        values = values.tolist()
+    if isinstance(values, list | tuple | range):
+        return [v for x in values for v in labels(x)]
+    _need(not isinstance(values, bool | str | bytes), "GRAPH_NONINTEGER_SCALAR")
+    whole = isinstance(values, float) and values.is_integer()  # neither infinite nor NaN
+    _need(whole or hasattr(values, "__index__"), "GRAPH_NONINTEGER_SCALAR")
+    return _integers([int(values)])
+
+
 def from_object(graph) -> GraphSpec:
-    """Any object with generators_type, central_state, generators and generator_names (duck typing)."""
-    kind = str(getattr(graph, "generators_type", "")).rpartition(".")[2].lower()
-    names, start = tuple(getattr(graph, "generator_names", ())), [int(v) for v in graph.central_state]
+    """Any object with generators_type, central_state, generators and generator_names (duck typing), or one that holds
+    such as ``definition`` or ``graph_def``."""
+    if not hasattr(graph, "generators_type"):
+        graph = getattr(graph, "definition", getattr(graph, "graph_def", graph))
+    kind = graph.generators_type
+    kind = str(getattr(kind, "name", kind)).rpartition(".")[2].lower()
+    names, start, name = tuple(getattr(graph, "generator_names", ())), labels(graph.central_state), getattr(graph, "name", "")
     if "perm" in kind:
-        return permutation(getattr(graph, "name", "graph") or "graph", [[int(v) for v in g] for g in graph.generators_permutations], start, names)
+        return permutation(name, [labels(g) for g in graph.generators_permutations], start, names)
     _need("matri" in kind, "GRAPH_ACTION_KIND")
-    found = [([int(v) for row in g.matrix for v in row], int(g.modulo)) for g in graph.generators_matrices]
-    rows = round(len(found[0][0]) ** 0.5)
-    return matrix(getattr(graph, "name", "graph") or "graph", found, start, rows, len(start) // rows, names)
+    found = [(labels(g.matrix), *labels(g.modulo)) for g in graph.generators_matrices]
+    rows = len(graph.generators_matrices[0].matrix)
+    _need(rows > 0 and len(start) % rows == 0, "GRAPH_MATRIX_SHAPE")
+    return matrix(name, found, start, rows, len(start) // rows, names)
 
 
 _CATALOG: dict[str, Callable[..., GraphSpec]] = {}

@@ -1,6 +1,6 @@
 """Graph families: implicit ones as GraphSpec, explicit ones as edge DataFrames (src, dst) built by Spark expressions.
 
-Covers SRC5-SRC19, SRC21-SRC23, SRC25, SRC26, FL16.
+Covers SRC5-SRC26 (samples.py has the seeded ones), FL16.
 """
 
 from __future__ import annotations
@@ -277,13 +277,31 @@ def configuration(degrees: DataFrame, seed: int) -> DataFrame:
     return both_ways(pairs.where("src <> dst").select("src", "dst")).distinct()
 
 
-def from_puzzle(text: str, inverse_pairs: bool = True) -> GraphSpec:
+def order(g) -> int:
+    """The least number of times after which a permutation is the identity: the least common multiple of its cycles."""
+    from math import lcm
+
+    out, seen = 1, set()
+    for i in range(len(g)):
+        at, n = i, 0
+        while at not in seen:
+            seen.add(at)
+            at, n = g[at], n + 1
+        out = lcm(out, max(n, 1))
+    return out
+
+
+def from_puzzle(text: str, inverse_pairs: bool = True, orders: int | dict[str, int] | None = None) -> GraphSpec:
     """A puzzle's JSON {name, central_state, generators: {move: permutation}}: every move a bijection and, if asked, with its
-    inverse among the moves. Moves keep the document's order."""
+    inverse among the moves and of the given order (one for all, or by move). Moves keep the document's order."""
     import json
 
     data = json.loads(text)
     spec = permutation(data.get("name", "puzzle"), data["generators"].values(), data["central_state"], list(data["generators"]))
     if inverse_pairs and any(inverse(g) not in spec.generators for g in spec.generators):
         raise GraphError("GRAPH_PERMUTATION_GENERATOR")
+    for name, g in zip(spec.names, spec.generators, strict=True):
+        want = orders.get(name) if isinstance(orders, dict) else orders
+        if want is not None and order(g) != want:
+            raise GraphError("PUZZLE_MOVE_ORDER")
     return spec

@@ -2,7 +2,7 @@
 
 The sequence is linear over GF(2): a block of draws starts by a jump, so blocks are drawn apart from each other, in any
 task and again after a loss. Work is that of all pairs, as the definition draws once for each; ``families.random_graph`` and
-``families.block_graph`` have the same distributions in time linear in the edges. Covers SRC23, SRC25, SRC26, with samples.
+``families.block_graph`` have the same distributions in time linear in the edges. Covers SRC23-SRC26, with samples.
 """
 
 from __future__ import annotations
@@ -153,3 +153,31 @@ def small_world(spark: SparkSession, n: int, shortcuts: int, seed: int) -> DataF
             break
         attempts *= 2
     return both_ways(ring).distinct()
+
+
+def regular_graph(spark: SparkSession, n: int, degree: int, seed: int, most: int = 1 << 20) -> tuple[DataFrame, int]:
+    """(edges, attempts): a random simple regular graph. The half-edges 0, 0, .., 1, 1, .. are shuffled from the end, each with
+    one of those up to it, by draws modulo the count that pass over the first 2^64 mod count values; neighbours in the
+    shuffled row are paired; a loop or a repeated edge starts the next attempt, with the next draws. One shuffle has one
+    order, so it is drawn on the driver, for at most ``most`` half-edges."""
+    halves = n * degree
+    if halves % 2 or not 0 <= degree < max(n, 1) or halves > most:
+        raise ValueError("REGULAR_GRAPH_SHAPE")
+    first, held, at, attempts = 0, block(seed, 0).tolist(), 0, 0
+    while halves:
+        attempts += 1
+        row = [v for v in range(n) for _ in range(degree)]
+        for end in range(halves - 1, 0, -1):
+            while True:
+                if at == len(held):
+                    first, at = first + len(held), 0
+                    held = block(seed, first).tolist()
+                value, at = held[at], at + 1
+                if value >= (1 << 64) % (end + 1):
+                    break
+            k = value % (end + 1)
+            row[k], row[end] = row[end], row[k]
+        pairs = {(min(a, b), max(a, b)) for a, b in zip(row[::2], row[1::2], strict=True) if a != b}
+        if len(pairs) == halves // 2:
+            return both_ways(spark.createDataFrame(sorted(pairs), "src long, dst long")), attempts
+    return spark.createDataFrame([], "src long, dst long"), 0

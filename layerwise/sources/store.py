@@ -1,6 +1,6 @@
-"""Result stores: states by layer, retention, ordinals, dataset tables, receipts, ledgers.
+"""Result stores: states by layer, retention, ordinals, receipts, ledgers; tails.py and dataset.py have the rest.
 
-Covers SRC29-SRC32, SNK1, SNK3-SNK8, SNK10-SNK12, SO3, SO4, SO9, SO10, D11, D13-D16, AG17, AG19.
+Covers SRC29-SRC32, SNK1, SNK5, SNK6, SNK11, SO3-SO5, SO9, SO10, AG17-AG19.
 """
 
 from __future__ import annotations
@@ -87,38 +87,6 @@ def layer_summary(layers: DataFrame) -> DataFrame:
     return layers.select("depth", "states", F.sum("states").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"), F.sum("states").over(w.rowsBetween(-2, 0)).alias("live"))
 
 
-def dataset(result: Layers, run_id: str, group_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tables states, layers and runs of dataset schema 1; what isn't known is null, never 0."""
-    spark, digest = result.spark, result.spec.digest()
-    ids = [F.lit(run_id).alias("run_id"), F.lit(group_id).alias("group_id"), F.lit(digest).alias("config_digest")]
-    states = with_ordinals(result.states()).select(*ids, F.lit(0).alias("rank"), "depth", F.col("ordinal").alias("rank_ordinal"), F.array_join("state", ",").cast("binary").alias("state"))
-    layers = result.counts().select(*ids, "depth", F.col("states").alias("unique_states"), *[F.lit(None).cast("double").alias(c) for c in ("generation_ms", "wall_ms")], F.lit(None).cast("long").alias("routed_bytes"))
-    runs = spark.range(1).select(*ids, F.lit(result.status).alias("status"), F.lit(result.num_vertices()).cast("long").alias("total_unique_states"), F.lit(result.completed_depth).alias("max_depth"), F.lit(json.dumps(report(result), sort_keys=True)).alias("summary_json"))
-    return states, layers, runs
-
-
-def append_run(tables: tuple[DataFrame, DataFrame, DataFrame], path: str, run_id: str) -> None:
-    """Append a run; a run_id that is there already is refused."""
-    spark = tables[0].sparkSession
-    jvm = spark.sparkContext._jvm
-    runs = jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
-    if runs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(runs) and spark.read.parquet(f"{path}/runs").where(F.col("run_id") == run_id).limit(1).count():
-        raise FileExistsError(run_id)
-    for name, df in zip(("states", "layers", "runs"), tables, strict=True):
-        df.write.mode("append").parquet(f"{path}/{name}")
-
-
-def verify_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """(error, detail) of a stored dataset: repeated states, layers whose counts differ from their states, totals."""
-    states, layers, runs = (spark.read.parquet(f"{path}/{t}") for t in ("states", "layers", "runs"))
-    twice = states.groupBy("run_id", "state").count().where("count > 1").select(F.lit("DUPLICATE_STATE").alias("error"), F.col("run_id").alias("detail"))
-    n = states.groupBy("run_id", "depth").agg(F.count("*").alias("n"))
-    off = layers.join(n, ["run_id", "depth"], "left").where("n IS NOT NULL AND n <> unique_states").select(F.lit("DATASET_COUNTS").alias("error"), F.concat_ws("/", "run_id", "depth").alias("detail"))
-    total = layers.groupBy("run_id").agg(F.sum("unique_states").alias("s"), F.max("depth").alias("d"))
-    wrong = runs.join(total, "run_id").where("s <> total_unique_states OR d <> max_depth").select(F.lit("DATASET_COUNTS").alias("error"), F.col("run_id").alias("detail"))
-    return twice.unionByName(off).unionByName(wrong)
-
-
 def layer_digests(states: DataFrame, hashes: str | None = None) -> DataFrame:
     """(depth, content_sha256): SHA-256 of each layer's records by rank and ordinal, a record being its rank (u32,
     little-endian), its state and, if a column of that name is given, its hash. A chain of hashing has no parallel form:

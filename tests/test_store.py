@@ -1,8 +1,10 @@
+import hashlib
+
 import pytest
 from layerwise.operators import search as Q
 from layerwise.operators import verify as V
 from layerwise.plans import spec as P
-from layerwise.sources import archive, store
+from layerwise.sources import archive, dataset, store, tails
 from layerwise.sources import families as Fam
 from layerwise.streaming import feed
 
@@ -10,16 +12,62 @@ from layerwise.streaming import feed
 def test_dataset(spark, tmp_path):
     r = Q.layers(spark, Fam.coxeter(4), lane="array")
     path = str(tmp_path / "data")
-    store.append_run(store.dataset(r, "run1", "g"), path, "run1")
-    assert not store.verify_dataset(spark, path).count()
+    seed = bytes(range(16))
+    dataset.write(dataset.tables(r, "run1", "g", seed, 2, 2, 2), path, "run1")
+    assert not dataset.verify(spark, path).count()
     with pytest.raises(FileExistsError):
-        store.append_run(store.dataset(r, "run1", "g"), path, "run1")
-    store.append_run(store.dataset(r, "run2", "g"), path, "run2")
-    spark.read.parquet(f"{path}/states").where("run_id = 'run2' AND depth = 2").write.mode("append").parquet(f"{path}/states")
-    assert {x.error for x in store.verify_dataset(spark, path).collect()} == {"DUPLICATE_STATE", "DATASET_COUNTS"}
-    o = store.with_ordinals(r.states()).collect()
-    assert sorted((x.depth, x.ordinal) for x in o) == [(d, i) for d, n in enumerate(r.sizes) for i in range(n)]
-    assert [x.state for x in sorted(o, key=lambda x: (x.depth, x.ordinal))] == [list(s) for layer in Fam.coxeter(4).exact_layers(99) for s in layer]
+        dataset.write(dataset.tables(r, "run1", "g"), path, "run1")
+    rows = dataset.read(spark, path, "states").collect()
+    for x in rows:
+        lanes = four_lanes(bytes(x.state), seed, b"GEMM_U8_P32X4/V1")
+        assert bytes(x.hash128_le) == b"".join(v.to_bytes(4, "little") for v in lanes)
+        top = (lanes[3] << 32 | lanes[2]) >> 61
+        assert (x.logical_owner, x.shard, x.bucket, x.rank) == (top >> 2, top >> 1 & 1, top & 1, top >> 2)
+    for rank in (0, 1):
+        mine = sorted((x for x in rows if x.rank == rank), key=lambda x: x.rank_ordinal)
+        assert [x.rank_ordinal for x in mine] == list(range(len(mine))) and [x.depth for x in mine] == sorted(x.depth for x in mine)
+    dataset.write(dataset.tables(r, "run2", "g"), path, "run2")
+    dataset.read(spark, path, "states").where("run_id = 'run2' AND depth = 2").drop("run_id").write.mode("append").parquet(f"{path}/states/run_id=run2")
+    assert {x.error for x in dataset.verify(spark, path).collect()} == {"DUPLICATE_STATE", "DATASET_COUNTS", "PARQUET_MANIFEST_MISMATCH"}
+    with pytest.raises(ValueError, match="RUN_ID_PATH"):
+        dataset.tables(r, "../x", "g")
+
+
+def four_lanes(state, seed, domain):
+    """The four-lane hash of some bytes, word by word."""
+    raw = hashlib.shake_256(domain + b"\0" + len(state).to_bytes(4, "little") + seed).digest(1 << 14)
+    words = (w for w in (int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)) if w < 4294967291)
+    a = [[next(words) for _ in range(4)] for _ in state]
+    return [(b + sum(x * row[j] for x, row in zip(state, a, strict=True))) % 4294967291 for j, b in enumerate([next(words) for _ in range(4)])]
+
+
+def test_four_lane_hash_passes_over_large_words(spark):
+    # words from the prime on are rare, so a small prime shows that they are passed over and not reduced
+    from layerwise.functions import states as S
+
+    a, b = S.hash_terms(16, bytes(16), b"domain")
+    assert len(a) == 16 and len(b) == 4 and all(w < S.PRIME for row in [*a, b] for w in row)
+    for state in (bytes(16), bytes(range(16)), bytes([255] * 16)):
+        df = spark.createDataFrame([(list(state),)], "state array<bigint>")
+        got = df.select(*S.modular_hash("state", 16, b"0123456789abcdef", b"another")).first()
+        assert list(got) == four_lanes(state, b"0123456789abcdef", b"another")
+
+
+def test_tail_and_parts(spark, tmp_path):
+    r, folder = Q.layers(spark, Fam.coxeter(3), lane="array"), str(tmp_path / "tail")
+    rows = r.layer(1).selectExpr("unhex(array_join(transform(state, x -> lpad(hex(x), 2, '0')), '')) AS state")
+    with pytest.raises(ValueError, match="TAIL_DEPTH"):
+        tails.commit_layer(rows, folder, 1, 2, 3, 0.0)
+    tails.commit_layer(rows, folder, 0, 2, 3, 0.0)
+    for k in (0, 1):
+        spark.createDataFrame([(0, bytes([k, 1, 2]))], "ordinal long, state binary").write.parquet(str(tmp_path / f"part{k}"))
+    parts = [(str(tmp_path / f"part{k}"), 1) for k in (0, 1)]
+    with pytest.raises(ValueError, match="TAIL_COUNT"):
+        tails.adopt_parts(spark, [parts[0], (parts[1][0], 2)], folder, 1, 3, 0.0)
+    assert (tmp_path / "part0").exists()  # nothing moves before all is checked
+    tails.adopt_parts(spark, parts, folder, 1, 3, 0.0)
+    got = sorted((x.depth, x.ordinal, bytes(x.state)) for x in tails.read_layers(spark, folder).collect())
+    assert got == [(0, 0, b"\0\2\1"), (0, 1, b"\1\0\2"), (1, 0, b"\0\1\2"), (1, 1, b"\1\1\2")]
 
 
 def test_partitioned_states_and_retention(spark, tmp_path):
@@ -46,6 +94,10 @@ def test_archive(spark, tmp_path):
         with pytest.raises(archive.ArchiveError, match=code):
             archive.decode(bad)
     assert archive.decode(raw[:-100], whole=False)[1] == list(enumerate(layers))
+    sampled = archive.encode([x[:1] for x in layers], 2, b"c" * 32, b"LAYERAS2", last=[b"xy", b"zz"])
+    assert archive.decode(sampled)[1] == [(0, [b"ab"]), (1, [b"cd"]), (2, [b"xy", b"zz"])]
+    # a replacement that isn't committed leaves the layer as it was
+    assert archive.decode(sampled[: -112 - 112], whole=False)[1] == [(0, [b"ab"]), (1, [b"cd"]), (2, [b"gh"])]
 
 
 def test_ranks_and_ledgers(spark):
