@@ -19,8 +19,9 @@ MOST_ROWS = 16_000  # of a shard that one task holds; larger shards are compared
 INNER_ROWS = 512  # of the overlapping clusters in a shard that are searched in full for neighbours
 NEAREST, MARGIN = 3, 0.25  # clusters that a vector joins at most, each at most so much farther than the nearest; the audit counts what that costs
 DEGREE, POOL, ALPHA = 16, 48, 1.2  # of robust pruning
-BEAMS, QUERIES = (24, 96), 256
+BEAMS, QUERIES = (8, 32, 128), 256
 AUDITED = 128  # vectors of a shard whose links are counted in full; the beam must find them all
+STARTS = 4  # nearest medoids that a search starts from
 DENSE = 256  # links of an audited vector on average beyond which a search would visit most of the shard
 
 
@@ -33,10 +34,11 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
         of = (x @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, of, x)
+        order = np.argsort(of, kind="stable")
+        some, first = np.unique(of[order], return_index=True)
+        sums = np.add.reduceat(x[order], first)
         norms = np.linalg.norm(sums, axis=1)
-        c[norms > 1e-12] = sums[norms > 1e-12] / norms[norms > 1e-12, None]
+        c[some[norms > 1e-12]] = sums[norms > 1e-12] / norms[norms > 1e-12, None]
     return c
 
 
@@ -93,7 +95,7 @@ class Graph:
     """The flat graph of a shard: the union of its clusters' adjacency lists, both ways, and the clusters' medoids."""
 
     def __init__(self, x: np.ndarray) -> None:
-        self.x = x
+        self.x, self.near = x, x.astype(np.float32)
         n = len(x)
         k = max(1, -(-2 * n // INNER_ROWS))
         clusters = [np.arange(n)]
@@ -110,8 +112,13 @@ class Graph:
                     u, v = robust_pruned(x[some])
                     edges += [some[u] * n + some[v], some[v] * n + some[u]]
         both = np.unique(np.concatenate(edges))
-        self.start = np.searchsorted(both // n, np.arange(n + 1))
-        self.to = both % n
+        # the nearest of a vertex that very many others chose: hubs would make every search visit them all
+        u, v = both // n, both % n
+        near = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", self.near[u[i : i + (1 << 15)]], self.near[v[i : i + (1 << 15)]]) for i in range(0, len(u), 1 << 15))])
+        order = np.lexsort((-near, u))
+        u, v = u[order], v[order]
+        kept = np.arange(len(u)) - np.searchsorted(u, u) < 2 * DEGREE
+        self.start, self.to = np.searchsorted(u[kept], np.arange(n + 1)), v[kept]
         self.medoids = np.array(sorted(set(medoids)), np.int64)
 
     def around(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,40 +127,47 @@ class Graph:
         who = np.repeat(np.arange(len(nodes)), n)
         return who, self.to[np.repeat(self.start[nodes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
-    def found(self, queries: np.ndarray, beam: int) -> np.ndarray:
-        """Codes q * n + v of vectors v in range of queries q: greedy search from the medoids, keeping the ``beam`` best,
-        then expansion of all that are in range, for as long as that finds more."""
-        n, x = len(self.x), self.x
-        m = self.medoids[np.argsort(-(x[queries] @ x[self.medoids].T), axis=1, kind="stable")[:, :beam]]
-        seen = np.unique((queries[:, None] * n + m).ravel())
-        fresh, best = seen, None
-        while len(fresh):
-            q, v = fresh // n, fresh % n
-            who, to = self.around(v)
-            new = np.setdiff1d(np.unique(q[who] * n + to), seen, assume_unique=True)
-            seen = np.union1d(seen, new)
-            s = np.einsum("ij,ij->i", x[new // n], x[new % n]) if len(new) else np.zeros(0)
-            if best is None:
-                first = np.einsum("ij,ij->i", x[fresh // n], x[fresh % n])
-                new, s = np.concatenate([fresh, new]), np.concatenate([first, s])
-                best = np.full(n, -np.inf)
-                known = fresh
-            else:
-                known = np.zeros(0, np.int64)
-            # a query's bar is its beam-th best so far; what is in range always passes
-            order = np.lexsort((-s, new // n))
-            rank = np.arange(len(order)) - np.searchsorted((new // n)[order], (new // n)[order])
-            passed = np.zeros(len(new), bool)
-            passed[order] = rank < beam
-            keep = (s >= LEAST_COSINE - 0.01) | (passed & (s > best[new // n]))
-            top = order[rank == 0]
-            better = s[top] > best[new[top] // n] + 1e-12
-            still = np.zeros(n, bool)
-            still[new[top] // n] = better
-            fresh_next = new[keep & (still[new // n] | (s >= LEAST_COSINE - 0.01))]
-            best[new[top] // n] = np.maximum(best[new[top] // n], s[top])
-            fresh = np.setdiff1d(np.unique(fresh_next), known, assume_unique=True)
-        return seen
+    def found(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of the links found, verified: greedy search from the nearest medoids, which expands the ``beam``
+        best so far until none of them is new, and everything in range as well."""
+        n, near, k = len(self.x), self.near, len(queries)
+        seen, stamp = np.zeros(k * n, bool), np.empty(k * n, np.int32)
+        m = np.argsort(-(near[queries] @ near[self.medoids].T), axis=1, kind="stable")[:, :STARTS]
+        q, v = np.repeat(np.arange(k), m.shape[1]), self.medoids[m].ravel()
+        seen[q * n + v] = True
+        s = np.einsum("ij,ij->i", near[queries[q]], near[v])
+        best_q, best_v, best_s, opened = q[:0], v[:0], s[:0], np.zeros(0, bool)
+        out = [np.zeros(0, np.int64)]
+        while True:
+            hit = s >= LEAST_COSINE - 1e-4  # single precision, to be verified
+            out.append(q[hit] * n + v[hit])
+            best_q, best_v, best_s = np.concatenate([best_q, q]), np.concatenate([best_v, v]), np.concatenate([best_s, s])
+            opened = np.concatenate([opened, np.zeros(len(q), bool)])
+            order = np.lexsort((-best_s, best_q))
+            best_q, best_v, best_s, opened = best_q[order], best_v[order], best_s[order], opened[order]
+            rank = np.arange(len(best_q)) - np.searchsorted(best_q, best_q)
+            keep = (rank < beam) | (~opened & (best_s >= LEAST_COSINE - 1e-4))
+            best_q, best_v, best_s, opened = best_q[keep], best_v[keep], best_s[keep], opened[keep]
+            if opened.all():
+                break
+            at, to = self.around(best_v[~opened])
+            code = best_q[~opened][at] * n + to
+            opened[:] = True
+            code = code[~seen[code]]
+            stamp[code] = np.arange(len(code), dtype=np.int32)  # of equal codes the last one stays
+            code = code[stamp[code] == np.arange(len(code))]
+            seen[code] = True
+            q, v = code // n, code % n
+            s = np.empty(len(code), np.float32)
+            for i in range(0, len(code), 1 << 15):
+                s[i : i + (1 << 15)] = np.einsum("ij,ij->i", near[queries[q[i : i + (1 << 15)]]], near[v[i : i + (1 << 15)]])
+        code = np.concatenate(out)
+        a, b = queries[code // n], code % n
+        fine = a != b
+        a, b = a[fine], b[fine]
+        right = [np.einsum("ij,ij->i", self.x[a[i : i + (1 << 15)]], self.x[b[i : i + (1 << 15)]]) >= LEAST_COSINE for i in range(0, len(a), 1 << 15)]
+        right = np.concatenate([np.zeros(0, bool), *right])
+        return a[right], b[right]
 
     def beam(self, queries: np.ndarray) -> int | None:
         """The beam that finds all links of AUDITED vectors, half of them such as have a link among their neighbours; None if
@@ -170,9 +184,9 @@ class Graph:
         exact[np.arange(len(audit)), audit] = False
         if exact.sum() > DENSE * len(audit):
             return None
-        q, v = np.nonzero(exact)
         for beam in BEAMS:
-            if np.isin(audit[q] * n + v, self.found(audit, beam)).all():
+            a, _ = self.found(audit, beam)
+            if len(a) == exact.sum():
                 return beam
         return None
 
@@ -204,12 +218,9 @@ def linked(x: np.ndarray, node: np.ndarray, copies: np.ndarray, query: np.ndarra
     beam = graph.beam(queries) if graph else None
     if beam:
         for i in range(0, len(queries), QUERIES):
-            found = graph.found(queries[i : i + QUERIES], beam)
-            for at in range(0, len(found), 1 << 18):
-                a, b = found[at : at + (1 << 18)] // n, found[at : at + (1 << 18)] % n
-                fine = (a != b) & (np.einsum("ij,ij->i", x[a], x[b]) >= LEAST_COSINE)
-                np.add.at(counts, a[fine], copies[b[fine]])
-                forest.join(a[fine], b[fine])
+            a, b = graph.found(queries[i : i + QUERIES], beam)
+            np.add.at(counts, a, copies[b])
+            forest.join(a, b)
         return counts, forest.root(np.arange(n))
     y, own = x[targets], copies[targets]
     for i in range(0, len(queries), 128):
