@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids, in independent checksummed blocks.
 
-A block holds whole documents. Its ids are cut into up to 8,192 equal lanes that are coded in step, so that each
+A block holds whole documents. Its ids are cut into up to 16,384 equal lanes that are coded in step, so that each
 NumPy operation codes one id of every lane; all lanes share one model, which starts empty in each block and predicts
 an id by three orders:
 
@@ -12,9 +12,9 @@ Orders 0 and 1 are mixed into one distribution for each id before: a share e of
 of like counts, and 1 - e of order 1. The order-2 id gets a share of its own, learned for each pair of its reliability
 and the context's count, and the mixed distribution the rest. So an id costs a binary decision for order 2, if that
 misses one step more, and two where order 1 hasn't seen it: then order 0 codes it among the ids that order 1 hasn't
-seen. Frequencies are renewed after 1, 2, 3, .. and then after each half more of the steps, shares after each step.
-Integer arithmetic only, so coder and decoder agree on every machine. Each lane is a carry-propagating range coder:
-48-bit low, 16-bit words. What misses is looked up in the order of its keys, which is faster than in that of the lanes.
+seen. Frequencies are renewed after 1, 2, 4, .. steps, shares after every fourth, from what that step coded. Integer arithmetic only, so coder and decoder agree on every machine. Each lane is a
+carry-propagating range coder: 48-bit low, 16-bit words. What misses is looked up in the order of its keys, which is
+faster than in that of the lanes.
 
 Frame: b"LWRC", version, reserved (u16 each); documents, ids, lanes (u32 each); first offset (u64); CRC-32 of all
 that follows (u32). Then document ids (i64), null flags (u8), lengths (u32), words of each lane (u32), lane words (u16).
@@ -29,13 +29,14 @@ import numpy as np
 
 HEAD = struct.Struct("<4sHHIIIQI")
 MAGIC, VERSION = b"LWRC", 2
-LANES, STEPS_LEAST = 8192, 128
+LANES, STEPS_LEAST = 16384, 128
 SHARE_BITS, ONE_BITS, ZERO_BITS, HASH_BITS, IDS = 12, 20, 22, 20, 65536
 TOP, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-S16, S32, SSHARE = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS)
-SURE = 7  # most reliable; an entry at 0 takes the new id at a miss
-UP, DOWN = np.minimum(np.arange(8) + 1, SURE).astype(np.uint8), (np.arange(8) // 3).astype(np.uint8)
+S16, S32, SSHARE, SONE = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS), np.uint64(ONE_BITS)
+#: reliabilities, times 32, after a miss and after a hit; an entry at 0 takes the new id at a miss
+AFTER = np.array([[k // 3 * 32 for k in range(8)], [min(k + 1, 7) * 32 for k in range(8)]], np.uint8)
 SPAN = 23  # bits between the order-0 places of two contexts
+WORDS = 4  # that a lane may put out in a step, at most
 
 
 class _Model:
@@ -55,7 +56,8 @@ class _Model:
         self.share = (1 + self.outcomes[:, 0] * ((1 << SHARE_BITS) - 2) // self.outcomes[:, 1]).astype(np.uint64)
 
     def _renew(self) -> None:
-        """All frequencies, from the pairs of ids since the last time."""
+        """All frequencies, from the pairs of ids since the last time. The mixed frequencies of a context, that of what
+        order 1 hasn't seen included, have the sum 2**ONE_BITS."""
         if self.fresh:
             pairs, n = np.unique(np.concatenate(self.fresh), return_counts=True)
             self.fresh = []
@@ -71,46 +73,56 @@ class _Model:
             self.keys = np.insert(self.keys, at[~known], pairs[~known])
             self.counts = np.insert(self.counts, at[~known], n[~known])
         f0 = 1 + self.zero * ((1 << ZERO_BITS) - IDS) // max(1, int(self.zero.sum()))
-        self.f0, self.c0 = f0, np.cumsum(f0) - f0
-        self.whole0 = int(f0.sum())
+        c0 = np.cumsum(f0) - f0
         context, ids = (self.keys >> 16).astype(np.int64), (self.keys & 0xFFFF).astype(np.int64)
         distinct = np.bincount(context, minlength=IDS)
         total = np.bincount(context, self.counts, IDS).astype(np.int64)
-        self.start = np.concatenate([[0], np.cumsum(distinct)])
+        start = np.concatenate([[0], np.cumsum(distinct)])
         log = np.frexp(total.astype(float))[1]
         self.log = log.astype(np.uint8)
         self.bucket = log * 32 + np.frexp(distinct.astype(float))[1]
         e = (1 + self.novel[:, 0] * ((1 << SHARE_BITS) - 2) // self.novel[:, 1])[self.bucket]
+        # of each context's sum one goes to each id it has seen and one to all others; the rest is shared out
+        room = ((1 << ONE_BITS) - distinct - 1)[context]
+        own = e[context]
         of0 = f0[ids]
-        self.f1 = ((((1 << SHARE_BITS) - e[context]) * self.counts << ONE_BITS - SHARE_BITS) // total[context]) + (e[context] * of0 >> SHARE_BITS + ZERO_BITS - ONE_BITS) + 1
-        self.c1 = np.concatenate([[0], np.cumsum(self.f1)])  # of all contexts in a row
-        self.sum0 = np.concatenate([[0], np.cumsum(of0)])
-        self.seen1 = self.c1[self.start[1:]] - self.c1[self.start[:-1]]
-        self.left0 = self.whole0 - (self.sum0[self.start[1:]] - self.sum0[self.start[:-1]])
-        self.all1 = self.seen1 + np.maximum(1, e * self.left0 >> SHARE_BITS + ZERO_BITS - ONE_BITS)
-        self.place0 = (context << SPAN) + self.c0[ids] - (self.sum0[:-1] - self.sum0[self.start[context]])
-        self.f1, self.guarded = np.append(self.f1, 0), np.append(self.keys, np.uint32(0xFFFFFFFF))
+        f1 = 1 + (((1 << SHARE_BITS) - own) * self.counts * room // total[context] + (own * of0 * room >> ZERO_BITS) >> SHARE_BITS)
+        sums = np.concatenate([[0], np.cumsum(f1)])
+        first = sums[:-1] - sums[start[context]]
+        sum0 = np.concatenate([[0], np.cumsum(of0)])
+        seen = sums[start[1:]] - sums[start[:-1]]
+        self.start, self.sum0 = start, sum0
+        self.f0, self.c0 = f0.astype(np.uint64), c0
+        self.f1, self.first1 = np.append(f1, 0).astype(np.uint64), np.append(first, 0).astype(np.uint64)
+        self.seen1, self.rest1 = seen.astype(np.uint64), ((1 << ONE_BITS) - seen).astype(np.uint64)
+        self.left0 = (int(f0.sum()) - (sum0[start[1:]] - sum0[start[:-1]])).astype(np.uint64)
+        self.place1 = (context << ONE_BITS) + first
+        self.place0 = (context << SPAN) + c0[ids] - (sum0[:-1] - sum0[start[context]])
+        self.guarded = np.append(self.keys, np.uint32(0xFFFFFFFF))
 
     def predict(self, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """The order-2 id's share of 2**SHARE_BITS."""
         self.p1 = p1
-        self.i2 = ((p2 * np.uint32(2654435761)) ^ (p1 * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
-        self.a, self.k = self.id2[self.i2], self.ok2[self.i2]
-        self.ctx = self.k * np.intp(32) + self.log[p1]
-        return self.share[self.ctx]
+        self.i2 = (((p2 * np.uint32(2654435761)) ^ (p1 * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+        self.a, self.k = self.id2.take(self.i2), self.ok2.take(self.i2)
+        self.ctx = self.k + self.log.take(p1)
+        return self.share.take(self.ctx)
 
     def see(self, x: np.ndarray, hit: np.ndarray) -> None:
-        k = self.k
-        self.id2[self.i2] = np.where(hit | (k > 0), self.a, x)
-        self.ok2[self.i2] = np.where(hit, UP[k], DOWN[k])
-        self.outcomes[:, 1] += np.bincount(self.ctx, minlength=len(self.outcomes))
-        self.outcomes[:, 0] += np.bincount(self.ctx[hit], minlength=len(self.outcomes))
-        self._shares()
+        new = np.flatnonzero(~hit & (self.k == 0))
+        self.id2[self.i2.take(new)] = x.take(new)
+        then = AFTER.ravel().take((self.k >> np.uint8(5)) + (hit.view(np.uint8) << np.uint8(3)))
+        moved = np.flatnonzero(then != self.k)
+        self.ok2[self.i2.take(moved)] = then.take(moved)
         self.fresh.append(self.p1 << np.uint32(16) | x)
         self.step += 1
+        if self.step & 3 == 1:
+            self.outcomes[:, 1] += np.bincount(self.ctx, minlength=len(self.outcomes))
+            self.outcomes[:, 0] += np.bincount(self.ctx[hit], minlength=len(self.outcomes))
+            self._shares()
         if self.step == self.due:
             self._renew()
-            self.due = self.step + max(1, self.step // 2)
+            self.due = 2 * self.step
 
 
 def _lanes(n: int) -> np.ndarray:
@@ -126,22 +138,25 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid = np.zeros((lanes, steps), np.uint16)
     grid[np.arange(steps) < per[:, None]] = ids
     grid = np.ascontiguousarray(grid.T)
-    wide = 4 * steps + 4
-    out = np.zeros(lanes * wide, np.int32)
-    at = np.arange(lanes) * wide
+    wide = steps + 16 * WORDS + 8  # grows if a lane needs more
+    out = np.zeros((lanes, wide), np.int32)
+    at = np.zeros(lanes, np.int64)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    model = _Model()
+    model, whole = _Model(), np.uint64(1 << SHARE_BITS)
 
     def shed(who: np.ndarray) -> None:
         while who.size:
-            out[at[who]] = low[who] >> S32
+            mine = low.take(who)
+            out[who, at.take(who)] = mine >> S32
             at[who] += 1
-            low[who] = (low[who] & LOW32) << S16
-            size[who] <<= S16
-            who = who[size[who] < TOP]
+            low[who] = (mine & LOW32) << S16
+            size[who] = now = size.take(who) << S16
+            who = who[now < TOP]
 
     for t in range(steps):
+        if t & 15 == 0 and int(at.max()) + 16 * WORDS + 8 > out.shape[1]:
+            out = np.concatenate([out, np.zeros((lanes, wide), np.int32)], 1)
         x, n = grid[t], lanes
         if t == steps - 1 and per[-1] < steps:
             n = int((per == steps).sum())
@@ -149,39 +164,40 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = model.predict(p2, p1)
         hit = x == model.a
         r = size[:n] >> SSHARE
-        low[:n] += np.where(hit, np.uint64(0), r * share)
-        size[:n] = r * np.where(hit, share, np.uint64(1 << SHARE_BITS) - share)
-        shed(np.flatnonzero(size[:n] < TOP))
+        edge = r * share
+        low[:n] += np.where(hit, np.uint64(0), edge)
+        size[:n] = now = np.where(hit, edge, r * whole - edge)
+        shed(np.flatnonzero(now < TOP))
         who = np.flatnonzero(~hit)
         if who.size:
-            key = p1[who] << np.uint32(16) | x[who]
-            order = np.argsort(key)
-            who, key = who[order], key[order]
-            c, y = p1[who], x[who]
+            key = p1.take(who) << np.uint32(16) | x.take(who)
+            order = key.argsort()
+            who, key = who.take(order), key.take(order)
             j = np.searchsorted(model.keys, key)
-            fresh = model.guarded[j] != key
-            first = np.where(fresh, model.seen1[c], model.c1[j] - model.c1[model.start[c]])
-            f = np.where(fresh, model.all1[c] - model.seen1[c], model.f1[j])
-            r = size[who] // model.all1[c].astype(np.uint64)
-            low[who] += r * first.astype(np.uint64)
-            size[who] = now = r * f.astype(np.uint64)
+            first, f = model.first1.take(j), model.f1.take(j)
+            fresh = np.flatnonzero(model.guarded.take(j) != key)
+            if fresh.size:
+                c = key.take(fresh) >> np.uint32(16)
+                first[fresh], f[fresh] = model.seen1.take(c), model.rest1.take(c)
+            r = size.take(who) >> SONE
+            low[who] += r * first
+            size[who] = now = r * f
             shed(who[now < TOP])
-            if fresh.any():
-                c, y, j, who = c[fresh], y[fresh], j[fresh], who[fresh]
-                r = size[who] // model.left0[c].astype(np.uint64)
-                low[who] += r * (model.c0[y] - (model.sum0[j] - model.sum0[model.start[c]])).astype(np.uint64)
-                size[who] = now = r * model.f0[y].astype(np.uint64)
+            if fresh.size:
+                y, who = (key.take(fresh) & np.uint32(0xFFFF)).astype(np.intp), who.take(fresh)
+                r = size.take(who) // model.left0.take(c)
+                low[who] += r * (model.c0.take(y) - (model.sum0.take(j.take(fresh)) - model.sum0.take(model.start.take(c)))).astype(np.uint64)
+                size[who] = now = r * model.f0.take(y)
                 shed(who[now < TOP])
         model.see(x, hit)
         p2, p1 = p1, x.astype(np.uint32)
     last = (low + np.uint64(0xFFFF)) >> S16  # any value of the final interval; size is 2**32 or more here
-    out[at], out[at + 1] = last >> S16, last & np.uint64(0xFFFF)
-    at += 2
-    words = at - np.arange(lanes) * wide
-    out = out.reshape(lanes, wide)
+    every = np.arange(lanes)
+    out[every, at], out[every, at + 1] = last >> S16, last & np.uint64(0xFFFF)
+    words = at + 2
     for p in range(int(words.max()) - 1, 0, -1):
         out[:, p - 1] += out[:, p] >> 16
-    return words, (out & 0xFFFF)[np.arange(wide) < words[:, None]].astype("<u2")
+    return words, (out & 0xFFFF)[np.arange(out.shape[1]) < words[:, None]].astype("<u2")
 
 
 def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -197,14 +213,15 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
     size = np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     grid = np.zeros((steps, lanes), np.uint16)
-    model = _Model()
+    model, whole = _Model(), np.uint64(1 << SHARE_BITS)
 
     def fill(who: np.ndarray) -> None:
         while who.size:
-            code[who] = (code[who] << S16) | code_words[at[who]]
-            at[who] += 1
-            size[who] <<= S16
-            who = who[size[who] < TOP]
+            place = at.take(who)
+            code[who] = (code.take(who) << S16) | code_words.take(place)
+            at[who] = place + 1
+            size[who] = now = size.take(who) << S16
+            who = who[now < TOP]
 
     for t in range(steps):
         n = lanes
@@ -216,35 +233,39 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
         edge = r * share
         hit = code[:n] < edge
         code[:n] -= np.where(hit, np.uint64(0), edge)
-        size[:n] = r * np.where(hit, share, np.uint64(1 << SHARE_BITS) - share)
-        fill(np.flatnonzero(size[:n] < TOP))
+        size[:n] = now = np.where(hit, edge, r * whole - edge)
+        fill(np.flatnonzero(now < TOP))
         x = model.a.copy()
         who = np.flatnonzero(~hit)
         if who.size:
-            c = p1[who]
-            r = size[who] // model.all1[c].astype(np.uint64)
-            place = model.c1[model.start[c]] + (code[who] // r).astype(np.int64)
-            order = np.argsort(place)
-            who, c, r, place = who[order], c[order], r[order], place[order]
-            base = model.c1[model.start[c]]
-            fresh = place - base >= model.seen1[c]
-            j = np.searchsorted(model.c1, place, "right") - 1
-            x[who] = model.guarded[j] & np.uint32(0xFFFF)
-            first = np.where(fresh, model.seen1[c], model.c1[j] - base)
-            f = np.where(fresh, model.all1[c] - model.seen1[c], model.f1[j])
-            code[who] -= r * first.astype(np.uint64)
-            size[who] = now = r * f.astype(np.uint64)
+            c = p1.take(who).astype(np.int64)
+            r = size.take(who) >> SONE
+            v = (code.take(who) // r).astype(np.int64)
+            place = (c << ONE_BITS) + v
+            order = place.argsort()
+            who, place, r, v = who.take(order), place.take(order), r.take(order), v.take(order)
+            c = place >> ONE_BITS
+            j = np.searchsorted(model.place1, place, "right") - 1
+            seen = model.seen1.take(c)
+            first, f = model.first1.take(j), model.f1.take(j)
+            fresh = np.flatnonzero(v.view(np.uint64) >= seen)
+            if fresh.size:
+                d = c.take(fresh)
+                first[fresh], f[fresh] = seen.take(fresh), model.rest1.take(d)
+            x[who] = model.guarded.take(j) & np.uint32(0xFFFF)
+            code[who] -= r * first
+            size[who] = now = r * f
             fill(who[now < TOP])
-            if fresh.any():
-                c, who = c[fresh], who[fresh]
-                r = size[who] // model.left0[c].astype(np.uint64)
-                v = (code[who] // r).astype(np.int64)
-                j = np.searchsorted(model.place0, (c.astype(np.int64) << SPAN) + v, "right")
-                before = model.sum0[j] - model.sum0[model.start[c]]
+            if fresh.size:
+                who = who.take(fresh)
+                r = size.take(who) // model.left0.take(d)
+                v = (code.take(who) // r).astype(np.int64)
+                j = np.searchsorted(model.place0, (d << SPAN) + v, "right")
+                before = model.sum0.take(j) - model.sum0.take(model.start.take(d))
                 y = np.searchsorted(model.c0, v + before, "right") - 1
                 x[who] = y
-                code[who] -= r * (model.c0[y] - before).astype(np.uint64)
-                size[who] = now = r * model.f0[y].astype(np.uint64)
+                code[who] -= r * (model.c0.take(y) - before).astype(np.uint64)
+                size[who] = now = r * model.f0.take(y)
                 fill(who[now < TOP])
         model.see(x, hit)
         grid[t, :n] = x

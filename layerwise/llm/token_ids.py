@@ -20,10 +20,11 @@ from . import common
 from .range_coder import read_block, write_block
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-BLOCK_IDS = 1 << 21  # a block closes when it holds so many ids; no document is split
+BLOCK_IDS = 1 << 22  # a block closes when it holds so many ids; no document is split
 SLOTS = 1 << 22  # pieces that a worker's table has room for; it starts afresh at half of them
 BYTES = 1 << 19  # of text that are tokenized at once
 POOL = 1 << 24  # ids that a worker's table remembers at most; longer pieces take room each time
+RECENT = 1 << 15  # rows that are looked up first
 SHORT = 16  # bytes of a piece that the table holds
 MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a little-endian word
 TEXTS = 512  # documents that are handed over at once
@@ -57,8 +58,9 @@ class _Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.head, self.tail, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8)
-        self.span = np.zeros((SLOTS, 2), np.int32)
+        # a row for each slot: the piece's first and second eight bytes, its length, and where its ids are
+        self.table = np.zeros((SLOTS, 4), np.uint64)
+        self.recent = np.zeros((RECENT, 4), np.uint64)  # the last rows seen, by other bits of the hash: it stays in the cache
         self.pool, self.used, self.held = np.zeros(1 << 20, np.uint16), 0, 0
 
     def one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +75,9 @@ class _Encoder:
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) and cuts[-1] == len(ids) else self.one(words)
 
     def learn(self, pieces: list[str]) -> np.ndarray:
-        """Places (start, length) in the pool of the ids of new pieces."""
+        """Places in the pool of the ids of new pieces: start * 2^32 + length."""
         plain = np.array([self.ends is not None and p.isalpha() and (p.isascii() or max(p) < "\u0100") for p in pieces], bool)
-        spans = np.empty((len(pieces), 2), np.int32)
+        spans = np.empty(len(pieces), np.uint64)
         for kind, encode in ((plain, self.words), (~plain, self.one)):
             if not kind.any():
                 continue
@@ -83,34 +85,34 @@ class _Encoder:
             if self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint16)])
             self.pool[self.used : self.used + len(flat)] = flat
-            spans[kind] = np.stack([self.used + np.cumsum(n) - n, n], 1)
+            spans[kind] = (self.used + np.cumsum(n) - n << 32) + n
             self.used += len(flat)
         return spans
 
-    def slots(self, hashed: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, known) of each piece: where it is, or the first free slot of its chain."""
+    def slots(self, hashed: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, its row, known) of each piece: where it is, or the first free slot of its chain."""
         slot = (hashed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        there = self.size[slot]
-        known = (there == size) & (self.head[slot] == head) & (self.tail[slot] == tail)
-        left = np.flatnonzero(~known & (there != 0))
+        rows = self.table.take(slot, 0)
+        known = (rows[:, 0] == piece[0]) & (rows[:, 1] == piece[1]) & (rows[:, 2] == piece[2])
+        left = np.flatnonzero(~known & (rows[:, 2] != 0))
         while len(left):
             slot[left] = at = (slot[left] + 1) & (SLOTS - 1)
-            there = self.size[at]
-            same = (there == size[left]) & (self.head[at] == head[left]) & (self.tail[at] == tail[left])
+            rows[left] = there = self.table[at]
+            same = (there[:, 0] == piece[0][left]) & (there[:, 1] == piece[1][left]) & (there[:, 2] == piece[2][left])
             known[left[same]] = True
-            left = left[~same & (there != 0)]
-        return slot, known
+            left = left[~same & (there[:, 2] != 0)]
+        return slot, rows, known
 
-    def insert(self, hashed: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, spans: np.ndarray) -> None:
+    def insert(self, hashed: np.ndarray, piece: np.ndarray, spans: np.ndarray) -> None:
         """Distinct new pieces; those that meet in a free slot take turns."""
-        left = np.arange(len(size))
+        left = np.arange(piece.shape[1])
         while len(left):
-            slot, _ = self.slots(hashed[left], head[left], tail[left], size[left])
+            slot, _, _ = self.slots(hashed[left], piece[:, left])
             _, first = np.unique(slot, return_index=True)
             slot, some = slot[first], left[first]
-            self.head[slot], self.tail[slot], self.size[slot], self.span[slot] = head[some], tail[some], size[some], spans[some]
+            self.table[slot, :3], self.table[slot, 3] = piece[:, some].T, spans[some]
             left = np.delete(left, first)
-        self.held += len(size)
+        self.held += piece.shape[1]
 
     def cut(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of the pieces of lower-cased bytes."""
@@ -160,32 +162,40 @@ class _Encoder:
             self.reset()
         length = stop - start
         words = np.ndarray((len(joined) + 9,), "<u8", joined + bytes(SHORT), 0, (1,))  # the eight bytes from each place
-        head, tail = words[start] & MASK[np.minimum(length, 8)], np.zeros(len(start), np.uint64)
+        piece = np.zeros((3, len(start)), np.uint64)
+        piece[0], piece[2] = words[start] & MASK[np.minimum(length, 8)], length
         more = np.flatnonzero(length > 8)
-        tail[more] = words[start[more] + 8] & MASK[np.minimum(length[more] - 8, 8)]
-        size = np.minimum(length, 255).astype(np.uint8)
-        hashed = (head ^ tail * np.uint64(0xC2B2AE3D27D4EB4F) ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        piece[1, more] = words[start[more] + 8] & MASK[np.minimum(length[more] - 8, 8)]
+        hashed = (piece[0] ^ piece[1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ piece[2]) * np.uint64(0x9E3779B97F4A7C15)
         hashed ^= hashed >> np.uint64(32)
         hashed *= np.uint64(0xD6E8FEB86659FD93)
-        slot, known = self.slots(hashed, head, tail, size)
-        spans = self.span[slot]
+        place = (hashed & np.uint64(RECENT - 1)).astype(np.int64)
+        rows = self.recent.take(place, 0)
+        known = (rows[:, 0] == piece[0]) & (rows[:, 1] == piece[1]) & (rows[:, 2] == piece[2])
+        old = np.flatnonzero(~known)
+        _, rows[old], known[old] = self.slots(hashed[old], piece[:, old])
+        old = old[known[old]]
+        self.recent[place[old]] = rows[old]
+        spans = rows[:, 3]
         long = length > SHORT
         new = np.flatnonzero(~known & ~long)
         if len(new):
             _, first, back = np.unique(hashed[new], return_index=True, return_inverse=True)
             at = new[first]
-            if not all((x[at][back] == x[new]).all() for x in (head, tail, size)):  # two pieces of one hash: too rare to be clever about
+            if not (piece[:, at][:, back] == piece[:, new]).all():  # two pieces of one hash: too rare to be clever about
                 at, back = new, np.arange(len(new))
             found = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
             spans[new] = found[back]
             if len(at) == len(first):
-                self.insert(hashed[at], head[at], tail[at], size[at], found)
+                self.insert(hashed[at], piece[:, at], found)
         if long.any():
             at = np.flatnonzero(long)
             spans[at] = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
-        n = spans[:, 1].astype(np.int64)
-        total = np.cumsum(n)
-        flat = self.pool[np.repeat(spans[:, 0] - (total - n), n) + np.arange(int(n.sum()))]
+        n = (spans & np.uint64(0xFFFFFFFF)).astype(np.int32)  # the pool and a batch have fewer than 2^31 ids
+        total = np.cumsum(n, dtype=np.int32)
+        where = np.repeat((spans >> np.uint64(32)).astype(np.int32) - (total - n), n)
+        where += np.arange(len(where), dtype=np.int32)
+        flat = self.pool.take(where)
         ends = np.cumsum([len(texts[i]) + 1 for i in some])
         upto = np.concatenate([[0], total])[np.searchsorted(start, ends)]
         for i, a, b in zip(some, [0, *upto[:-1].tolist()], upto.tolist(), strict=True):
