@@ -152,7 +152,10 @@ def links(distinct: DataFrame) -> DataFrame:
     # the 48 bits that are left, in order from the block above, cut into four of 12
     rest = F.expr("(shiftrightunsigned(fp, (rotation + 1) * 16 % 64) | shiftleft(fp, (64 - (rotation + 1) * 16 % 64) % 64)) & 281474976710655")
     deep = F.when(F.col("count") > DEEP, F.array(*[F.shiftrightunsigned(rest, 12 * i).bitwiseAND(4095) + 4096 * (i + 1) for i in range(4)])).otherwise(F.array(F.lit(0).cast("long")))
-    return under.select("fp", "rotation", "pattern", F.explode(deep).alias("deep")).groupBy("rotation", "pattern", "deep").applyInArrow(_links, "a long, b long")
+    dealt = under.select("fp", "rotation", "pattern", F.explode(deep).alias("deep"))
+    spark = distinct.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # small rows, much work: not to be coalesced
+    return dealt.repartition(parts, "rotation", "pattern", "deep").groupBy("rotation", "pattern", "deep").applyInArrow(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
