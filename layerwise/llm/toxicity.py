@@ -21,6 +21,7 @@ from . import common
 SAMPLE = 12_000  # labelled documents that the model is fitted on at most
 LEAST_DOCS, PAIR_DOCS = 3, 8  # of the sample, that a term and a tested pair must be in
 PREFIX = 4  # bytes of a longer word's prefix, a term as well, so that rare inflected forms share weight
+HEAD = np.uint32(1 << 31)  # the bit of a prefix's hash
 SCREEN = 4.0  # standard errors that a term's share of toxic documents must differ from the sample's
 FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 18, 256, 0.15, 1e-3
 THRESHOLD = 0.7
@@ -34,8 +35,9 @@ def terms(text: str | None) -> np.ndarray:
     occur again, and the first PREFIX bytes of longer words."""
     found = Counter(_TERM.findall((text or "").encode("utf-8", "surrogatepass").lower()))
     again = [x + b"+" for x, n in found.items() if n > 1]
-    heads = {x[:PREFIX] + b"*" for x in found if len(x) > PREFIX}
-    return np.unique(np.fromiter(map(zlib.crc32, chain(found, again, heads)), np.uint32, len(found) + len(again) + len(heads)))
+    heads = {x[:PREFIX] for x in found if len(x) > PREFIX}
+    whole = np.fromiter(map(zlib.crc32, chain(found, again)), np.uint32, len(found) + len(again)) & ~HEAD
+    return np.unique(np.concatenate([whole, np.fromiter(map(zlib.crc32, heads), np.uint32, len(heads)) | HEAD]))
 
 
 @dataclass
@@ -85,30 +87,53 @@ def _paired(rows: list[np.ndarray], size: int, y: np.ndarray, p: np.ndarray) ->
     """Which of ``size`` terms are in a pair whose documents are toxic more or less often than the linear model's ``p``
     and both terms' own shares explain. All pairs in PAIR_DOCS documents are tested, by the Chernoff bound of a sum
     of unequal Bernoulli draws, so that one pair at most is expected by chance. One term's pairs stand in memory."""
+    # the most frequent terms first: a pair is met at its more frequent term, so a rare term has few pairs of its own
+    of_term = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=size)
+    by = np.argsort(-of_term, kind="stable")
+    place = np.empty(size, np.int64)
+    place[by] = np.arange(size)
+    rows = [np.sort(place[x]) for x in rows]
     flat = np.concatenate([np.zeros(0, np.int64), *rows])
-    docs = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[np.argsort(flat, kind="stable")]
-    ends = np.cumsum(np.bincount(flat, minlength=size))
-    own = np.bincount(flat, np.repeat(y, [len(x) for x in rows]), size) / np.maximum(np.bincount(flat, minlength=size), 1)
+    size_of = np.array([len(x) for x in rows], np.int64)
+    who = np.repeat(np.arange(len(rows)), size_of)
+    order = np.argsort(flat, kind="stable")
+    docs, behind = who[order], (np.arange(len(flat)) - np.repeat(np.cumsum(size_of) - size_of, size_of))[order] + 1
+    ends = np.cumsum(of_term[by])
+    own = np.bincount(flat, y[who], size) / np.maximum(of_term[by], 1)
     tested, found = 0, []
     for a, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        of = docs[start:end]
-        other, each = np.concatenate([np.zeros(0, np.int64), *(rows[j] for j in of)]), [len(rows[j]) for j in of]
-        n = np.bincount(other, minlength=size)
-        b = np.flatnonzero(n >= PAIR_DOCS)
-        b = b[b > a]
-        if not len(b):
-            continue
+        if end - start < PAIR_DOCS:
+            break
+        of, at = docs[start:end], behind[start:end]
+        other, each = np.concatenate([rows[j][k:] for j, k in zip(of.tolist(), at.tolist(), strict=True)]) - a, np.repeat(of, size_of[of] - at)
+        if len(other) < size // 8:  # few: those that aren't in PAIR_DOCS of the documents go first
+            in_order = np.sort(other)
+            runs = in_order[: max(0, len(other) - PAIR_DOCS + 1)]
+            often = np.unique(runs[runs == in_order[len(other) - len(runs) :]])
+            if not len(often):
+                continue
+            at = np.minimum(np.searchsorted(often, other), len(often) - 1)
+            hit = often[at] == other
+            other, each, b = at[hit], each[hit], often + a
+            n = np.bincount(other, minlength=len(often))
+            q, m = (np.bincount(other, v[each], len(often)) / n for v in (y, p))
+        else:
+            n = np.bincount(other, minlength=size - a)
+            b = np.flatnonzero(n >= PAIR_DOCS)
+            q, m = (np.bincount(other, v[each], size - a)[b] / n[b] for v in (y, p))
+            n, b = n[b], b + a
+            if not len(b):
+                continue
         tested += len(b)
-        q, m = (np.bincount(other, np.repeat(v[of], each), size)[b] / n[b] for v in (y, p))
         high, low = np.maximum(m, np.maximum(own[a], own[b])), np.minimum(m, np.minimum(own[a], own[b]))
         m = np.clip(np.where(q > high, high, np.where(q < low, low, q)), 1e-6, 1 - 1e-6)
-        bound = n[b] * (q * np.log(np.maximum(q, 1e-12) / m) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - m)))
+        bound = n * (q * np.log(np.maximum(q, 1e-12) / m) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - m)))
         fine = bound > np.log(max(tested, 2))  # the number so far, less than that of all: the last test is below
         found += [(a, j, x) for j, x in zip(b[fine].tolist(), bound[fine].tolist(), strict=True)]
     in_pair = np.zeros(size, bool)
     for a, b, bound in found:
         if bound > np.log(max(tested, 2)):
-            in_pair[[a, b]] = True
+            in_pair[by[[a, b]]] = True
     return in_pair
 
 
@@ -154,7 +179,9 @@ def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     weight, few = np.zeros(len(known)), _encoded(known[alone], found)
     weight[alone], _ = fitted(few, weight[alone], np.zeros((int(alone.sum()), 1)), third)
     p = _sigmoid(bias + np.array([weight[alone][x].sum() for x in few]))
-    stay = alone | _paired(rows, len(known), y, p)
+    often = np.flatnonzero((n_docs >= PAIR_DOCS) & (known < HEAD))  # a prefix is in too many pairs to say more than its words
+    stay = alone.copy()
+    stay[often] |= _paired(_encoded(known[often], found), len(often), y, p)
     known, weight = known[stay], weight[stay]
     if not len(known):
         return Machine(float(bias), known, weight, np.zeros((0, FACTORS)))
