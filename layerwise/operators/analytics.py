@@ -115,12 +115,14 @@ def walk_counts(edges: DataFrame, sources: DataFrame, length: int) -> DataFrame:
 
 
 def components(edges: DataFrame, vertices: DataFrame, lane: str = "auto") -> DataFrame:
-    """(vertex, component): the least vertex of each undirected component, by hooking to the least neighbour and jumping
+    """(vertex, component): the least vertex of each undirected component of the arcs among ``vertices``, by hooking to the least neighbour and jumping
     over parents; about log n rounds of two aggregations with map-side minima. Lanes as those of ``edge_distances``."""
     own, n = materialized(edges.select("src", "dst").distinct(), "arcs")
     if lane == "auto" and (g := driver_graph(own, n, vertices)) is not None:
         every = np.arange(len(g.vertices))
+        seen = np.isin(g.vertices, vertices.select("vertex").distinct().toArrow().column(0).to_numpy())
         low, a, b = every.copy(), np.repeat(every, np.diff(g.start)), g.to
+        a, b = a[inside := seen[a] & seen[b]], b[inside]
         while True:
             old = low.copy()
             np.minimum.at(low, low[a], low[b])
@@ -129,11 +131,8 @@ def components(edges: DataFrame, vertices: DataFrame, lane: str = "auto") -> Dat
                 low = up
             if (low == old).all():
                 break
-        seen = np.isin(g.vertices, vertices.select("vertex").distinct().toArrow().column(0).to_numpy())
         at = np.flatnonzero(seen)
-        first = np.full(len(every), len(every))
-        np.minimum.at(first, low[at], at)  # the least of the given vertices names the component
-        return vertex_frame(edges.sparkSession, g, at, vertices, "vertex", component=g.vertices[first[low[at]]]).withColumn("component", F.col("component").cast(vertices.schema["vertex"].dataType))
+        return vertex_frame(edges.sparkSession, g, at, vertices, "vertex", component=g.vertices[low[at]]).withColumn("component", F.col("component").cast(vertices.schema["vertex"].dataType))
     both = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     arcs, _ = materialized(both.where("src <> dst").distinct(), "arcs")
     cur, _ = materialized(vertices.select("vertex", F.col("vertex").alias("component")).distinct(), "labels")

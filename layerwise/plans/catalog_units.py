@@ -716,26 +716,24 @@ def _checks() -> dict[str, Pair]:
 
 
 def _ways(s: SparkSession, _: str) -> DataFrame:
-    spec = Fam.coxeter(5)
-    rank = S.lehmer_rank("state", 5)
+    spec = Fam.coxeter(4)
+    rank = S.lehmer_rank("state", 4)
     runs = [(w, 1, "none") for w in membership.WAYS] + [("anti", 3, "none"), ("aggregate", 2, "radix")]
     return _rows(s, [(w, b, d, n) for w, b, o in runs for d, n in enumerate(membership.layers_by(s, spec, w, b, rank, o))], "way string, batches int, depth int, states long")
 
 
 def _key_first(s: SparkSession, _: str) -> DataFrame:
-    a = membership.keyed_layers(s, Fam.coxeter(5), "rank").select(F.lit("rank").alias("key"), "*")
-    return a.unionByName(membership.keyed_layers(s, Fam.coxeter(5)).select(F.lit("lossless").alias("key"), "*"))
-
-
-_TARGETS = (1 * 10**12 + 3, 2 * 10**12 + 7, 4 * 10**12 + 7)
+    a = membership.keyed_layers(s, Fam.coxeter(4), "rank").select(F.lit("rank").alias("key"), "*")
+    return a.unionByName(membership.keyed_layers(s, Fam.coxeter(4)).select(F.lit("lossless").alias("key"), "*"))
 
 
 def _met(s: SparkSession, d: str) -> DataFrame:
-    e = _ordered(key_graph(s, d, 4).withColumn("move", F.col("dst").cast("string")))
-    rows = []
-    for t in _TARGETS:
+    g = key_graph(s, d, 3)
+    e, rows = _ordered(g.withColumn("move", F.col("dst").cast("string"))), []
+    near = Q.distances(g, _root(s), 2, undirected=True).where("depth > 0").groupBy("depth").agg(F.min("vertex").alias("v")).collect()
+    for t in sorted(x.v for x in near):
         r = B.bidirectional(e, 0, t)
-        rows.append((t, r["distance"], len(r["moves"]), int(r["moves"][-1]), r["expansion_trace"].count("forward") + r["expansion_trace"].count("reverse") <= r["distance"]))
+        rows.append((t, r["distance"], len(r["moves"]), int(r["moves"][-1]), len(r["expansion_trace"]) <= r["distance"]))
     return _rows(s, rows, "target long, distance int, moves int, last long, trace_fits boolean")
 
 
@@ -747,13 +745,13 @@ def _queued(s: SparkSession, _: str) -> DataFrame:
 
 
 def _onset(s: SparkSession, _: str) -> DataFrame:
-    e = Q.implicit_edges(s, Fam.coxeter(5))
-    return A.relation_onset(e, Q.labeled(e, ["0,1,2,3,4"]).rows.select(F.col("state").alias("vertex"), "depth"), 4)
+    e = Q.implicit_edges(s, Fam.coxeter(4))
+    return A.relation_onset(e, Q.labeled(e, ["0,1,2,3"]).rows.select(F.col("state").alias("vertex"), "depth"), 3)
 
 
 _ONSET = """, k AS (SELECT p.d, c.d AS own FROM (SELECT r.d, list_transform(g.p, lambda i: r.st[i + 1]) AS ch FROM r, g) p JOIN r c ON c.st = p.ch), n AS (SELECT d, count(*) AS n FROM r GROUP BY d),
 t AS (SELECT d, count(*) AS o, count(*) FILTER (own = d - 1) AS b, count(*) FILTER (own = d OR own < d - 1) AS v, count(*) FILTER (own = d + 1) AS f FROM k GROUP BY d)
-SELECT CAST(t.d + 1 AS INTEGER) AS depth, o AS occurrences, b AS parent_returns, v AS visited_nonparent, f AS candidate_occurrences, coalesce(n, 0) AS accepted, f - coalesce(n, 0) AS convergence_duplicates, CAST(4 * pow(3, t.d) AS BIGINT) AS nonbacktracking_words FROM t LEFT JOIN n ON n.d = t.d + 1"""
+SELECT CAST(t.d + 1 AS INTEGER) AS depth, o AS occurrences, b AS parent_returns, v AS visited_nonparent, f AS candidate_occurrences, coalesce(n, 0) AS accepted, f - coalesce(n, 0) AS convergence_duplicates, CAST(3 * pow(2, t.d) AS BIGINT) AS nonbacktracking_words FROM t LEFT JOIN n ON n.d = t.d + 1"""
 
 _CUBE6 = "SELECT i AS src, xor(i, 1 << CAST(b AS INTEGER)) AS dst FROM range(64) x(i), range(6) y(b)"
 _SPLIT = ", k AS (SELECT p.depth AS d, c.depth AS own FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst), n AS (SELECT depth AS d, count(*) AS n FROM r GROUP BY 1), t AS (SELECT d, count(*) AS g, count(*) FILTER (own <= d) AS old, count(*) FILTER (own = d + 1) AS f FROM k GROUP BY d) "
@@ -816,7 +814,7 @@ def _replayed(s: SparkSession, _: str) -> DataFrame:
 
 def _macros(s: SparkSession, _: str) -> DataFrame:
     spec = Fam.unitriangular(3, 3)
-    return _rows(s, [(k, d, n) for k in (1, 2, 3) for d, n in enumerate(M.weighted_layers(s, spec, k))], "macro_depth int, depth int, states long")
+    return _rows(s, [(k, d, n) for k in (1, 2) for d, n in enumerate(M.weighted_layers(s, spec, k))], "macro_depth int, depth int, states long")
 
 
 def _won(s: SparkSession, _: str) -> DataFrame:
@@ -886,16 +884,16 @@ def _searches() -> dict[str, Pair]:
     ways = ", ".join(f"('{w}', {b})" for w, b in [*((w, 1) for w in membership.WAYS), ("anti", 3), ("aggregate", 2)])
     stretch = lambda s, d: A.hop_stretch(_t(s, d, "orders").select(F.expr("o_orderkey % 9 + 1").alias("hops"), (F.expr("o_custkey % 50") / 16).alias("distance")), 0.5).select(F.round("mean_stretch", 9).alias("mean_stretch"), F.col("max_excess").cast("long").alias("max_excess"))
     return {
-        "jn3_jn4_jn5_jn6_so2_membership": (_ways, _of(s5, f"SELECT w AS way, CAST(b AS INTEGER) AS batches, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, (VALUES {ways}) t(w, b) GROUP BY ALL")),
-        "jn9_bf14_bf15_keys_first": (_key_first, _of(s5, "SELECT k AS key, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, (VALUES ('rank'), ('lossless')) t(k) GROUP BY ALL")),
-        "bf6_jn8_st6_meetings": (_met, keyed(4) + f"SELECT vertex AS target, CAST(depth AS INTEGER) AS distance, CAST(depth AS INTEGER) AS moves, vertex AS last, true AS trace_fits FROM r WHERE vertex IN {_TARGETS}"),
+        "jn3_jn4_jn5_jn6_so2_membership": (_ways, _of(Fam.coxeter(4), f"SELECT w AS way, CAST(b AS INTEGER) AS batches, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, (VALUES {ways}) t(w, b) GROUP BY ALL")),
+        "jn9_bf14_bf15_keys_first": (_key_first, _of(Fam.coxeter(4), "SELECT k AS key, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, (VALUES ('rank'), ('lossless')) t(k) GROUP BY ALL")),
+        "bf6_jn8_st6_meetings": (_met, keyed(3) + "SELECT min(vertex) AS target, CAST(depth AS INTEGER) AS distance, CAST(depth AS INTEGER) AS moves, min(vertex) AS last, true AS trace_fits FROM r WHERE depth BETWEEN 1 AND 2 GROUP BY depth"),
         "st1_keep_first": (
             lambda s, d: membership.keep_first(_t(s, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), ["l_partkey"], ["l_orderkey", "l_linenumber"]),
             "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS k FROM lineitem) WHERE k = 1",
         ),
         "st8_queues": (_queued, _values([("claim_before_enqueue", 201, 201, 0, 199, 201, 2), ("settle_on_dequeue", 10101, 201, 9900, 10000, 201, 2)], "rule string, enqueued long, expanded long, stale long, peak long, settled long, farthest long")),
         "ag2_summary": (lambda s, d: _rows(s, [(r.num_vertices(), r.diameter(), r.completed_depth) for r in [Q.layers(s, Fam.coxeter(6))]], "num_vertices long, diameter int, completed_depth int"), _of(Fam.coxeter(6), "SELECT count(*) AS num_vertices, CAST(max(d) AS INTEGER) AS diameter, CAST(max(d) AS INTEGER) AS completed_depth FROM r")),
-        "ag4_relation_onset": (_onset, _of(s5, _ONSET)),
+        "ag4_relation_onset": (_onset, _of(Fam.coxeter(4), _ONSET)),
         "ag6_duplicate_split": (_from_cube(A.duplicate_split), _graph(_CUBE6, "CAST(0 AS BIGINT)", _SPLIT + "SELECT CAST(t.d + 1 AS INTEGER) AS depth, m.n AS frontier_in, g AS generated, old AS old_visited_duplicates, f - coalesce(n.n, 0) AS same_layer_duplicates, old + f - coalesce(n.n, 0) AS duplicates_total, coalesce(n.n, 0) AS survivors, (old + f - coalesce(n.n, 0)) / g AS duplicate_fraction, coalesce(n.n, 0) / g AS survivor_fraction FROM t JOIN n m ON m.d = t.d LEFT JOIN n ON n.d = t.d + 1")),
         "ag10_outward": (_from_cube(A.outward_per_new), _graph(_CUBE6, "CAST(0 AS BIGINT)", _SPLIT + "SELECT CAST(n.d AS INTEGER) AS depth, f AS outward, n AS states, f / n AS outward_per_new FROM t JOIN n ON n.d = t.d + 1")),
         "ag13_owner_accounts": (_owners, keyed(4) + _OWNERS),
@@ -903,7 +901,7 @@ def _searches() -> dict[str, Pair]:
         "ag24_hop_stretch": (stretch, "SELECT round(avg((o_orderkey % 9 + 1) * 0.5 / (o_custkey % 50 / 16)), 9) AS mean_stretch, CAST(max(o_orderkey % 9 + 1 - ceil(o_custkey % 50 / 16 / 0.5)) AS BIGINT) AS max_excess FROM orders WHERE o_custkey % 50 > 0"),
         "bf2_so6_labeled": (_labeled, _LABELED.format(edges=_key_sql(3))),
         "bf3_bf4_replays": (_replayed, _values([("2,1,0", "swap01,swap12,swap01", "2,1,0", "none", 12), ("1,0,2", "swap01", "1,0,2", "none", 12), ("0,1,2", "", "0,1,2", "none", 12)], "target string, moves string, replayed string, unknown string, generated long")),
-        "bf9_macro_layers": (_macros, _of(Fam.unitriangular(3, 3), "SELECT CAST(k AS INTEGER) AS macro_depth, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, range(1, 4) t(k) GROUP BY ALL")),
+        "bf9_macro_layers": (_macros, _of(Fam.unitriangular(3, 3), "SELECT CAST(k AS INTEGER) AS macro_depth, CAST(d AS INTEGER) AS depth, count(*) AS states FROM r, range(1, 3) t(k) GROUP BY ALL")),
         "so7_macro_winners": (_won, _of(Fam.coxeter(4), "SELECT CAST(d AS INTEGER) AS depth, CAST(greatest(d - 2, 0) AS INTEGER) AS source_depth, CAST(least(d, 2) AS INTEGER) AS weight, count(*) AS states FROM r GROUP BY ALL")),
         "bf10_macro_ball": (_ball, _of(s5, "SELECT CAST(d AS INTEGER) AS weight, count(*) AS macros, CAST(sum(count(*)) OVER (ORDER BY d) - count(*) AS INTEGER) AS first, 'MACRO_DEPTH_ZERO,MACRO_GENERATOR_CAPACITY,MACRO_TRANSITION_BUDGET' AS codes FROM r WHERE d BETWEEN 1 AND 3 GROUP BY d")),
         "bf11_bf13_sm3_runs": (_runs, f"WITH v AS ({_values(_RUNS, 'graph string, options string, status string, reason string, depth int, states long, layers_seen boolean')}), l AS ({_of(Fam.lrx(6, 3), 'SELECT CAST(max(d) AS INTEGER) AS m FROM r')}) SELECT graph, options, status, reason, coalesce(depth, m) AS depth, states, layers_seen FROM v, l"),

@@ -14,12 +14,15 @@ ROWS_PER_PARTITION = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir, which driver and executors share; where that is unset, a folder of our own on a local master
+    (tests) only."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="layerwise-"))
     return str(jsc.getCheckpointDir().get()).rstrip("/")
 

@@ -262,3 +262,40 @@ def test_hybrid_lane(spark, monkeypatch):
     monkeypatch.setattr(Q, "DRIVER_STATES", 0)
     assert Q.layers(spark, Fam.coxeter(5)).sizes == [1, 4, 9, 15, 20, 22, 20, 15, 9, 4, 1]
     assert Q.layers(spark, Fam.unitriangular(3, 2)).num_vertices() == 8
+
+
+def test_driver_and_cluster_lanes_agree(spark):
+    rng = random.Random(31)
+    arcs = [(rng.randrange(80) * 10**12, rng.randrange(80) * 10**12) for _ in range(150)] + [(5, 5), (5, 6)]
+    e = spark.createDataFrame(arcs, "src long, dst long")
+    both = e.unionByName(e.selectExpr("dst AS src", "src AS dst"))
+    roots = spark.createDataFrame([("a", arcs[0][0]), ("a", arcs[1][0]), ("b", arcs[2][1]), ("c", -1)], "root string, vertex long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(Q.edge_distances(e, roots)) == rows(Q.edge_distances(e, roots, lane="cluster"))
+    assert rows(Q.edge_distances(both, roots, 2)) == rows(Q.edge_distances(both, roots, 2, undirected=True, lane="cluster"))
+    one = roots.where("root = 'a'").select("vertex")
+    assert rows(A.path_counts(both, one)) == rows(A.path_counts(both, one, undirected=True, lane="cluster"))
+    some = e.selectExpr("src AS vertex").where("vertex % 3 = 0").unionByName(one)
+    assert rows(A.components(e, some)) == rows(A.components(e, some, lane="cluster"))
+    none = e.where("src < 0")
+    assert rows(Q.edge_distances(none, roots)) == sorted((r, v, 0) for r, v in [tuple(x) for x in roots.collect()])
+    text = e.selectExpr("string(src) AS src", "string(dst) AS dst")
+    assert Q.distances(text, spark.createDataFrame([("5",)], "vertex string")).count() == 2
+
+
+def test_sweep_gaps_against_all_graphs(spark):
+    from itertools import combinations
+
+    pairs, want = list(combinations(range(5), 2)), []
+    for mask in range(1 << len(pairs)):
+        d = [[0 if a == b else 99 for b in range(5)] for a in range(5)]
+        for i, (a, b) in enumerate(pairs):
+            if mask >> i & 1:
+                d[a][b] = d[b][a] = 1
+        for k in range(5):
+            d = [[min(d[a][b], d[a][k] + d[k][b]) for b in range(5)] for a in range(5)]
+        if max(map(max, d)) < 99:
+            far = max(range(5), key=lambda v: (d[0][v], v))
+            if max(d[far]) < max(map(max, d)):
+                want.append((mask, max(map(max, d)), max(d[far])))
+    assert sorted(map(tuple, A.sweep_gaps(spark, 5).collect())) == want
