@@ -263,6 +263,9 @@ def double_sweep(edges: DataFrame, start) -> tuple[int, int]:
     return tuple(out)
 
 
+FAR = 60  # beyond any distance between 7 vertices, and twice that still fits into a byte
+
+
 def sweep_gaps(spark: SparkSession, vertices: int) -> DataFrame:
     """(mask, diameter, bound) of the connected graphs on so many vertices (7 at most) whose double sweep from vertex 0 stays
     below the diameter. Edge i of the pairs in order is bit i of the mask; every mask is looked at, in parallel."""
@@ -278,13 +281,13 @@ def sweep_gaps(spark: SparkSession, vertices: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             mask = b.column(0).to_numpy()
-            d = np.full((len(mask), vertices, vertices), 99, np.int8)
+            d = np.full((len(mask), vertices, vertices), FAR, np.int8)
             d[:, range(vertices), range(vertices)] = 0
             for i, (u, v) in enumerate(pairs):
-                d[:, u, v] = d[:, v, u] = np.where(mask >> i & 1, 1, 99)
+                d[:, u, v] = d[:, v, u] = np.where(mask >> i & 1, 1, FAR)
             for k in range(vertices):
                 d = np.minimum(d, d[:, :, k, None] + d[:, None, k, :])
-            whole = (d < 99).all((1, 2))
+            whole = (d < FAR).all((1, 2))
             mask, d = mask[whole], d[whole]
             far = vertices - 1 - d[:, 0, ::-1].argmax(1)  # of equals the larger vertex
             bound, diameter = d[np.arange(len(d)), far].max(1), d.max((1, 2))

@@ -212,11 +212,11 @@ def _sampled() -> dict[str, Pair]:
 
     def near(s: SparkSession, d: str) -> DataFrame:
         p = _t(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.expr("c_custkey * 7919 % 10007") / 10007).alias("x"), (F.expr("c_custkey * 104729 % 10009") / 10009).alias("y"))
-        return _rows(s, [(t, *Fam.geometric(p, 0.04, t).agg(F.count("*"), F.sum("src"), F.max("dst")).first()) for t in (False, True)], "torus boolean, arcs long, total long, last long")
+        return _rows(s, [(t, *Fam.geometric(p, 0.04, t).agg(F.count("*"), F.coalesce(F.sum("src"), F.lit(0)), F.coalesce(F.max("dst"), F.lit(0))).first()) for t in (False, True)], "torus boolean, arcs long, total long, last long")
 
     p = "(SELECT c_custkey AS id, c_custkey * 7919 % 10007 / 10007 AS x, c_custkey * 104729 % 10009 / 10009 AS y FROM customer)"
     gap = lambda c, t: f"pow({f'least(abs(a.{c} - b.{c}), 1 - abs(a.{c} - b.{c}))' if t else f'abs(a.{c} - b.{c})'}, 2)"
-    out["src25_jn10_radius_join"] = (near, " UNION ALL ".join(f"SELECT {t} AS torus, count(*) AS arcs, CAST(sum(a.id) AS BIGINT) AS total, max(b.id) AS last FROM {p} a JOIN {p} b ON a.id <> b.id WHERE {gap('x', t)} + {gap('y', t)} <= pow(0.04, 2)" for t in (False, True)))
+    out["src25_jn10_radius_join"] = (near, " UNION ALL ".join(f"SELECT {t} AS torus, count(*) AS arcs, CAST(coalesce(sum(a.id), 0) AS BIGINT) AS total, coalesce(max(b.id), 0) AS last FROM {p} a JOIN {p} b ON a.id <> b.id WHERE {gap('x', t)} + {gap('y', t)} <= pow(0.04, 2)" for t in (False, True)))
     return out
 
 
