@@ -111,7 +111,8 @@ class Graph:
                     medoids.append(int(some[(x[some] @ x[some].mean(0)).argmax()]))
                     u, v = robust_pruned(x[some])
                     edges += [some[u] * n + some[v], some[v] * n + some[u]]
-        both = np.unique(np.concatenate(edges))
+        both = np.sort(np.concatenate(edges))
+        both = both[np.flatnonzero(np.diff(both, prepend=-1))]
         # the nearest of a vertex that very many others chose: hubs would make every search visit them all
         u, v = both // n, both % n
         near = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", self.near[u[i : i + (1 << 15)]], self.near[v[i : i + (1 << 15)]]) for i in range(0, len(u), 1 << 15))])
