@@ -161,10 +161,10 @@ def _root(spark: SparkSession) -> DataFrame:
 
 
 def _tables() -> dict[str, Pair]:
-    keyed, zero = _with(_key_sql(), "CAST(0 AS BIGINT)"), lambda n: _with(_key_sql(n), "CAST(0 AS BIGINT)")
+    keyed = _with(_key_sql(), "CAST(0 AS BIGINT)")
     out: dict[str, Pair] = {
         "ag1_key_graph_layers": (lambda s, d: A.layer_sizes(Q.distances(key_graph(s, d), _root(s), undirected=True)), keyed + "SELECT CAST(depth AS INTEGER) AS depth, count(*) AS states FROM r GROUP BY depth"),
-        "bf1_key_graph_distances": (lambda s, d: Q.distances(key_graph(s, d, 3), _root(s), undirected=True), zero(3) + "SELECT vertex, CAST(depth AS INTEGER) AS depth FROM r"),
+        "bf1_key_graph_distances": (lambda s, d: Q.distances(key_graph(s, d), _root(s), undirected=True), keyed + "SELECT vertex, CAST(depth AS INTEGER) AS depth FROM r"),
         "ag3_level_breakdown": (
             lambda s, d: A.level_breakdown(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)),
             keyed
@@ -185,8 +185,8 @@ SELECT x.v, x.k, x.s FROM (SELECT e.dst v, w.depth + 1 k, CAST(sum(w.sigma) AS B
 SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices, CAST(sum(sigma) AS BIGINT) AS paths, max(sigma) AS most FROM w GROUP BY depth""",
         ),
         "ag8_intersection_numbers": (
-            lambda s, d: A.intersection_numbers(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)),
-            zero(3)
+            lambda s, d: A.intersection_numbers(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)),
+            keyed
             + """, n AS (SELECT p.vertex, p.depth, count_if(c.depth - p.depth = -1) c, count_if(c.depth = p.depth) a, count_if(c.depth - p.depth = 1) b FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2)
 SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(max(c) AS BIGINT) AS max_c, CAST(min(a) AS BIGINT) AS min_a, CAST(max(a) AS BIGINT) AS max_a, CAST(min(b) AS BIGINT) AS min_b, CAST(max(b) AS BIGINT) AS max_b FROM n GROUP BY depth""",
         ),
@@ -195,8 +195,8 @@ SELECT CAST(depth AS INTEGER) AS depth, CAST(min(c) AS BIGINT) AS min_c, CAST(ma
             f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_EVENT_SQL})), w(depth, v) AS (SELECT 0, min(src) FROM e UNION ALL SELECT w.depth + 1, e.dst FROM w JOIN e ON e.src = w.v WHERE w.depth < 5) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS occurrences FROM w GROUP BY depth",
         ),
         "ag21_components": (
-            lambda s, d: A.component_summary(key_graph(s, d, 3), key_graph(s, d, 3).select(F.col("src").alias("vertex"))).select("components", "largest"),
-            f"WITH RECURSIVE e AS ({_key_sql(3)}), r(vertex, label) USING KEY (vertex) AS (SELECT DISTINCT src, src FROM e UNION SELECT x.v, x.l FROM (SELECT e.dst v, min(r.label) l FROM r JOIN e ON e.src = r.vertex GROUP BY 1) x JOIN recurring.r k ON k.vertex = x.v WHERE x.l < k.label), c AS (SELECT label, count(*) n FROM r GROUP BY 1) SELECT count(*) AS components, max(n) AS largest FROM c",
+            lambda s, d: A.component_summary(key_graph(s, d), key_graph(s, d).select(F.col("src").alias("vertex"))).select("components", "largest"),
+            f"WITH RECURSIVE e AS ({_key_sql()}), r(vertex, label) USING KEY (vertex) AS (SELECT DISTINCT src, src FROM e UNION SELECT x.v, x.l FROM (SELECT e.dst v, min(r.label) l FROM r JOIN e ON e.src = r.vertex GROUP BY 1) x JOIN recurring.r k ON k.vertex = x.v WHERE x.l < k.label), c AS (SELECT label, count(*) n FROM r GROUP BY 1) SELECT count(*) AS components, max(n) AS largest FROM c",
         ),
         "ag22_owner_profile": (
             lambda s, d: A.profile(Q.distances(key_graph(s, d), _root(s), undirected=True), F.pmod("vertex", F.lit(4)).cast("int"), 4),
@@ -221,12 +221,12 @@ SELECT p, x, CAST(position('publish' IN x) < position('stop' IN x) AS INTEGER) +
 SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recover']) a(e), unnest(['stop', 'publish', 'recover']) b(e), unnest(['stop', 'publish', 'recover']) c(e) WHERE a.e <> b.e AND b.e <> c.e AND a.e <> c.e))""",
         ),
         "ag13_conservation": (
-            lambda s, d: A.conservation(A.level_breakdown(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)).withColumn("accepted", F.col("accepted") + F.when(F.col("depth") % 2 == 1, 1).otherwise(0))).select("depth", "generated", "accepted"),
-            zero(3) + ", k AS (SELECT p.depth, e.dst, any_value(c.depth) AS own, count(*) AS n FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, CAST(sum(n) AS BIGINT) AS generated, count(*) FILTER (own > depth) + 1 AS accepted FROM k WHERE depth % 2 = 1 GROUP BY depth",
+            lambda s, d: A.conservation(A.level_breakdown(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)).withColumn("accepted", F.col("accepted") + F.when(F.col("depth") % 2 == 1, 1).otherwise(0))).select("depth", "generated", "accepted"),
+            keyed + ", k AS (SELECT p.depth, e.dst, any_value(c.depth) AS own, count(*) AS n FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, CAST(sum(n) AS BIGINT) AS generated, count(*) FILTER (own > depth) + 1 AS accepted FROM k WHERE depth % 2 = 1 GROUP BY depth",
         ),
         "bf16_covering_radius": (
-            lambda s, d: Q.eccentricity(g := key_graph(s, d, 3), g.select(F.col("src").alias("vertex")), s.createDataFrame([(i,) for i in range(5)], "vertex long")),
-            f"WITH RECURSIVE e AS ({_key_sql(3)}), r(vertex, depth) USING KEY (vertex) AS (SELECT CAST(i AS BIGINT), 0 FROM range(5) t(i) UNION SELECT c.v, c.k FROM (SELECT DISTINCT e.dst v, r.depth + 1 k FROM r JOIN e ON e.src = r.vertex) c WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.vertex = c.v)) SELECT CAST(CASE WHEN (SELECT count(*) FROM r) = (SELECT count(DISTINCT src) FROM e) THEN max(depth) END AS INTEGER) AS covering_radius FROM r",
+            lambda s, d: Q.eccentricity(g := key_graph(s, d), g.select(F.col("src").alias("vertex")), s.createDataFrame([(i,) for i in range(5)], "vertex long")),
+            f"WITH RECURSIVE e AS ({_key_sql()}), r(vertex, depth) USING KEY (vertex) AS (SELECT CAST(i AS BIGINT), 0 FROM range(5) t(i) UNION SELECT c.v, c.k FROM (SELECT DISTINCT e.dst v, r.depth + 1 k FROM r JOIN e ON e.src = r.vertex) c WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.vertex = c.v)) SELECT CAST(CASE WHEN (SELECT count(*) FROM r) = (SELECT count(DISTINCT src) FROM e) THEN max(depth) END AS INTEGER) AS covering_radius FROM r",
         ),
         "bf20_event_reverse_distances": (
             lambda s, d: Q.reverse_distances(event_graph(s, d), event_graph(s, d).agg(F.max("src").alias("vertex"))),
@@ -237,8 +237,8 @@ SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recove
             f"WITH RECURSIVE e AS ({_key_sql(1)}), r(root, vertex, depth) USING KEY (root, vertex) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT c.root, c.v, c.k FROM (SELECT DISTINCT r.root, e.dst v, r.depth + 1 k FROM r JOIN e ON e.src = r.vertex) c WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.root = c.root AND k.vertex = c.v)) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS pairs FROM r GROUP BY depth",
         ),
         "bf23_dead_ends": (
-            lambda s, d: A.dead_ends(g := key_graph(s, d, 3), Q.distances(g, _root(s), undirected=True)).groupBy("depth").agg(F.count("*").alias("vertices")),
-            zero(3) + ", m AS (SELECT p.vertex, p.depth, max(c.depth) top FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices FROM m WHERE top <= depth AND depth < (SELECT max(depth) FROM r) GROUP BY depth",
+            lambda s, d: A.dead_ends(g := key_graph(s, d), Q.distances(g, _root(s), undirected=True)).groupBy("depth").agg(F.count("*").alias("vertices")),
+            keyed + ", m AS (SELECT p.vertex, p.depth, max(c.depth) top FROM r p JOIN e ON e.src = p.vertex JOIN r c ON c.vertex = e.dst GROUP BY 1, 2) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices FROM m WHERE top <= depth AND depth < (SELECT max(depth) FROM r) GROUP BY depth",
         ),
         "so9_so10_layer_summary": (
             lambda s, d: store.layer_summary(A.layer_sizes(Q.distances(key_graph(s, d), _root(s), undirected=True))),
@@ -257,8 +257,8 @@ SELECT a.e || ',' || b.e || ',' || c.e x FROM unnest(['stop', 'publish', 'recove
             f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_EVENT_SQL})), f(v) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM f JOIN e ON e.src = f.v), b(v) AS (SELECT min(src) FROM e UNION SELECT e.src FROM b JOIN e ON e.dst = b.v) SELECT CASE WHEN f.v IS NOT NULL AND b.v IS NOT NULL THEN 'SCC' WHEN b.v IS NOT NULL THEN 'IN' ELSE 'OUT' END AS part, count(*) AS vertices FROM f FULL JOIN b ON f.v = b.v GROUP BY 1",
         ),
         "bf21_secondary_cost": (
-            lambda s, d: A.secondary_cost(key_graph(s, d, 3).withColumn("cost", F.pmod(F.col("src") + F.col("dst"), F.lit(7))), _root(s), undirected=True).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("cost").alias("cost")),
-            zero(3) + ", w(vertex, depth, cost) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT) UNION ALL SELECT x.v, x.k, x.c FROM (SELECT e.dst v, w.depth + 1 k, min(w.cost + (e.src + e.dst) % 7) c FROM w JOIN e ON e.src = w.vertex JOIN r ON r.vertex = e.dst AND r.depth = w.depth + 1 GROUP BY 1, 2) x) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices, CAST(sum(cost) AS BIGINT) AS cost FROM w GROUP BY depth",
+            lambda s, d: A.secondary_cost(key_graph(s, d).withColumn("cost", F.pmod(F.col("src") + F.col("dst"), F.lit(7))), _root(s), undirected=True).groupBy("depth").agg(F.count("*").alias("vertices"), F.sum("cost").alias("cost")),
+            keyed + ", w(vertex, depth, cost) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT) UNION ALL SELECT x.v, x.k, x.c FROM (SELECT e.dst v, w.depth + 1 k, min(w.cost + (e.src + e.dst) % 7) c FROM w JOIN e ON e.src = w.vertex JOIN r ON r.vertex = e.dst AND r.depth = w.depth + 1 GROUP BY 1, 2) x) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS vertices, CAST(sum(cost) AS BIGINT) AS cost FROM w GROUP BY depth",
         ),
     }
     return out
@@ -294,14 +294,10 @@ def _others() -> dict[str, Query]:
         g = samples.random_graph(spark, 2000, 4.0, 0x9E3779B97F4A7C15 ^ 0x100000001B3)
         return A.layer_sizes(Q.distances(g, _root(spark)))
 
-    def strong(spark: SparkSession, d: str) -> DataFrame:
-        g = event_graph(spark, d)
-        return A.strong_components(g, g.select(F.col("src").alias("vertex")).union(g.select("dst"))).groupBy("component").agg(F.count("*").alias("vertices"))
-
     def gaps(spark: SparkSession, d: str) -> DataFrame:
         return A.sweep_gaps(spark, 6).groupBy("diameter", "bound").agg(F.count("*").alias("graphs"), F.min("mask").alias("first"))
 
-    return {"bf5_target_search": target, "bf6_bidirectional": both, "bf7_ag12_owner_rounds": rounds, "bf18_sweep_gaps": gaps, "src23_sampled_graph": sampled, "bf19_strong_components": strong}
+    return {"bf5_target_search": target, "bf6_bidirectional": both, "bf7_ag12_owner_rounds": rounds, "bf18_sweep_gaps": gaps, "src23_sampled_graph": sampled}
 
 
 def _pairs() -> dict[str, Pair]:
