@@ -25,11 +25,11 @@ def test_inverse_closure_needs_proof():
     assert Fam.coxeter(4).inverse_closed() and Fam.unitriangular(3, 6).inverse_closed() and Fam.cube().inverse_closed()
 
 
-@pytest.mark.parametrize(("args", "code"), [((["x"], [0]), "GRAPH_PERMUTATION_GENERATOR"), (([[0, 0]], [0, 1]), "GRAPH_PERMUTATION_GENERATOR"), (([], [0]), "GRAPH_GENERATORS"), (([[0]], [True]), "GRAPH_NONINTEGER_SCALAR"), (([[0]], [1 << 63]), "GRAPH_INT64_RANGE"), (([[0]], []), "GRAPH_PERMUTATION_SHAPE")])
+@pytest.mark.parametrize(("args", "code"), [((["x"], [0]), "GRAPH_NONINTEGER_SCALAR"), (([[0, 0]], [0, 1]), "GRAPH_PERMUTATION_GENERATOR"), (([], [0]), "GRAPH_GENERATORS"), (([[0]], [True]), "GRAPH_NONINTEGER_SCALAR"), (([[0]], [1 << 63]), "GRAPH_INT64_RANGE"), (([[0]], []), "GRAPH_PERMUTATION_SHAPE")])
 def test_codes(args, code):
     with pytest.raises(P.GraphError) as e:
         P.permutation("g", *args)
-    assert e.value.code in (code, "GRAPH_NONINTEGER_SCALAR")
+    assert e.value.code == code
 
 
 def test_document_round_trip_and_digest():
