@@ -178,3 +178,17 @@ def test_layer_digests(spark):
         want = {d: hashlib.sha256(b"".join(r.to_bytes(4, "little") + s + (h if hashes else b"") for e, r, _, s, h in sorted(rows) if e == d)).hexdigest() for d in range(3)}
         assert {x.depth: x.content_sha256 for x in store.layer_digests(df, hashes).collect()} == want
     assert store.layer_digests(df.where("false")).count() == 0 == store.layer_digests(df.withColumn("state", df.state.substr(1, 0)).where("rank IS NULL")).count()
+
+
+def test_selected_totals(spark, tmp_path):
+    """Sums of places and keys beyond 64 bits are whole; others stay 64-bit integers, as in the SQL."""
+    from layerwise.plans import catalog
+
+    for first, kind in ((1, "bigint"), (10**18 + 1, "decimal(38,0)")):
+        keys = [first + 2 * i for i in range(300) if (first + 2 * i) % 50]
+        folder = f"{tmp_path}/{first}"
+        spark.createDataFrame([(k, k % 7) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+        got = catalog.queries()["snk7_so3_selected_tail"](spark, folder)
+        order = sorted(keys, key=lambda k: (k % 7 % 4, k))
+        want = [(2, whole, n, n - 1, sum(i * k for i, k in enumerate(order[:n]))) for whole, n in ((False, 200), (True, len(keys)))]
+        assert sorted(map(tuple, got.collect())) == want and dict(got.dtypes)["total"] == kind
