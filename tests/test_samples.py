@@ -1,4 +1,5 @@
 import itertools
+import time
 
 from layerwise.functions import states as S
 from layerwise.operators import analytics as A
@@ -7,7 +8,8 @@ from layerwise.operators import verify as V
 from layerwise.plans import spec as P
 from layerwise.plans.session import wrapping
 from layerwise.sources import families as Fam
-from layerwise.sources import samples
+from layerwise.sources import radius, samples
+from pyspark.sql import functions as F
 
 M = (1 << 64) - 1
 
@@ -76,6 +78,34 @@ def test_geometric(spark):
         assert rows(Fam.geometric(p, radius, torus)) == want
 
 
+def test_degrees(spark, monkeypatch):
+    """Links counted without pairs, against all pairs: copies, places shared and several places of an id, on tiles of several
+    tasks too."""
+    inf, nan = float("inf"), float("nan")
+    pts = [(r.id % 130, r.x, r.y) for r in samples.points(spark, 150, 9).collect()]  # 20 ids with two places
+    pts += [*pts[:30], *((200 + i, i % 5 / 10, i % 7 / 10) for i in range(60))]  # copies, and gaps of just a radius
+    odd = [(300, None, 0.5), (301, nan, 0.5), (302, 0.5, inf), (None, 0.5, 0.5)]
+    frame = spark.createDataFrame(pts + odd, "id long, x double, y double")
+    for chunk, r, torus in ((50_000, 0.1, False), (3, 0.11, True), (3, 0.3, False), (20, 0.45, True), (50_000, 0.75, True)):
+        monkeypatch.setattr(radius, "CHUNK", chunk)
+        monkeypatch.setattr(radius, "GROUP_ROWS", 100)
+
+        def gap(a, b):
+            d = abs(a - b)
+            return min(d, 1 - d) if torus else d
+
+        want = [(*a, pts.count(a), sum(a[0] != b[0] and gap(a[1], b[1]) ** 2 + gap(a[2], b[2]) ** 2 <= r**2 for b in pts)) for a in set(pts)]
+        assert sorted(map(tuple, radius.degrees(frame, r, torus).collect())) == sorted(want)
+
+
+def test_degrees_of_many(spark):
+    """All of 120,000 points lie within a radius: 14 billion arcs, of which none is listed."""
+    n, began = 120_000, time.monotonic()
+    got = radius.degrees(spark.range(n).selectExpr("id", "0.5 + id % 347 / 100000 AS x", "0.5 + id % 353 / 100000 AS y"), 0.04)
+    assert tuple(got.agg(F.count("*"), F.min("links"), F.max("links")).first()) == (n, n - 1, n - 1)
+    assert time.monotonic() - began < 120
+
+
 def test_published_layers(spark):
     """2,000 vertices with mean degree 4: published layers from vertex 0, along arcs and against them."""
     sizes = lambda df: [r.states for r in A.layer_sizes(df).orderBy("depth").collect()]
