@@ -40,9 +40,11 @@ WORDS = 4  # that a lane may put out in a step, at most
 
 
 class _Model:
-    """The shared state of a block's lanes; ``see`` updates it with what every lane has just coded."""
+    """The shared state of a block's lanes; ``see`` updates it with what every lane has just coded. Only a decoder
+    looks places up (``places``)."""
 
-    def __init__(self) -> None:
+    def __init__(self, places: bool) -> None:
+        self.places = places
         self.id2, self.ok2 = np.zeros(1 << HASH_BITS, np.uint16), np.zeros(1 << HASH_BITS, np.uint8)
         self.outcomes = np.tile(np.array([1, 4], np.int64), (8 * 32, 1))  # hits and all, by reliability and count
         self.novel = np.tile(np.array([1, 2], np.int64), (32 * 32, 1))  # unseen and all, by log counts of a context
@@ -72,6 +74,7 @@ class _Model:
             self.counts[at[known]] += n[known]
             self.keys = np.insert(self.keys, at[~known], pairs[~known])
             self.counts = np.insert(self.counts, at[~known], n[~known])
+        self.f1 = self.first1 = self.place1 = self.place0 = self.guarded = None  # these go before their like is made
         f0 = 1 + self.zero * ((1 << ZERO_BITS) - IDS) // max(1, int(self.zero.sum()))
         c0 = np.cumsum(f0) - f0
         context, ids = (self.keys >> 16).astype(np.int64), (self.keys & 0xFFFF).astype(np.int64)
@@ -87,17 +90,20 @@ class _Model:
         own = e[context]
         of0 = f0[ids]
         f1 = 1 + (((1 << SHARE_BITS) - own) * self.counts * room // total[context] + (own * of0 * room >> ZERO_BITS) >> SHARE_BITS)
+        del own, room
         sums = np.concatenate([[0], np.cumsum(f1)])
         first = sums[:-1] - sums[start[context]]
         sum0 = np.concatenate([[0], np.cumsum(of0)])
+        del of0
         seen = sums[start[1:]] - sums[start[:-1]]
         self.start, self.sum0 = start, sum0
         self.f0, self.c0 = f0.astype(np.uint64), c0
-        self.f1, self.first1 = np.append(f1, 0).astype(np.uint64), np.append(first, 0).astype(np.uint64)
+        self.f1, self.first1 = np.append(f1, 0).astype(np.uint32), np.append(first, 0).astype(np.uint32)  # at most 2**ONE_BITS
         self.seen1, self.rest1 = seen.astype(np.uint64), ((1 << ONE_BITS) - seen).astype(np.uint64)
         self.left0 = (int(f0.sum()) - (sum0[start[1:]] - sum0[start[:-1]])).astype(np.uint64)
-        self.place1 = (context << ONE_BITS) + first
-        self.place0 = (context << SPAN) + c0[ids] - (sum0[:-1] - sum0[start[context]])
+        if self.places:
+            self.place1 = (context << ONE_BITS) + first
+            self.place0 = (context << SPAN) + c0[ids] - (sum0[:-1] - sum0[start[context]])
         self.guarded = np.append(self.keys, np.uint32(0xFFFFFFFF))
 
     def predict(self, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -135,15 +141,14 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words of each lane, all words) of a block's ids."""
     per = _lanes(len(ids))
     lanes, steps = len(per), int(per[0])
-    grid = np.zeros((lanes, steps), np.uint16)
-    grid[np.arange(steps) < per[:, None]] = ids
-    grid = np.ascontiguousarray(grid.T)
+    grid = np.zeros((steps, lanes), np.uint16)
+    grid.T[np.arange(steps) < per[:, None]] = ids
     wide = steps + 16 * WORDS + 8  # grows if a lane needs more
     out = np.zeros((lanes, wide), np.int32)
     at = np.zeros(lanes, np.int64)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    model, whole = _Model(), np.uint64(1 << SHARE_BITS)
+    model, whole = _Model(places=False), np.uint64(1 << SHARE_BITS)
 
     def shed(who: np.ndarray) -> None:
         while who.size:
@@ -213,7 +218,7 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
     size = np.full(lanes, 1 << 48, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     grid = np.zeros((steps, lanes), np.uint16)
-    model, whole = _Model(), np.uint64(1 << SHARE_BITS)
+    model, whole = _Model(places=True), np.uint64(1 << SHARE_BITS)
 
     def fill(who: np.ndarray) -> None:
         while who.size:
@@ -277,7 +282,7 @@ def write_block(doc_ids: list, lengths: list[int], ids: np.ndarray, first: int)
     """One frame of whole documents. ``ids``: all their ids, each below 65,536; ``first``: ids before it in its part."""
     if len(ids) and int(ids.max()) >= IDS:
         raise ValueError("TOKEN_ID_RANGE: ids must be below 65536")
-    words, flat = _code(ids.astype(np.uint16)) if len(ids) else (np.zeros(1, np.int64), np.zeros(0, "<u2"))
+    words, flat = _code(ids.astype(np.uint16, copy=False)) if len(ids) else (np.zeros(1, np.int64), np.zeros(0, "<u2"))
     body = b"".join((
         np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
         np.array(lengths, "<u4").tobytes(), words.astype("<u4").tobytes(), flat.tobytes(),

@@ -17,6 +17,7 @@ from . import common
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCK_BITS = 16  # four masked patterns of 16 bits: two fingerprints within 3 bits agree in one of them
 LEAF, FAN = 32, 16  # fingerprints of a leaf node, nodes of an upper node
+TEXTS = 512  # documents that are handed over at once where a pipeline's other stages need the memory
 PIECE = 1 << 20  # bytes of a text that are cut into words at once
 _SPACE = re.compile(rb"[ \t-\r]")
 DEEP = 20_000  # fingerprints under one pattern beyond which the 48 other bits are factored into patterns as well
@@ -188,7 +189,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # an id and a hash of the text name a row, so that one exchange of the texts serves the join and the repeated rows
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.sha2(text, 256)).alias("__keep")
-    fps = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
+    with common.small_batches(docs.sparkSession, TEXTS):
+        fps = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
     # a row of a component: its smallest id first, none last
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__keep"))["__keep"].alias("__keep")
     keep = grouped(fps).groupBy("class").agg(first).select("__keep").distinct()

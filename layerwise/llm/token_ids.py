@@ -21,7 +21,7 @@ from .range_coder import read_block, write_block
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 22  # a block closes when it holds so many ids; no document is split
-SLOTS = 1 << 22  # pieces that a worker's table has room for; it starts afresh at half of them
+SLOTS = 1 << 21  # pieces that a worker's table has room for; it starts afresh at half of them
 BYTES = 1 << 19  # of text that are tokenized at once
 POOL = 1 << 24  # ids that a worker's table remembers at most; longer pieces take room each time
 RECENT = 1 << 15  # rows that are looked up first
@@ -207,6 +207,13 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _forget() -> None:
+    """Drop the tables of a worker's encoders. Workers live on, and reading and other stages need that memory."""
+    if _encoder.cache_info().currsize:
+        _encoder.cache_clear()
+        common.trim()
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -231,8 +238,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         held = 0
 
         def close() -> pa.RecordBatch:
-            frame = write_block(names, [len(x) for x in ids], np.concatenate(ids), first)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "documents": pa.array([len(ids)], pa.int32()), "ids": pa.array([held], pa.int64()), "frame": pa.array([frame], pa.binary())})
+            lengths, whole = [len(x) for x in ids], np.concatenate(ids)
+            ids.clear()  # not in memory twice while the block is coded
+            common.trim()
+            frame = write_block(names, lengths, whole, first)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "documents": pa.array([len(names)], pa.int32()), "ids": pa.array([held], pa.int64()), "frame": pa.array([frame], pa.binary())})
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -249,7 +259,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         common.trim()
 
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.xxhash64("text"))
-    dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(encode, BLOCKS).write.parquet(path)
+    with common.small_batches(docs.sparkSession, TEXTS):
+        dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(encode, BLOCKS).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -261,6 +272,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             for row in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("frame"), strict=True):
                 first, names, lengths, ids = read_block(row[2].as_py())

@@ -5,10 +5,12 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from layerwise.llm import common, decontaminate, language, licenses, mixing, range_coder, secrets, simhash, token_ids, toxicity, url_filter, vector_graph
@@ -84,6 +86,39 @@ def test_range_coder_mixes_orders():
     assert (range_coder.read_block(range_coder.write_block([1], [len(ids)], ids, 0))[3] == ids).all()
 
 
+def test_a_worker_holds_little_memory():
+    rng = np.random.default_rng(5)
+    ids = (rng.zipf(1.2, 1 << 22) % 49_152).astype(np.uint16)
+    tracemalloc.start()
+    token_ids._encoder(token_ids.tokenizer_path()).encode([b"a few words"])
+    with_table = tracemalloc.get_traced_memory()[0]
+    token_ids._forget()
+    without = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    frame = range_coder.write_block([1], [len(ids)], ids, 0)
+    peak = tracemalloc.get_traced_memory()[1] - without
+    tracemalloc.stop()
+    assert with_table - without > with_table / 2 and with_table < 100 << 20 and peak < 200 << 20
+    assert (range_coder.read_block(frame)[3] == ids).all()
+
+
+def test_small_batches(spark):
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), spark.range(0, 1000, 1, 1).mapInArrow(count, "n long")
+    with pytest.raises(ValueError, match="odd"), common.small_batches(spark, 100):
+        assert sorted(r.n for r in rows.collect()) == [100] * 10
+        raise ValueError("odd")
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "50")
+    with common.small_batches(spark, 100):  # a smaller one holds
+        assert spark.conf.get(key) == "50"
+    spark.conf.set(key, before)
+
+
 def test_pieces_are_told_apart_by_their_bytes():
     from tokenizers import Tokenizer
 
