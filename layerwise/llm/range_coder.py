@@ -10,11 +10,12 @@ an id by three orders:
 
 Orders 0 and 1 are mixed into one distribution for each id before: a share e of order 0, which is learned for contexts
 of like counts, and 1 - e of order 1. The order-2 id gets a share of its own, learned for each pair of its reliability
-and the context's count, and the mixed distribution the rest. So an id costs a binary decision for order 2, if that
-misses one step more, and two where order 1 hasn't seen it: then order 0 codes it among the ids that order 1 hasn't
-seen. Frequencies are renewed after 1, 2, 4, .. steps, shares after every fourth, from what that step coded. Integer arithmetic only, so coder and decoder agree on every machine. Each lane is a
-carry-propagating range coder: 48-bit low, 16-bit words. What misses is looked up in the order of its keys, which is
-faster than in that of the lanes.
+and the context's count, and the mixed distribution the rest. So an id costs one step over the order-2 id and those
+that order 1 has seen, and one more where neither has it: then order 0 codes it among the ids that order 1 hasn't
+seen. Frequencies are renewed after 1, 2, 4, .. steps while enough steps are left to use them, shares after every fourth, from
+what that step coded. Integer arithmetic only, so coder and decoder agree on every machine. Each lane is a
+carry-propagating range coder: 56-bit low, 16-bit words. A step takes up to 32 bits of a size of at least 40. What
+misses is looked up in the order of its keys, which is faster than in that of the lanes.
 
 Frame: b"LWRC", version, reserved (u16 each); documents, ids, lanes (u32 each); first offset (u64); CRC-32 of all
 that follows (u32). Then document ids (i64), null flags (u8), lengths (u32), words of each lane (u32), lane words (u16).
@@ -28,11 +29,12 @@ import zlib
 import numpy as np
 
 HEAD = struct.Struct("<4sHHIIIQI")
-MAGIC, VERSION = b"LWRC", 2
+MAGIC, VERSION = b"LWRC", 3
 LANES, STEPS_LEAST = 16384, 128
 SHARE_BITS, ONE_BITS, ZERO_BITS, HASH_BITS, IDS = 12, 20, 22, 20, 65536
-TOP, LOW32 = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-S16, S32, SSHARE, SONE = np.uint64(16), np.uint64(32), np.uint64(SHARE_BITS), np.uint64(ONE_BITS)
+SIZE, TOP, LOW40 = 1 << 55, np.uint64(1 << 40), np.uint64((1 << 40) - 1)
+S8, S16, S24, S40, SONE, SBOTH = np.uint64(8), np.uint64(16), np.uint64(24), np.uint64(40), np.uint64(ONE_BITS), np.uint64(SHARE_BITS + ONE_BITS)
+WHOLE = np.uint64(1 << SHARE_BITS)
 #: reliabilities, times 32, after a miss and after a hit; an entry at 0 takes the new id at a miss
 AFTER = np.array([[k // 3 * 32 for k in range(8)], [min(k + 1, 7) * 32 for k in range(8)]], np.uint8)
 SPAN = 23  # bits between the order-0 places of two contexts
@@ -43,9 +45,9 @@ class _Model:
     """The shared state of a block's lanes; ``see`` updates it with what every lane has just coded. Only a decoder
     looks places up (``places``)."""
 
-    def __init__(self, places: bool) -> None:
-        self.places = places
-        self.id2, self.ok2 = np.zeros(1 << HASH_BITS, np.uint16), np.zeros(1 << HASH_BITS, np.uint8)
+    def __init__(self, steps: int, places: bool) -> None:
+        self.steps, self.places = steps, places
+        self.two = np.zeros(1 << HASH_BITS, np.uint32)  # order-2 ids times 256, and their reliabilities
         self.outcomes = np.tile(np.array([1, 4], np.int64), (8 * 32, 1))  # hits and all, by reliability and count
         self.novel = np.tile(np.array([1, 2], np.int64), (32 * 32, 1))  # unseen and all, by log counts of a context
         self.zero = np.zeros(IDS, np.int64)
@@ -104,22 +106,24 @@ class _Model:
         if self.places:
             self.place1 = (context << ONE_BITS) + first
             self.place0 = (context << SPAN) + c0[ids] - (sum0[:-1] - sum0[start[context]])
-        self.guarded = np.append(self.keys, np.uint32(0xFFFFFFFF))
+        # a key beyond the last differs from it; without keys, the id before is 0
+        self.guarded = np.append(self.keys, self.keys[-1] if len(self.keys) else np.uint32(0xFFFFFFFF))
 
     def predict(self, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """The order-2 id's share of 2**SHARE_BITS."""
         self.p1 = p1
         self.i2 = (((p2 * np.uint32(2654435761)) ^ (p1 * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-        self.a, self.k = self.id2.take(self.i2), self.ok2.take(self.i2)
+        self.both = self.two.take(self.i2)
+        self.a, self.k = (self.both >> np.uint32(8)).astype(np.uint16), self.both.astype(np.uint8)
         self.ctx = self.k + self.log.take(p1)
         return self.share.take(self.ctx)
 
     def see(self, x: np.ndarray, hit: np.ndarray) -> None:
-        new = np.flatnonzero(~hit & (self.k == 0))
-        self.id2[self.i2.take(new)] = x.take(new)
-        then = AFTER.ravel().take((self.k >> np.uint8(5)) + (hit.view(np.uint8) << np.uint8(3)))
-        moved = np.flatnonzero(then != self.k)
-        self.ok2[self.i2.take(moved)] = then.take(moved)
+        # a hit's id is x itself, so x goes in wherever the reliability is 0
+        then = np.where(self.k == 0, x, self.a).astype(np.uint32) << np.uint32(8)
+        then |= AFTER.ravel().take((self.k >> np.uint8(5)) + (hit.view(np.uint8) << np.uint8(3)))
+        moved = np.flatnonzero(then != self.both)
+        self.two[self.i2.take(moved)] = then.take(moved)
         self.fresh.append(self.p1 << np.uint32(16) | x)
         self.step += 1
         if self.step & 3 == 1:
@@ -127,7 +131,8 @@ class _Model:
             self.outcomes[:, 0] += np.bincount(self.ctx[hit], minlength=len(self.outcomes))
             self._shares()
         if self.step == self.due:
-            self._renew()
+            if self.steps - self.step > self.step >> 3:
+                self._renew()
             self.due = 2 * self.step
 
 
@@ -146,16 +151,16 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = steps + 16 * WORDS + 8  # grows if a lane needs more
     out = np.zeros((lanes, wide), np.int32)
     at = np.zeros(lanes, np.int64)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, SIZE, np.uint64)
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    model, whole = _Model(places=False), np.uint64(1 << SHARE_BITS)
+    model = _Model(steps, places=False)
 
     def shed(who: np.ndarray) -> None:
         while who.size:
             mine = low.take(who)
-            out[who, at.take(who)] = mine >> S32
+            out[who, at.take(who)] = mine >> S40
             at[who] += 1
-            low[who] = (mine & LOW32) << S16
+            low[who] = (mine & LOW40) << S16
             size[who] = now = size.take(who) << S16
             who = who[now < TOP]
 
@@ -168,11 +173,7 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x, p2, p1 = x[:n], p2[:n], p1[:n]
         share = model.predict(p2, p1)
         hit = x == model.a
-        r = size[:n] >> SSHARE
-        edge = r * share
-        low[:n] += np.where(hit, np.uint64(0), edge)
-        size[:n] = now = np.where(hit, edge, r * whole - edge)
-        shed(np.flatnonzero(now < TOP))
+        base, part, fresh = np.zeros(n, np.uint64), share << SONE, np.zeros(0, np.intp)
         who = np.flatnonzero(~hit)
         if who.size:
             key = p1.take(who) << np.uint32(16) | x.take(who)
@@ -184,19 +185,21 @@ def _code(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if fresh.size:
                 c = key.take(fresh) >> np.uint32(16)
                 first[fresh], f[fresh] = model.seen1.take(c), model.rest1.take(c)
-            r = size.take(who) >> SONE
-            low[who] += r * first
-            size[who] = now = r * f
+            rest = WHOLE - share.take(who)
+            base[who], part[who] = part.take(who) + rest * first, rest * f
+        r = size[:n] >> SBOTH
+        low[:n] += r * base
+        size[:n] = now = r * part
+        shed(np.flatnonzero(now < TOP))
+        if fresh.size:
+            y, who = (key.take(fresh) & np.uint32(0xFFFF)).astype(np.intp), who.take(fresh)
+            r = size.take(who) // model.left0.take(c)
+            low[who] += r * (model.c0.take(y) - (model.sum0.take(j.take(fresh)) - model.sum0.take(model.start.take(c)))).astype(np.uint64)
+            size[who] = now = r * model.f0.take(y)
             shed(who[now < TOP])
-            if fresh.size:
-                y, who = (key.take(fresh) & np.uint32(0xFFFF)).astype(np.intp), who.take(fresh)
-                r = size.take(who) // model.left0.take(c)
-                low[who] += r * (model.c0.take(y) - (model.sum0.take(j.take(fresh)) - model.sum0.take(model.start.take(c)))).astype(np.uint64)
-                size[who] = now = r * model.f0.take(y)
-                shed(who[now < TOP])
         model.see(x, hit)
         p2, p1 = p1, x.astype(np.uint32)
-    last = (low + np.uint64(0xFFFF)) >> S16  # any value of the final interval; size is 2**32 or more here
+    last = (low + np.uint64(0xFFFFFF)) >> S24  # any value of the final interval; size is 2**40 or more here
     every = np.arange(lanes)
     out[every, at], out[every, at + 1] = last >> S16, last & np.uint64(0xFFFF)
     words = at + 2
@@ -213,12 +216,13 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
     code_words[np.arange(wide) < words[:, None]] = flat
     code_words = code_words.ravel()
     at = np.arange(lanes) * wide
-    code = (code_words[at] << S32) | (code_words[at + 1] << S16) | code_words[at + 2]
-    at += 3
-    size = np.full(lanes, 1 << 48, np.uint64)
+    # code and size are those of the coder times 256, so that code is four words
+    code = (code_words[at] << (S24 + S24)) | (code_words[at + 1] << (S16 + S16)) | (code_words[at + 2] << S16) | code_words[at + 3]
+    at += 4
+    size, top = np.full(lanes, SIZE << 8, np.uint64), TOP << S8
     p2, p1 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     grid = np.zeros((steps, lanes), np.uint16)
-    model, whole = _Model(places=True), np.uint64(1 << SHARE_BITS)
+    model = _Model(steps, places=True)
 
     def fill(who: np.ndarray) -> None:
         while who.size:
@@ -226,7 +230,7 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
             code[who] = (code.take(who) << S16) | code_words.take(place)
             at[who] = place + 1
             size[who] = now = size.take(who) << S16
-            who = who[now < TOP]
+            who = who[now < top]
 
     for t in range(steps):
         n = lanes
@@ -234,44 +238,41 @@ def _decode(n_ids: int, words: np.ndarray, flat: np.ndarray) -> np.ndarray:
             n = int((per == steps).sum())
             p2, p1 = p2[:n], p1[:n]
         share = model.predict(p2, p1)
-        r = size[:n] >> SSHARE
-        edge = r * share
-        hit = code[:n] < edge
-        code[:n] -= np.where(hit, np.uint64(0), edge)
-        size[:n] = now = np.where(hit, edge, r * whole - edge)
-        fill(np.flatnonzero(now < TOP))
-        x = model.a.copy()
+        part = share << SONE
+        r = (size[:n] >> (SBOTH + S8)) << S8
+        v = code[:n] // r
+        hit = v < part
+        x, base, fresh = model.a.copy(), np.zeros(n, np.uint64), np.zeros(0, np.intp)
         who = np.flatnonzero(~hit)
         if who.size:
-            c = p1.take(who).astype(np.int64)
-            r = size.take(who) >> SONE
-            v = (code.take(who) // r).astype(np.int64)
-            place = (c << ONE_BITS) + v
-            order = place.argsort()
-            who, place, r, v = who.take(order), place.take(order), r.take(order), v.take(order)
+            edge, rest = part.take(who), WHOLE - share.take(who)
+            place = (p1.take(who).astype(np.uint64) << SONE) + (v.take(who) - edge) // rest
+            order = place.view(np.int64).argsort()
+            who, place, edge, rest = who.take(order), place.view(np.int64).take(order), edge.take(order), rest.take(order)
             c = place >> ONE_BITS
             j = np.searchsorted(model.place1, place, "right") - 1
             seen = model.seen1.take(c)
             first, f = model.first1.take(j), model.f1.take(j)
-            fresh = np.flatnonzero(v.view(np.uint64) >= seen)
+            fresh = np.flatnonzero((place & (1 << ONE_BITS) - 1).view(np.uint64) >= seen)
             if fresh.size:
                 d = c.take(fresh)
                 first[fresh], f[fresh] = seen.take(fresh), model.rest1.take(d)
             x[who] = model.guarded.take(j) & np.uint32(0xFFFF)
-            code[who] -= r * first
-            size[who] = now = r * f
-            fill(who[now < TOP])
-            if fresh.size:
-                who = who.take(fresh)
-                r = size.take(who) // model.left0.take(d)
-                v = (code.take(who) // r).astype(np.int64)
-                j = np.searchsorted(model.place0, (d << SPAN) + v, "right")
-                before = model.sum0.take(j) - model.sum0.take(model.start.take(d))
-                y = np.searchsorted(model.c0, v + before, "right") - 1
-                x[who] = y
-                code[who] -= r * (model.c0.take(y) - before).astype(np.uint64)
-                size[who] = now = r * model.f0.take(y)
-                fill(who[now < TOP])
+            base[who], part[who] = edge + rest * first, rest * f
+        code[:n] -= r * base
+        size[:n] = now = r * part
+        fill(np.flatnonzero(now < top))
+        if fresh.size:
+            who = who.take(fresh)
+            r = ((size.take(who) >> S8) // model.left0.take(d)) << S8
+            v = (code.take(who) // r).astype(np.int64)
+            j = np.searchsorted(model.place0, (d << SPAN) + v, "right")
+            before = model.sum0.take(j) - model.sum0.take(model.start.take(d))
+            y = np.searchsorted(model.c0, v + before, "right") - 1
+            x[who] = y
+            code[who] -= r * (model.c0.take(y) - before).astype(np.uint64)
+            size[who] = now = r * model.f0.take(y)
+            fill(who[now < top])
         model.see(x, hit)
         grid[t, :n] = x
         p2, p1 = p1, x.astype(np.uint32)

@@ -27,8 +27,8 @@ POOL = 1 << 24  # ids that a worker's table remembers at most; longer pieces tak
 RECENT = 1 << 15  # rows that are looked up first
 SHORT = 16  # bytes of a piece that the table holds
 MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a little-endian word
+LETTERS = " ".join([*(w := [chr(c) for c in range(97, 256) if chr(c).isalpha() and chr(c).islower()]), "".join(w)])  # of Latin-1, and a word of all
 TEXTS = 512  # documents that are handed over at once
-MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 BLOCKS = "part int, block int, documents int, ids long, frame binary"
 READ = "doc_id long, part int, block int, in_part long, n_tokens long, ids_crc32 long"
@@ -38,19 +38,24 @@ class _Encoder:
     """Texts to 16-bit ids by way of the tokenizer, each distinct piece once for as long as it is remembered.
 
     The tokenizer's own rules break at all white space and lower-case, so a text's ids are those of its lower-cased
-    pieces between ASCII spaces and newlines, in a row. So is a mark at a piece's end, after an ASCII letter, a piece. Texts are
-    cut in NumPy, and pieces of up to SHORT bytes are looked up by these bytes and their number in an open-addressing
-    table of fixed size, which starts afresh when it is half full. Only new and longer pieces reach the tokenizer: words
-    of Latin-1 letters many at a time, parted by spaces and told apart by the ids that end a word; others one by one.
-    Texts with a special token's opening are encoded whole.
+    pieces between ASCII spaces and newlines, in a row. These are cut again where an ASCII mark follows a letter, as the
+    rules break there. Texts are cut in NumPy, and pieces of up to SHORT bytes are looked up by these bytes and their
+    number in an open-addressing table of fixed size, which starts afresh when it is half full. Only new and longer
+    pieces reach the tokenizer: words of Latin-1 letters many at a time, parted by spaces and told apart by the ids that
+    end a word, and without the rules, which leave such words as they are; others one by one. Texts with a special
+    token's opening are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())["model"]
+        self.bare = Tokenizer(self.tokenizer.model)  # the model behind the rules
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self.bare.encode(LETTERS).ids != self.tokenizer.encode(LETTERS, add_special_tokens=False).ids:  # of another kind
+            self.bare = self.tokenizer
         self.ends = None
         if model.get("end_of_word_suffix"):
             self.ends = np.zeros(1 << 16, bool)
@@ -70,7 +75,7 @@ class _Encoder:
         return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint16)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, np.uint16)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) and cuts[-1] == len(ids) else self.one(words)
 
@@ -116,17 +121,16 @@ class _Encoder:
 
     def cut(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of the pieces of lower-cased bytes."""
-        gap = np.concatenate([[True], (raw == 32) | (raw == 10), [True]])
-        edges = np.flatnonzero(gap[1:] != gap[:-1])
-        start, stop = edges[::2], edges[1::2]
-        before = raw[np.maximum(stop - 2, 0)]
-        marked = MARK[raw[stop - 1]] & (stop - start > 1) & (before >= 97) & (before <= 122)
-        n = 1 + marked
-        at = np.cumsum(n) - n
-        starts, stops = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
-        starts[at], stops[at] = start, stop - marked
-        starts[at[marked] + 1], stops[at[marked] + 1] = stop[marked] - 1, stop[marked]
-        return starts, stops
+        some = np.zeros(len(raw) + 2, bool)  # neither space nor newline, one place on
+        np.not_equal(raw, 32, some[1:-1])
+        some[1:-1] &= raw != 10
+        letter = raw - np.uint8(97) < 26
+        mark = (raw - np.uint8(33) < 94) & ~letter & ~(raw - np.uint8(48) < 10)
+        after = np.zeros(len(raw) + 1, bool)  # a mark after a letter
+        np.logical_and(letter[:-1], mark[1:], after[1:-1])
+        latin = np.flatnonzero((raw[:-2] == 0xC3) & mark[2:])  # U+00C0 to U+00FF but for two signs
+        after[latin[(raw[latin + 1] != 0x97) & (raw[latin + 1] != 0xB7)] + 2] = True
+        return np.flatnonzero(some[1:] & (~some[:-1] | after)), np.flatnonzero(some[:-1] & (~some[1:] | after))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
@@ -184,13 +188,13 @@ class _Encoder:
             at = new[first]
             if not (piece[:, at][:, back] == piece[:, new]).all():  # two pieces of one hash: too rare to be clever about
                 at, back = new, np.arange(len(new))
-            found = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            found = self.learn(b" ".join([joined[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)]).decode("utf-8", "replace").split(" "))
             spans[new] = found[back]
             if len(at) == len(first):
                 self.insert(hashed[at], piece[:, at], found)
         if long.any():
             at = np.flatnonzero(long)
-            spans[at] = self.learn([joined[i:j].decode("utf-8", "replace") for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            spans[at] = self.learn(b" ".join([joined[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)]).decode("utf-8", "replace").split(" "))
         n = (spans & np.uint64(0xFFFFFFFF)).astype(np.int32)  # the pool and a batch have fewer than 2^31 ids
         total = np.cumsum(n, dtype=np.int32)
         where = np.repeat((spans >> np.uint64(32)).astype(np.int32) - (total - n), n)

@@ -130,6 +130,44 @@ def test_pieces_are_told_apart_by_their_bytes():
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_marks_after_letters_part_pieces(monkeypatch):
+    """Words with marks behind them reach the tokenizer as words, many at a time, and each of them once."""
+    from tokenizers import Tokenizer
+
+    t, e, alone = Tokenizer.from_file(token_ids.tokenizer_path()), token_ids._Encoder(token_ids.tokenizer_path()), []
+    assert e.bare is not e.tokenizer
+    one = token_ids._Encoder.one
+    monkeypatch.setattr(token_ids._Encoder, "one", lambda self, pieces: alone.extend(pieces) or one(self, pieces))
+    words = ["tion", "on\u00e9", "\u00c9t\u00e9", "\u00e0\u00ff", "gro\u00df", "o\u00f1a"]
+    texts = [" ".join(w + m for w in words for m in ("", "&&&", ".***", ",", "/(", "?!`", "{~}"))]
+    texts += ["x\u00d7, y\u00f7= \u2026. n\u0303. =\u0338 a=\u0338 don't we'll rock'n'roll a'\u0301s \u00e9's \u00aa. \u00b5, a_b-c"]
+    for text, ids in zip(texts, e.encode([x.encode() for x in texts]), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    assert not any(w.lower() in p.lower() for p in alone for w in words)
+
+
+@pytest.mark.parametrize(("steps", "renewals"), [(256, 9), (257, 9), (300, 10)])
+def test_frequencies_are_renewed_only_for_enough_steps(monkeypatch, steps, renewals):
+    """The first renewal is that of an empty model; one for a last step or two would cost more than all others."""
+    seen, renew = [], range_coder._Model._renew
+    monkeypatch.setattr(range_coder, "LANES", 64)
+    monkeypatch.setattr(range_coder._Model, "_renew", lambda self: seen.append(self.step) or renew(self))
+    ids = np.random.default_rng(6).zipf(1.3, 64 * (steps - 1) + 5) % 50_000
+    frame = range_coder.write_block([1], [len(ids)], ids, 0)
+    assert len(seen) == renewals
+    assert (range_coder.read_block(frame)[3] == ids).all()
+
+
+def test_range_coder_at_the_ends_of_its_shares():
+    """Long runs make order 2 all but sure; then what it misses, and what no order has seen, gets the least share. They
+    are of the last id, so that its pair is beyond all keys."""
+    rng = np.random.default_rng(7)
+    for n in (1, 127, 128, 40_000):
+        for rare in (0.5, 0.01, 0.0005):
+            ids = np.where(rng.random(n) < rare, rng.integers(0, 65536, n), 65535)
+            assert (range_coder.read_block(range_coder.write_block([1], [n], ids, 0))[3] == ids).all()
+
+
 # 2
 
 
